@@ -42,8 +42,8 @@ def lenient_int(c: Column) -> Column:
     """Text to whole number, truncated toward zero; bad or infinite gives 0."""
     number = lenient_double(c)
     finite = F.when(F.abs(number) < F.lit(float("inf")), number)
-    clamped = F.greatest(F.least(finite, F.lit(9.0e18)), F.lit(-9.0e18))
-    return F.coalesce(clamped.try_cast("bigint"), F.lit(0).cast("bigint"))
+    clamped = F.when(finite.isNotNull(), F.greatest(F.least(finite, F.lit(9.0e18)), F.lit(-9.0e18)))
+    return F.coalesce(clamped.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def _group(c: Column, pattern: str, n: int, default: str = "") -> Column:

@@ -282,17 +282,37 @@ def totals_near_lines(
     if not small:
         # One shuffle of the line side serves both the grouping and the join.
         cells = cells.repartition(*on)
-    grouped = cells.groupBy(*key, "radius", *on).agg(F.collect_list("seg").alias("segs"))
+    grouped = grouped_cells(cells, key, on)
     if small:
         grouped = F.broadcast(grouped)
+    matched = placed.join(grouped, on).filter(_near(metric))
+    return matched.groupBy(*key).agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def grouped_cells(cells: DataFrame, key: Sequence[str], on: Sequence[str] = ("cell",)) -> DataFrame:
+    """One row per line and cell; ``segs`` holds only segments of that one line."""
+    return cells.groupBy(*key, "radius", *on).agg(F.collect_list("seg").alias("segs"))
+
+
+def near_grouped_cells(
+    grouped: DataFrame, points: DataFrame, key: Sequence[str], keep: Sequence[str], metric: str, zoom: int = CELL_ZOOM
+) -> DataFrame:
+    """The matching (line, point) rows themselves, for results that are pairs by nature."""
+    placed = _point_cells(points, keep, metric, zoom, combine=False)
+    return placed.join(grouped, "cell").filter(_near(metric)).select(*key, *keep)
+
+
+def _near(metric: str) -> Column:
+    """The exact distance test on a joined row."""
     squared_reach = F.col("radius") * F.col("radius")
     x, y = F.col("px"), F.col("py")
-    if metric == "mercator":
-        hit = lambda seg: _planar_hit(seg, x, y, squared_reach)
-    else:
-        hit = lambda seg: _tangent_hit(seg, x, y, F.col("kx"), F.col("ky"), squared_reach)
-    matched = placed.join(grouped, on).filter(_any_segment(F.col("segs"), hit))
-    return matched.groupBy(*key).agg(*[F.sum(m).alias(m) for m in measures])
+
+    def hit(seg: Column) -> Column:
+        if metric == "mercator":
+            return _planar_hit(seg, x, y, squared_reach)
+        return _tangent_hit(seg, x, y, F.col("kx"), F.col("ky"), squared_reach)
+
+    return _any_segment(F.col("segs"), hit)
 
 
 def with_copies_once(lines: DataFrame, key: Sequence[str], parts: str, radius: str, hot_rows: int | None = HOT_ROWS):

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerbline.functions.geometry import cell_id, mercator_x, mercator_y, tile_x, tile_y
+
+SNAPSHOT_ZOOM = 17
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -14,3 +19,32 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def write_point_snapshot(df: DataFrame, path: str, time: str, key: str) -> None:
+    """Points by year, and by grid cell inside a year.
+
+    Lookback filters skip whole years, and row-group statistics on ``cell``
+    skip places. Ranges are cut on the key last, so that one busy cell fills
+    several files rather than one task.
+    """
+    placed = df.withColumns(
+        {
+            "year": F.year(time),
+            "cell": cell_id(
+                tile_x(mercator_x(F.col("lon")), SNAPSHOT_ZOOM), tile_y(mercator_y(F.col("lat")), SNAPSHOT_ZOOM)
+            ),
+        }
+    )
+    (
+        placed.repartitionByRange("year", "cell", key)
+        .sortWithinPartitions("year", "cell", key)
+        .write.mode("overwrite")
+        .partitionBy("year")
+        .parquet(path)
+    )
+
+
+def write_text(df: DataFrame, path: str) -> None:
+    """A one-column text frame, one document or Feature per line."""
+    df.write.mode("overwrite").text(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.functions.vocabulary import hazard_category, hazard_status
 from kerbline.sources.tables import read_table
 
 # The fixed "now" of all queries.
@@ -43,10 +44,10 @@ def vertex_lat(group: str, line: str, j: str) -> str:
 
 
 def _vertices(group: str, line: str, count: int) -> str:
-    return (
-        f"transform(sequence(0, {count - 1}), j -> named_struct("
-        f"'lon', {vertex_lon(group, line, 'j')}, 'lat', {vertex_lat(group, line, 'j')}))"
-    )
+    one = "named_struct('lon', {lon}, 'lat', {lat})"
+    return "array(" + ", ".join(
+        one.format(lon=vertex_lon(group, line, str(j)), lat=vertex_lat(group, line, str(j))) for j in range(count)
+    ) + ")"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,3 +142,118 @@ def user_route(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"TIMESTAMP_NTZ '{NOW}' AS created_at",
         f"array({_vertices(k, k, 6)}) AS parts",
     )
+
+
+def hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hazard_raw(spark, sf_dir).select(
+        "hazard_id",
+        hazard_category(F.col("topic"), F.col("kind"), F.col("summary")).alias("category"),
+        hazard_status(F.col("raw_status")).alias("status"),
+        "opened_at",
+        "closed_at",
+        "lon",
+        "lat",
+    )
+
+
+# --- raw tables, every cell a text ---------------------------------------------
+
+# Digits of the coordinates of raw rows; some rows get unusable texts.
+RAW_LON = (
+    "CASE WHEN {id} % 97 = 0 THEN 'abc' WHEN {id} % 89 = 0 THEN '' WHEN {id} % 83 = 0 THEN 'nan'"
+    " WHEN {id} % 10 = 3 THEN concat(' -104.', lpad(CAST(({id} * 7919) % 10007 AS STRING), 5, '0'), ' ')"
+    " ELSE concat('-104.', lpad(CAST(({id} * 7919) % 10007 AS STRING), 5, '0')) END"
+)
+RAW_LAT = "concat('39.', lpad(CAST(({id} * 6101) % 10009 AS STRING), 5, '0'))"
+# Some ids repeat the id before them.
+RAW_ID = "CAST({id} - CASE WHEN {id} % 10 = 1 THEN 1 ELSE 0 END AS STRING)"
+
+
+def raw_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crash export with four time formats, old rows, bad cells and repeated ids."""
+    events = _read(spark, sf_dir, "events").selectExpr(
+        "*", "CASE WHEN event_id % 13 = 0 THEN ts - make_ym_interval(6) ELSE ts END AS t"
+    )
+    return events.selectExpr(
+        f"{RAW_ID.format(id='event_id')} AS incident_id",
+        f"{RAW_LON.format(id='event_id')} AS geo_lon",
+        f"{RAW_LAT.format(id='event_id')} AS geo_lat",
+        "CASE event_id % 4 WHEN 0 THEN date_format(t, 'yyyy-MM-dd HH:mm:ss')"
+        " WHEN 1 THEN date_format(t, 'MM/dd/yyyy hh:mm:ss a')"
+        " WHEN 2 THEN concat(date_format(t, 'yyyy-MM-dd'), 'T', date_format(t, 'HH:mm:ss'), '+02:00')"
+        " ELSE CASE WHEN event_id % 100 = 3 THEN 'zz' ELSE date_format(t, 'yyyy/MM/dd HH:mm') END END"
+        " AS first_occurrence_date",
+        "CASE WHEN event_type = 'error' THEN '1.9' WHEN event_id % 7 = 0 THEN 'x' ELSE '0' END AS FATALITIES",
+        "CASE WHEN event_type = 'purchase' THEN ' 2 ' WHEN event_id % 5 = 0 THEN '' ELSE '-1.5' END AS SERIOUSLY_INJURED",
+        "event_id AS _position",
+    )
+
+
+def raw_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hazard export over the whole document texts."""
+    return (
+        hazard_raw(spark, sf_dir)
+        .withColumn("id", F.col("hazard_id").cast("bigint"))
+        .selectExpr(
+            f"{RAW_ID.format(id='id')} AS `OBJECT ID`",
+            f"{RAW_LON.format(id='id')} AS Longitude",
+            f"{RAW_LAT.format(id='id')} AS Latitude",
+            "raw_status AS `Case Status`",
+            "CASE WHEN id % 17 = 0 THEN '' ELSE date_format(opened_at, 'MM/dd/yyyy hh:mm:ss a') END AS `Case Created dttm`",
+            "kind AS Type",
+            "topic AS Topic",
+            "summary AS `Case Summary`",
+            "id AS _position",
+        )
+    )
+
+
+def raw_bikeway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bikeway export: state-plane feet, one or two parts, some rows without a line."""
+    k = "s_suppkey"
+
+    def pair(dx, dy):
+        return f"CAST(3140000 + ({k} * 7919) % 10007 + {dx} AS STRING), ' ', CAST(1690000 + ({k} * 6101) % 10009 + {dy} AS STRING)"
+
+    one = f"{pair(0, 0)}, ', ', {pair(500, 250)}, ',', {pair(900, 700)}"
+    two = f"{pair(1500, 0)}, ',', {pair(1900, 300)}"
+    return _read(spark, sf_dir, "supplier").selectExpr(
+        f"{RAW_ID.format(id=k)} AS FID",
+        "concat(' ', upper(CASE s_nationkey % 3 WHEN 0 THEN 'protected' WHEN 1 THEN 'trail' ELSE 'shared' END)) AS fac_type",
+        "CASE s_nationkey % 2 WHEN 0 THEN 'existing ' ELSE '' END AS status",
+        f"CASE WHEN {k} % 9 = 4 THEN 'POINT(1 2)' WHEN {k} % 9 = 5 THEN '' "
+        f"WHEN {k} % 2 = 0 THEN concat('LINESTRING (', {one}, ')') "
+        f"ELSE concat('multilinestring((', {one}, '), (', {two}, '))') END AS WKT",
+        f"{k} AS _position",
+    )
+
+
+def route_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One routing answer per order with three routes, some of them without coordinates."""
+
+    def coordinates(shift: str, count: int) -> str:
+        points = ", ".join(
+            f"array({vertex_lon('o_custkey', 'o_orderkey', str(j))}, {vertex_lat('o_custkey', 'o_orderkey', str(j))} + {shift})"
+            for j in range(count)
+        )
+        return f"array({points})"
+
+    def one(coords: str, distance: str, legs: str) -> str:
+        return (
+            f"named_struct('geometry', named_struct('type', 'LineString', 'coordinates', {coords}),"
+            f" 'distance', {distance}, 'duration', o_totalprice / 2e2, 'weight', 1e0, 'weight_name', 'routability',"
+            f" 'legs', {legs})"
+        )
+
+    leg = "named_struct('distance', {d}, 'duration', 1e0, 'weight', 1e0, 'summary', '')"
+    no_legs = "CAST(NULL AS ARRAY<STRUCT<distance: DOUBLE, duration: DOUBLE, weight: DOUBLE, summary: STRING>>)"
+    some_legs = f"array({leg.format(d='o_totalprice / 1e2')}, {leg.format(d='CAST(NULL AS DOUBLE)')})"
+    gap = f"CASE WHEN o_orderkey % 4 = 0 THEN CAST(array() AS ARRAY<ARRAY<DOUBLE>>) ELSE {coordinates('1e-3', 3)} END"
+    routes = ", ".join(
+        [
+            one(coordinates("0e0", 6), "o_totalprice / 5e1", no_legs),
+            one(gap, "CAST(NULL AS DOUBLE)", some_legs),
+            one(coordinates("2e-3", 4), "CAST(NULL AS DOUBLE)", no_legs),
+        ]
+    )
+    return _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS request_id", f"array({routes}) AS routes")
