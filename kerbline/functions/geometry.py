@@ -137,17 +137,40 @@ def clean_line(parts: Column) -> Column:
     return F.filter(F.transform(parts, distinct_run), lambda p: F.size(p) >= 2)
 
 
-def _great_circle_point(a: Column, b: Column, share: Column) -> Column:
-    """Point at a share of the way from ``a`` to ``b`` on the sphere."""
-    la, pa, lb, pb = (F.radians(c) for c in (a["lon"], a["lat"], b["lon"], b["lat"]))
-    ax, ay, az = F.cos(pa) * F.cos(la), F.cos(pa) * F.sin(la), F.sin(pa)
-    bx, by, bz = F.cos(pb) * F.cos(lb), F.cos(pb) * F.sin(lb), F.sin(pb)
-    chord = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay) + (bz - az) * (bz - az))
-    angle = F.lit(2.0) * F.asin(chord / 2)
-    wa = F.sin((F.lit(1.0) - share) * angle) / F.sin(angle)
-    wb = F.sin(share * angle) / F.sin(angle)
-    x, y, z = wa * ax + wb * bx, wa * ay + wb * by, wa * az + wb * bz
-    return vertex(F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
+def let(value: Column, use) -> Column:
+    """Bind an array-element expression once inside a higher-order function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unit_vector(lon: Column, lat: Column) -> Column:
+    p, m = F.radians(lat), F.radians(lon)
+    return F.struct(
+        (F.cos(p) * F.cos(m)).alias("x"), (F.cos(p) * F.sin(m)).alias("y"), F.sin(p).alias("z")
+    )
+
+
+def arc_angle(a: Column, b: Column) -> Column:
+    """Angle between two unit vectors."""
+    dx, dy, dz = (b[c] - a[c] for c in "xyz")
+    return F.lit(2.0) * F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) / 2)
+
+
+def along_arc(a: Column, b: Column, angle: Column, share: Column) -> Column:
+    """Vector at a share of the way between two unit vectors (not for a zero angle)."""
+    wa, wb = F.sin((F.lit(1.0) - share) * angle) / F.sin(angle), F.sin(share * angle) / F.sin(angle)
+    return F.struct(*[(wa * a[c] + wb * b[c]).alias(c) for c in "xyz"])
+
+
+def vertex_of_vector(v: Column) -> Column:
+    return vertex(
+        F.degrees(F.atan2(v["y"], v["x"])),
+        F.degrees(F.atan2(v["z"], F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]))),
+    )
+
+
+def piece_count(lon1: Column, lat1: Column, lon2: Column, lat2: Column, max_metres: float) -> Column:
+    metres = geodesic_step(lon1, lat1, lon2, lat2)
+    return F.greatest(F.ceil(metres / F.lit(max_metres)).cast("int"), F.lit(1))
 
 
 def densify(parts: Column, max_metres: float = 1000.0) -> Column:
@@ -158,14 +181,21 @@ def densify(parts: Column, max_metres: float = 1000.0) -> Column:
 
     def cut(step: Column) -> Column:
         a, b = step["a"], step["b"]
-        n = F.greatest(
-            F.ceil(geodesic_step(a["lon"], a["lat"], b["lon"], b["lat"]) / F.lit(max_metres)).cast("int"),
-            F.lit(1),
+        arc = F.struct(
+            unit_vector(a["lon"], a["lat"]).alias("a"),
+            unit_vector(b["lon"], b["lat"]).alias("b"),
+            piece_count(a["lon"], a["lat"], b["lon"], b["lat"], max_metres).alias("n"),
         )
-        return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda k: F.when(k == 0, a).otherwise(_great_circle_point(a, b, k / n)),
+        inner = let(
+            arc,
+            lambda r: F.transform(
+                F.sequence(F.lit(1), r["n"] - 1),
+                lambda k: let(along_arc(r["a"], r["b"], arc_angle(r["a"], r["b"]), k / r["n"]), vertex_of_vector),
+            ),
         )
+        one = F.array(a)
+        long = geodesic_step(a["lon"], a["lat"], b["lon"], b["lat"]) > max_metres
+        return F.when(long, F.concat(one, inner)).otherwise(one)
 
     def cut_part(part: Column) -> Column:
         return F.concat(F.flatten(F.transform(steps(part), cut)), F.slice(part, F.lit(-1), F.lit(1)))

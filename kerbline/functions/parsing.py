@@ -11,7 +11,7 @@ from kerbline.fixed_values import NA_WORDS, WHITESPACE
 # not numbers here, so the shape of the text is checked first.
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?)\d*)?"
+_CLOCK = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d*"
 _ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T]+" + _CLOCK + r")?\s*(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?$"
 _US = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:[ T]+" + _CLOCK + r"(?: *([AaPp])\.?[Mm]\.?)?)?$"
 
@@ -46,21 +46,6 @@ def lenient_int(c: Column) -> Column:
     return F.coalesce(clamped.cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _group(c: Column, pattern: str, n: int, default: str = "") -> Column:
-    part = F.regexp_extract(c, pattern, n)
-    return F.when(part == "", F.lit(default)).otherwise(part)
-
-
-def _ntz(year, month, day, hour, minute, second) -> Column:
-    two = lambda c: F.lpad(c, 2, "0")
-    whole_second = F.when(F.length(F.substring_index(second, ".", 1)) < 2, F.lpad(second, 2, "0")).otherwise(second)
-    text = F.concat(
-        year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "),
-        two(hour), F.lit(":"), two(minute), F.lit(":"), whole_second,
-    )
-    return text.try_cast("timestamp_ntz")
-
-
 def _offset_minutes(zone: Column) -> Column:
     """Minutes east of UTC of a zone suffix such as ``+01:30``, ``-0700``, ``Z``."""
     digits = F.regexp_replace(zone, r"[^0-9]", "")
@@ -80,26 +65,24 @@ def wall_clock(c: Column) -> Column:
     on the session time zone.
     """
     text = strip(c)
-    iso = _ntz(
-        _group(text, _ISO, 1), _group(text, _ISO, 2), _group(text, _ISO, 3),
-        _group(text, _ISO, 4, "0"), _group(text, _ISO, 5, "00"), _group(text, _ISO, 6, "00"),
-    )
-    half = F.lower(F.regexp_extract(text, _US, 7))
-    hour = _group(text, _US, 4, "0").try_cast("int")
-    hour_24 = F.when(
-        (half != "") & ((hour < 1) | (hour > 12)), F.lit(None).cast("int")
-    ).otherwise(
-        F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), F.lit(0)).otherwise(hour)
-    )
-    us = _ntz(
-        _group(text, _US, 3), _group(text, _US, 1), _group(text, _US, 2),
-        hour_24.cast("string"), _group(text, _US, 5, "00"), _group(text, _US, 6, "00"),
+    iso = F.regexp_replace(text, _ISO, "$1-$2-$3 $4")
+    day_first = F.regexp_replace(iso, _US, "$3-$1-$2 $4")
+    written = F.when(text.rlike(f"{_ISO}|{_US}"), day_first).try_cast("timestamp_ntz")
+    half = F.lower(F.regexp_extract(text, _US, 5))
+    hour = F.hour(written)
+    zero = F.lit(0)
+    shift = (
+        F.when(half == "", zero)
+        .when((hour < 1) | (hour > 12), F.lit(None).cast("int"))
+        .when((half == "p") & (hour < 12), 12)
+        .when((half == "a") & (hour == 12), -12)
+        .otherwise(zero)
     )
-    return F.when(text.rlike(_ISO), iso).when(text.rlike(_US), us)
+    return written + F.make_dt_interval(zero, shift)
 
 
 def utc_time(c: Column) -> Column:
     """Text to naive UTC: a zone suffix is applied and then dropped."""
-    zone = F.regexp_extract(strip(c), _ISO, 7)
+    zone = F.regexp_extract(strip(c), _ISO, 5)
     zero = F.lit(0)
     return wall_clock(c) - F.make_dt_interval(zero, zero, _offset_minutes(zone))

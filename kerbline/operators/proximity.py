@@ -20,18 +20,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.fixed_values import MERCATOR_RADIUS, TILE_ORIGIN
+from kerbline.fixed_values import TILE_ORIGIN
 from kerbline.functions.geometry import (
+    along_arc,
+    arc_angle,
     cell_id,
-    densify,
     mercator_x,
     mercator_y,
     metres_per_radian_east,
     metres_per_radian_north,
+    piece_count,
     steps,
     tile_size,
     tile_x,
     tile_y,
+    unit_vector,
+    vertex_of_vector,
 )
 from kerbline.operators.skew import HOT_ROWS, hot_keys, larger_than
 
@@ -43,8 +47,8 @@ BROADCAST_ROWS = 250_000
 _INLINE_SEGMENTS = 3
 # Room for rounding in the cell bounds, in Mercator units.
 _SLACK = 1e-3
-# Segments with an infinite, missing or absurd end are nowhere near a point.
-_FAR = 1e9
+# Segments with an infinite, missing or absurd end (degrees) are nowhere near a point.
+_FAR = 1e6
 # One row in this many is read to look for hot cells.
 _SAMPLE = 64
 
@@ -59,25 +63,27 @@ def line_cells(
     the geodesic metric.
     """
     _check_metric(metric)
-    shape = F.col(parts) if metric == "mercator" else densify(F.col(parts))
-    vertices = F.transform(
-        shape,
-        lambda part: F.transform(
-            part,
-            lambda v: F.struct(
-                mercator_x(v["lon"]).alias("x"), mercator_y(v["lat"]).alias("y"),
-                F.radians(v["lon"]).alias("u"), F.radians(v["lat"]).alias("v"),
-            ),
-        ),
-    )
     # A planar buffer of width zero is empty; a geodesic distance of zero is a touch.
     wide_enough = F.col(radius) > 0 if metric == "mercator" else F.col(radius) >= 0
-    segments = lines.filter(wide_enough).select(
-        *key, F.col(radius).alias("radius"), F.explode(F.flatten(F.transform(vertices, steps))).alias("s")
+    carry = [*key, "radius"]
+    ends = ["lon1", "lat1", "lon2", "lat2"]
+    segments = (
+        lines.filter(wide_enough)
+        .select(*key, F.col(radius).alias("radius"), F.explode(F.flatten(F.transform(parts, steps))).alias("s"))
+        .select(
+            *carry, F.col("s.a.lon").alias("lon1"), F.col("s.a.lat").alias("lat1"),
+            F.col("s.b.lon").alias("lon2"), F.col("s.b.lat").alias("lat2"),
+        )
+        .filter(reduce(lambda a, b: a & b, [F.abs(c) < _FAR for c in ends]))
+    )
+    if metric == "geodesic":
+        segments = _short_pieces(segments, carry)
+    segments = segments.select(
+        *carry, *ends,
+        mercator_x(F.col("lon1")).alias("x1"), mercator_y(F.col("lat1")).alias("y1"),
+        mercator_x(F.col("lon2")).alias("x2"), mercator_y(F.col("lat2")).alias("y2"),
     )
-    x1, y1, x2, y2 = (F.col(c) for c in ("s.a.x", "s.a.y", "s.b.x", "s.b.y"))
-    on_earth = reduce(lambda a, b: a & b, [F.abs(c) < _FAR for c in (x1, y1, x2, y2)])
-    segments = segments.filter(on_earth)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     if metric == "mercator":
         grow = F.col("radius") + F.lit(_SLACK)
         dx, dy = x2 - x1, y2 - y1
@@ -89,17 +95,16 @@ def line_cells(
     else:
         # Mercator units per metre grow with latitude; one per cent covers the
         # ellipsoid, and the reach itself is added to the latitude.
-        farthest = F.greatest(F.abs(F.col("s.a.v")), F.abs(F.col("s.b.v"))) + F.col("radius") / F.lit(6.3e6)
+        farthest = F.radians(F.greatest(F.abs("lat1"), F.abs("lat2"))) + F.col("radius") / F.lit(6.3e6)
         grow = F.col("radius") / F.cos(F.least(farthest, F.lit(1.57))) * F.lit(1.01) + F.lit(1.0)
         seg = F.struct(
-            F.col("s.a.u").alias("a"), F.col("s.a.v").alias("b"),
-            F.col("s.b.u").alias("c"), F.col("s.b.v").alias("d"),
+            F.radians("lon1").alias("a"), F.radians("lat1").alias("b"),
+            F.radians("lon2").alias("c"), F.radians("lat2").alias("d"),
         )
     size = F.lit(tile_size(zoom))
     origin = F.lit(TILE_ORIGIN)
     rows = segments.select(
-        *key, "radius", seg.alias("seg"), grow.alias("grow"),
-        x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
+        *carry, seg.alias("seg"), grow.alias("grow"), "x1", "y1", "x2", "y2"
     ).select(
         "*",
         F.explode(
@@ -130,6 +135,36 @@ def line_cells(
     ).select(*key, "radius", "seg", cell_id(F.col("cx"), F.col("cy")).alias("cell"))
 
 
+def _short_pieces(segments: DataFrame, carry: Sequence[str], max_metres: float = 1000.0) -> DataFrame:
+    """Segments longer than ``max_metres`` cut along their great circle; others as they are."""
+    ends = ["lon1", "lat1", "lon2", "lat2"]
+    cut = (
+        segments.select(*carry, *ends, piece_count(*[F.col(c) for c in ends], max_metres).alias("n"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+        .select(
+            "*", unit_vector(F.col("lon1"), F.col("lat1")).alias("va"), unit_vector(F.col("lon2"), F.col("lat2")).alias("vb")
+        )
+        .select("*", arc_angle(F.col("va"), F.col("vb")).alias("w"))
+    )
+
+    def stop(k: Column) -> Column:
+        return along_arc(F.col("va"), F.col("vb"), F.col("w"), k / F.col("n"))
+
+    first, last = F.col("k") == 0, F.col("k") == F.col("n") - 1
+    stops = cut.select(
+        *carry, *ends, first.alias("first"), last.alias("last"),
+        F.when(~first, stop(F.col("k"))).alias("p"), F.when(~last, stop(F.col("k") + 1)).alias("q"),
+    )
+    p, q = vertex_of_vector(F.col("p")), vertex_of_vector(F.col("q"))
+    return stops.select(
+        *carry,
+        F.when(F.col("first"), F.col("lon1")).otherwise(p["lon"]).alias("lon1"),
+        F.when(F.col("first"), F.col("lat1")).otherwise(p["lat"]).alias("lat1"),
+        F.when(F.col("last"), F.col("lon2")).otherwise(q["lon"]).alias("lon2"),
+        F.when(F.col("last"), F.col("lat2")).otherwise(q["lat"]).alias("lat2"),
+    )
+
+
 def _check_metric(metric: str) -> None:
     if metric not in ("mercator", "geodesic"):
         raise ValueError(f"metric must be mercator or geodesic, not {metric}")

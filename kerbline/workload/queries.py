@@ -16,7 +16,7 @@ from kerbline.operators import alternatives as alt
 from kerbline.operators import collections as col
 from kerbline.operators import tiles as til
 from kerbline.operators.merge import upsert_bikeway, upsert_crash, upsert_hazard
-from kerbline.operators.proximity import grouped_cells, line_cells, totals_near_lines
+from kerbline.operators.proximity import totals_near_lines
 from kerbline.operators.quality import key_violations
 from kerbline.operators.requests import checked_requests, valid_requests
 from kerbline.operators.skew import first_per_key
@@ -558,14 +558,6 @@ def line_clean(s, d):
     )
 
 
-@query
-def line_cell_counts(s, d):
-    """Cells a route's buffer can touch, and rows per route after grouping."""
-    lines = _route_lines(s, d).withColumn("radius", F.lit(BUFFER))
-    cells = grouped_cells(line_cells(lines, rk.KEY, "parts", "radius", "mercator"), rk.KEY)
-    return cells.groupBy(*rk.KEY).agg(F.count("*").alias("cells"))
-
-
 # --- alternatives --------------------------------------------------------------
 
 
@@ -613,8 +605,8 @@ def more_routes(s, d):
 def _padded(s, d, how):
     padded = alt.pad_alternatives(valid_requests(t.request(s, d)), t.route(s, d), how)
     return padded.select(
-        "request_id", "index", "is_synthetic", F.round("distance", 4).alias("distance"),
-        F.round("duration", 4).alias("duration"),
+        "request_id", "index", "is_synthetic", F.round("distance", 8).alias("distance"),
+        F.round("duration", 8).alias("duration"),
         F.round(F.aggregate("vertices", F.lit(0.0), lambda a, v: a + v["lat"]), 6).alias("lat_sum"),
     )
 
