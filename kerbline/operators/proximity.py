@@ -66,13 +66,13 @@ def line_cells(
     # A planar buffer of width zero is empty; a geodesic distance of zero is a touch.
     wide_enough = F.col(radius) > 0 if metric == "mercator" else F.col(radius) >= 0
     carry = [*key, "radius"]
-    ends = ["lon1", "lat1", "lon2", "lat2"]
+    ends = ["_lon1", "_lat1", "_lon2", "_lat2"]
     segments = (
         lines.filter(wide_enough)
-        .select(*key, F.col(radius).alias("radius"), F.explode(F.flatten(F.transform(parts, steps))).alias("s"))
+        .select(*key, F.col(radius).alias("radius"), F.explode(F.flatten(F.transform(parts, steps))).alias("_s"))
         .select(
-            *carry, F.col("s.a.lon").alias("lon1"), F.col("s.a.lat").alias("lat1"),
-            F.col("s.b.lon").alias("lon2"), F.col("s.b.lat").alias("lat2"),
+            *carry, F.col("_s.a.lon").alias("_lon1"), F.col("_s.a.lat").alias("_lat1"),
+            F.col("_s.b.lon").alias("_lon2"), F.col("_s.b.lat").alias("_lat2"),
         )
         .filter(reduce(lambda a, b: a & b, [F.abs(c) < _FAR for c in ends]))
     )
@@ -80,10 +80,10 @@ def line_cells(
         segments = _short_pieces(segments, carry)
     segments = segments.select(
         *carry, *ends,
-        mercator_x(F.col("lon1")).alias("x1"), mercator_y(F.col("lat1")).alias("y1"),
-        mercator_x(F.col("lon2")).alias("x2"), mercator_y(F.col("lat2")).alias("y2"),
+        mercator_x(F.col("_lon1")).alias("_x1"), mercator_y(F.col("_lat1")).alias("_y1"),
+        mercator_x(F.col("_lon2")).alias("_x2"), mercator_y(F.col("_lat2")).alias("_y2"),
     )
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    x1, y1, x2, y2 = (F.col(c) for c in ("_x1", "_y1", "_x2", "_y2"))
     if metric == "mercator":
         grow = F.col("radius") + F.lit(_SLACK)
         dx, dy = x2 - x1, y2 - y1
@@ -95,73 +95,73 @@ def line_cells(
     else:
         # Mercator units per metre grow with latitude; one per cent covers the
         # ellipsoid, and the reach itself is added to the latitude.
-        farthest = F.radians(F.greatest(F.abs("lat1"), F.abs("lat2"))) + F.col("radius") / F.lit(6.3e6)
+        farthest = F.radians(F.greatest(F.abs("_lat1"), F.abs("_lat2"))) + F.col("radius") / F.lit(6.3e6)
         grow = F.col("radius") / F.cos(F.least(farthest, F.lit(1.57))) * F.lit(1.01) + F.lit(1.0)
         seg = F.struct(
-            F.radians("lon1").alias("a"), F.radians("lat1").alias("b"),
-            F.radians("lon2").alias("c"), F.radians("lat2").alias("d"),
+            F.radians("_lon1").alias("a"), F.radians("_lat1").alias("b"),
+            F.radians("_lon2").alias("c"), F.radians("_lat2").alias("d"),
         )
     size = F.lit(tile_size(zoom))
     origin = F.lit(TILE_ORIGIN)
     rows = segments.select(
-        *carry, seg.alias("seg"), grow.alias("grow"), "x1", "y1", "x2", "y2"
+        *carry, seg.alias("seg"), grow.alias("_grow"), "_x1", "_y1", "_x2", "_y2"
     ).select(
         "*",
         F.explode(
             F.sequence(
-                tile_y(F.greatest("y1", "y2") + F.col("grow"), zoom),
-                tile_y(F.least("y1", "y2") - F.col("grow"), zoom),
+                tile_y(F.greatest("_y1", "_y2") + F.col("_grow"), zoom),
+                tile_y(F.least("_y1", "_y2") - F.col("_grow"), zoom),
             )
-        ).alias("cy"),
+        ).alias("_cy"),
     )
     # The stretch of the segment that can reach this row of cells.
-    top = origin - F.col("cy") * size + F.col("grow")
-    bottom = origin - (F.col("cy") + 1) * size - F.col("grow")
-    rise = F.col("y2") - F.col("y1")
-    run = F.col("x2") - F.col("x1")
-    at_top, at_bottom = (top - F.col("y1")) / rise, (bottom - F.col("y1")) / rise
+    top = origin - F.col("_cy") * size + F.col("_grow")
+    bottom = origin - (F.col("_cy") + 1) * size - F.col("_grow")
+    rise = F.col("_y2") - F.col("_y1")
+    run = F.col("_x2") - F.col("_x1")
+    at_top, at_bottom = (top - F.col("_y1")) / rise, (bottom - F.col("_y1")) / rise
     flat = F.abs(rise) < F.lit(1e-9)
     zero, one = F.lit(0.0), F.lit(1.0)
     enter = F.when(flat, zero).otherwise(F.least(F.greatest(F.least(at_top, at_bottom), zero), one))
     leave = F.when(flat, one).otherwise(F.least(F.greatest(F.greatest(at_top, at_bottom), zero), one))
-    xa, xb = F.col("x1") + enter * run, F.col("x1") + leave * run
+    xa, xb = F.col("_x1") + enter * run, F.col("_x1") + leave * run
     return rows.select(
-        *key, "radius", "seg", "cy",
+        *key, "radius", "seg", "_cy",
         F.explode(
             F.sequence(
-                tile_x(F.least(xa, xb) - F.col("grow"), zoom), tile_x(F.greatest(xa, xb) + F.col("grow"), zoom)
+                tile_x(F.least(xa, xb) - F.col("_grow"), zoom), tile_x(F.greatest(xa, xb) + F.col("_grow"), zoom)
             )
-        ).alias("cx"),
-    ).select(*key, "radius", "seg", cell_id(F.col("cx"), F.col("cy")).alias("cell"))
+        ).alias("_cx"),
+    ).select(*key, "radius", "seg", cell_id(F.col("_cx"), F.col("_cy")).alias("cell"))
 
 
 def _short_pieces(segments: DataFrame, carry: Sequence[str], max_metres: float = 1000.0) -> DataFrame:
     """Segments longer than ``max_metres`` cut along their great circle; others as they are."""
-    ends = ["lon1", "lat1", "lon2", "lat2"]
+    ends = ["_lon1", "_lat1", "_lon2", "_lat2"]
     cut = (
-        segments.select(*carry, *ends, piece_count(*[F.col(c) for c in ends], max_metres).alias("n"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+        segments.select(*carry, *ends, piece_count(*[F.col(c) for c in ends], max_metres).alias("_n"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"))
         .select(
-            "*", unit_vector(F.col("lon1"), F.col("lat1")).alias("va"), unit_vector(F.col("lon2"), F.col("lat2")).alias("vb")
+            "*", unit_vector(F.col("_lon1"), F.col("_lat1")).alias("_va"), unit_vector(F.col("_lon2"), F.col("_lat2")).alias("_vb")
         )
-        .select("*", arc_angle(F.col("va"), F.col("vb")).alias("w"))
+        .select("*", arc_angle(F.col("_va"), F.col("_vb")).alias("_w"))
     )
 
     def stop(k: Column) -> Column:
-        return along_arc(F.col("va"), F.col("vb"), F.col("w"), k / F.col("n"))
+        return along_arc(F.col("_va"), F.col("_vb"), F.col("_w"), k / F.col("_n"))
 
-    first, last = F.col("k") == 0, F.col("k") == F.col("n") - 1
+    first, last = F.col("_k") == 0, F.col("_k") == F.col("_n") - 1
     stops = cut.select(
-        *carry, *ends, first.alias("first"), last.alias("last"),
-        F.when(~first, stop(F.col("k"))).alias("p"), F.when(~last, stop(F.col("k") + 1)).alias("q"),
+        *carry, *ends, first.alias("_first"), last.alias("_last"),
+        F.when(~first, stop(F.col("_k"))).alias("_p"), F.when(~last, stop(F.col("_k") + 1)).alias("_q"),
     )
-    p, q = vertex_of_vector(F.col("p")), vertex_of_vector(F.col("q"))
+    p, q = vertex_of_vector(F.col("_p")), vertex_of_vector(F.col("_q"))
     return stops.select(
         *carry,
-        F.when(F.col("first"), F.col("lon1")).otherwise(p["lon"]).alias("lon1"),
-        F.when(F.col("first"), F.col("lat1")).otherwise(p["lat"]).alias("lat1"),
-        F.when(F.col("last"), F.col("lon2")).otherwise(q["lon"]).alias("lon2"),
-        F.when(F.col("last"), F.col("lat2")).otherwise(q["lat"]).alias("lat2"),
+        F.when(F.col("_first"), F.col("_lon1")).otherwise(p["lon"]).alias("_lon1"),
+        F.when(F.col("_first"), F.col("_lat1")).otherwise(p["lat"]).alias("_lat1"),
+        F.when(F.col("_last"), F.col("_lon2")).otherwise(q["lon"]).alias("_lon2"),
+        F.when(F.col("_last"), F.col("_lat2")).otherwise(q["lat"]).alias("_lat2"),
     )
 
 
@@ -170,7 +170,7 @@ def _check_metric(metric: str) -> None:
         raise ValueError(f"metric must be mercator or geodesic, not {metric}")
 
 
-def _planar_hit(seg: Column, x: Column, y: Column, squared_reach: Column) -> Column:
+def planar_hit(seg: Column, x: Column, y: Column, squared_reach: Column) -> Column:
     """Squared point-segment distance test in Mercator units."""
     share = F.greatest(
         F.least(((x - seg["a"]) * seg["c"] + (y - seg["b"]) * seg["d"]) * seg["e"], F.lit(1.0)), F.lit(0.0)
@@ -344,7 +344,7 @@ def _near(metric: str) -> Column:
 
     def hit(seg: Column) -> Column:
         if metric == "mercator":
-            return _planar_hit(seg, x, y, squared_reach)
+            return planar_hit(seg, x, y, squared_reach)
         return _tangent_hit(seg, x, y, F.col("kx"), F.col("ky"), squared_reach)
 
     return _any_segment(F.col("segs"), hit)

@@ -7,22 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.fixed_values import CRASH_TILE_ZOOM
+from kerbline.fixed_values import CRASH_TILE_ZOOM, TILE_ORIGIN
 from kerbline.functions.geojson import feature, tile_geometry
 from kerbline.functions.geometry import (
     cell_id,
     mercator_x,
     mercator_y,
+    tile_size,
     tile_square,
     tile_x,
     tile_y,
 )
-from kerbline.operators.proximity import line_cells
+from kerbline.operators.proximity import line_cells, planar_hit
 from kerbline.operators.skew import HOT_ROWS, join_past_hot_keys
 
-# Largest number of features one document row may hold.
-MAX_DOCUMENT_FEATURES = 10_000
-
 
 def tile_coords(points: DataFrame, zoom: int = CRASH_TILE_ZOOM) -> DataFrame:
     """Add tile column ``x`` and row ``y`` of each point."""
@@ -69,6 +67,40 @@ def tile_features(tiles: DataFrame, zoom: int = CRASH_TILE_ZOOM) -> DataFrame:
     )
 
 
+def _reaches_cell(zoom: int) -> Column:
+    """Whether the segment of a line-cell row comes within its radius of the cell's square."""
+    size, origin = F.lit(tile_size(zoom)), F.lit(TILE_ORIGIN)
+    west = F.shiftright("cell", 32) * size - origin
+    north = origin - F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)) * size
+    east, south = west + size, north - size
+    seg = F.col("seg")
+    ax, ay, dx, dy = seg["a"], seg["b"], seg["c"], seg["d"]
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def stretch(start: Column, run: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """Shares of the segment between which one coordinate lies in the square."""
+        outside = (start < low) | (start > high)
+        first, second = (low - start) / run, (high - start) / run
+        enter = F.when(run != 0, F.least(first, second)).when(outside, F.lit(2.0)).otherwise(zero)
+        leave = F.when(run != 0, F.greatest(first, second)).when(outside, F.lit(-1.0)).otherwise(one)
+        return enter, leave
+
+    x_in, x_out = stretch(ax, dx, west, east)
+    y_in, y_out = stretch(ay, dy, south, north)
+    crosses = F.greatest(x_in, y_in, zero) <= F.least(x_out, y_out, one)
+
+    def end_gap(x: Column, y: Column) -> Column:
+        east_gap = F.greatest(west - x, zero, x - east)
+        north_gap = F.greatest(south - y, zero, y - north)
+        return east_gap * east_gap + north_gap * north_gap
+
+    reach = F.col("radius") * F.col("radius")
+    near = crosses | (end_gap(ax, ay) <= reach) | (end_gap(ax + dx, ay + dy) <= reach)
+    for x, y in ((west, south), (west, north), (east, north), (east, south)):
+        near = near | planar_hit(seg, x, y, reach)
+    return near
+
+
 def tiles_on_lines(
     lines: DataFrame,
     tiles: DataFrame,
@@ -79,13 +111,14 @@ def tiles_on_lines(
     zoom: int = CRASH_TILE_ZOOM,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Tiles whose cells a line's buffer can touch, with the summed crashes.
+    """Tiles a line's buffer touches, with the summed crashes.
 
     Every crash tile is one row, so the hot side is the lines: a third of them
     may cross one tile, and that tile is cut by line.
     """
     key = list(key)
-    touched = line_cells(lines, key, parts, radius, "mercator", zoom).select(*key, "cell").distinct()
+    listed = line_cells(lines, key, parts, radius, "mercator", zoom)
+    touched = listed.filter(_reaches_cell(zoom)).select(*key, "cell").distinct()
     by_cell = tiles.select(cell_id(F.col("x"), F.col("y")).alias("cell"), "crashes")
     return (
         join_past_hot_keys(touched, by_cell, ["cell"], spread=key, hot_rows=hot_rows)
