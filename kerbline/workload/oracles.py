@@ -403,6 +403,38 @@ FROM pairs JOIN crash USING (crash_id) GROUP BY 1, 2"""
     out["tile_features"] = f"""{tiles} SELECT x, y, 5 AS corners, round({_lon_edge('x')}, 6) AS west, round({_lat_edge('(y + 1)')}, 6) AS south,
   round({_lon_edge('(x + 1)')}, 6) AS east, round({_lat_edge('y')}, 6) AS north FROM tile"""
 
+    box = f"""WITH {CRASH}, {REQUEST}, {ROUTE}, {_TILES},
+box AS (SELECT x, y, crashes, x * {_TILE12} - {_ORIGIN} AS west, (x + 1) * {_TILE12} - {_ORIGIN} AS east,
+  {_ORIGIN} - (y + 1) * {_TILE12} AS south, {_ORIGIN} - y * {_TILE12} AS north FROM tile),
+s AS (SELECT seg.request_id, idx, {_mx('lon1')} AS x1, {_my('lat1')} AS y1, {_mx('lon2')} AS x2, {_my('lat2')} AS y2, valid.buffer_m AS r
+  FROM seg JOIN valid USING (request_id)),
+n AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM s JOIN box
+  ON greatest(x1, x2) + r >= west AND least(x1, x2) - r <= east AND greatest(y1, y2) + r >= south AND least(y1, y2) - r <= north),
+-- Inside the box at an end, or across one of its sides.
+c AS (SELECT *, (x1 BETWEEN west AND east AND y1 BETWEEN south AND north) OR (x2 BETWEEN west AND east AND y2 BETWEEN south AND north)
+  OR (dx <> 0 AND (west - x1) / dx BETWEEN 0 AND 1 AND y1 + dy * (west - x1) / dx BETWEEN south AND north)
+  OR (dx <> 0 AND (east - x1) / dx BETWEEN 0 AND 1 AND y1 + dy * (east - x1) / dx BETWEEN south AND north)
+  OR (dy <> 0 AND (south - y1) / dy BETWEEN 0 AND 1 AND x1 + dx * (south - y1) / dy BETWEEN west AND east)
+  OR (dy <> 0 AND (north - y1) / dy BETWEEN 0 AND 1 AND x1 + dx * (north - y1) / dy BETWEEN west AND east) AS inside FROM n),
+gap AS (SELECT *, least({', '.join(f"""pow({cx} - x1 - greatest(0e0, least(1e0, (({cx} - x1) * dx + ({cy} - y1) * dy) / (dx * dx + dy * dy))) * dx, 2)
+  + pow({cy} - y1 - greatest(0e0, least(1e0, (({cx} - x1) * dx + ({cy} - y1) * dy) / (dx * dx + dy * dy))) * dy, 2)""" for cx in ('west', 'east') for cy in ('south', 'north'))},
+  pow(greatest(west - x1, 0e0, x1 - east), 2) + pow(greatest(south - y1, 0e0, y1 - north), 2),
+  pow(greatest(west - x2, 0e0, x2 - east), 2) + pow(greatest(south - y2, 0e0, y2 - north), 2)) AS g FROM c),
+touched AS (SELECT DISTINCT request_id, idx, x, y, crashes FROM gap WHERE inside OR g <= r * r)"""
+    out["tiles_on_route"] = f"{box} SELECT request_id, {ix}, count(*) AS tiles, CAST(sum(crashes) AS BIGINT) AS crashes FROM touched GROUP BY ALL"
+
+    def ring() -> str:
+        w, s_, e, n = (f"CAST(round({c}, 6) AS VARCHAR)" for c in (_lon_edge("x"), _lat_edge("(y + 1)"), _lon_edge("(x + 1)"), _lat_edge("y")))
+        corners = " || ',' || ".join(f"'[' || {a} || ',' || {b} || ']'" for a, b in ((w, s_), (w, n), (e, n), (e, s_), (w, s_)))
+        return (
+            f"""'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || {corners} || ']]}},"properties":{{"x":' || x"""
+            """ || ',"y":' || y || ',"crashes":' || crashes || '}}'"""
+        )
+
+    collection = """SELECT '{"type":"FeatureCollection","features":' || coalesce('[' || string_agg(f, ',' ORDER BY crashes DESC, x, y) || ']', 'null') || '}' AS document"""
+    out["tile_feature_collection"] = f"{tiles} {collection} FROM (SELECT *, {ring()} AS f FROM tile WHERE x = 853 AND y = 1554)"
+    out["top_tiles_feature_collection"] = f"{tiles} {collection} FROM (SELECT *, {ring()} AS f FROM tile ORDER BY crashes DESC, x, y LIMIT 20)"
+
     # scores
     out["score_routes"] = _risk(_SCORE_WEIGHT, _RISK_COLUMNS, _ROUTE_KEY)
     out["score_routes_corrected"] = _risk(
