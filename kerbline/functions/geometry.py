@@ -21,7 +21,7 @@ from kerbline.fixed_values import (
     WGS84_A,
     WGS84_F,
 )
-from kerbline.functions.parsing import lenient_double, strip
+from kerbline.functions.parsing import strip
 
 LINE_TYPE = "array<array<struct<lon:double,lat:double>>>"
 VERTICES_TYPE = "array<struct<lon:double,lat:double>>"
@@ -228,28 +228,29 @@ def box_of(vertices: Column) -> Column:
 # --- well-known text ---------------------------------------------------------
 
 _STRICT_LINE = r"(?s)^\s*LINESTRING\s*\((.+)\)\s*$"
-_LINE = r"(?is)^\s*LINESTRING\s*(?:Z|M|ZM)?\s*\((.+)\)\s*$"
-_MULTILINE = r"(?is)^\s*MULTILINESTRING\s*(?:Z|M|ZM)?\s*\(\s*\((.+)\)\s*\)\s*$"
+_LINE = r"(?is)^\s*LINESTRING\s*(?:Z|M|ZM)?\s*\(([^()a-df-z]+)\)\s*$"
+_MULTILINE = r"(?is)^\s*MULTILINESTRING\s*(?:Z|M|ZM)?\s*\(\s*\(([^a-df-z]+)\)\s*\)\s*$"
 
 
 def _pairs(body: Column, separator: str) -> Column:
     """Vertex per comma-separated entry, null where it lacks two numbers."""
 
-    def one(text: Column) -> Column:
-        numbers = F.filter(F.split(strip(text), separator), lambda p: p != "")
-        lon, lat = lenient_double(F.get(numbers, F.lit(0))), lenient_double(F.get(numbers, F.lit(1)))
-        return F.when(lon.isNotNull() & lat.isNotNull(), vertex(lon, lat))
+    def of_numbers(numbers: Column) -> Column:
+        point = vertex(F.get(numbers, F.lit(0)).try_cast("double"), F.get(numbers, F.lit(1)).try_cast("double"))
+        return let(point, lambda v: F.when(v["lon"].isNotNull() & v["lat"].isNotNull(), v))
 
-    return F.transform(F.split(body, ","), one)
+    return F.transform(
+        F.split(body, ","), lambda text: let(F.filter(F.split(strip(text), separator), lambda p: p != ""), of_numbers)
+    )
 
 
 def vertices_from_wkt(wkt: Column) -> Column:
     """Small strict parser: upper-case LINESTRING only, entries without two
     numbers skipped, anything else gives an empty array."""
     body = F.regexp_extract(wkt, _STRICT_LINE, 1)
-    return F.when(
-        wkt.rlike(_STRICT_LINE), F.filter(_pairs(body, " "), lambda v: v.isNotNull())
-    ).otherwise(F.array().cast(VERTICES_TYPE))
+    return F.when(body != "", F.filter(_pairs(body, " "), lambda v: v.isNotNull())).otherwise(
+        F.array().cast(VERTICES_TYPE)
+    )
 
 
 def parts_from_wkt(wkt: Column) -> Column:
@@ -258,8 +259,11 @@ def parts_from_wkt(wkt: Column) -> Column:
     one = F.array(F.regexp_extract(wkt, _LINE, 1))
     bodies = F.when(wkt.rlike(_MULTILINE), many).when(wkt.rlike(_LINE), one)
     parts = F.transform(bodies, lambda b: _pairs(b, r"\s+"))
-    broken = F.exists(parts, lambda p: F.exists(p, lambda v: v.isNull()))
-    return F.when(~broken, parts)
+
+    def unless_broken(found: Column) -> Column:
+        return F.when(~F.exists(found, lambda p: F.exists(p, lambda v: v.isNull())), found)
+
+    return let(parts, unless_broken)
 
 
 def wkt_from_vertices(vertices: Column) -> Column:

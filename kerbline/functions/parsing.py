@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from kerbline.fixed_values import NA_WORDS, WHITESPACE
 
 # Spark's own text-to-double cast also takes Java suffixes ("1.5d"), which are
-# not numbers here, so the shape of the text is checked first.
-_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+# not numbers here, so the shape of the text is checked first. Digits may be
+# grouped with single underscores.
+_DIGITS = r"\d+(?:_\d+)*"
+_NUMBER = rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity)$"
 
 _CLOCK = r"(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d*"
 _ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T]+" + _CLOCK + r")?\s*(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?$"
@@ -29,8 +31,7 @@ def blank_if_missing(c: Column) -> Column:
 def lenient_double(c: Column) -> Column:
     """Text to double; anything that is not a number becomes null."""
     text = strip(c)
-    digits = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
-    return F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
+    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def lenient_double_with_commas(c: Column) -> Column:

@@ -40,11 +40,11 @@ from kerbline.functions.geometry import (
 from kerbline.operators.skew import HOT_ROWS, hot_keys, larger_than
 
 CELL_ZOOM = 18
-# Line-side rows (one per segment and cell) that may be broadcast: at most
-# about 64 bytes each before hashing, so 16 MB.
-BROADCAST_ROWS = 250_000
-# Segments tested by inlined arithmetic before falling back to an array scan.
-_INLINE_SEGMENTS = 3
+# Rows that may be broadcast: line-side rows of at most about 300 bytes once
+# grouped, or points of about 60 bytes, so 30 MB.
+BROADCAST_ROWS = 100_000
+# Segments of a (line, cell) row kept in plain columns, before an array of the rest.
+INLINE_SEGMENTS = 4
 # Room for rounding in the cell bounds, in Mercator units.
 _SLACK = 1e-3
 # Segments with an infinite, missing or absurd end (degrees) are nowhere near a point.
@@ -58,9 +58,8 @@ def line_cells(
 ) -> DataFrame:
     """One row per line, segment and touched cell: key, ``radius``, ``cell``, ``seg``.
 
-    ``seg`` is the segment as the distance test wants it: start, vector and
-    inverse squared length in Mercator units, or start and end in radians for
-    the geodesic metric.
+    ``seg`` is the segment as the distance test wants it: start (a, b) and
+    vector (c, d), in Mercator units or, for the geodesic metric, radians.
     """
     _check_metric(metric)
     # A planar buffer of width zero is empty; a geodesic distance of zero is a touch.
@@ -87,11 +86,7 @@ def line_cells(
     if metric == "mercator":
         grow = F.col("radius") + F.lit(_SLACK)
         dx, dy = x2 - x1, y2 - y1
-        squared = dx * dx + dy * dy
-        seg = F.struct(
-            x1.alias("a"), y1.alias("b"), dx.alias("c"), dy.alias("d"),
-            F.when(squared > 0, F.lit(1.0) / squared).otherwise(0.0).alias("e"),
-        )
+        seg = F.struct(x1.alias("a"), y1.alias("b"), dx.alias("c"), dy.alias("d"))
     else:
         # Mercator units per metre grow with latitude; one per cent covers the
         # ellipsoid, and the reach itself is added to the latitude.
@@ -99,7 +94,7 @@ def line_cells(
         grow = F.col("radius") / F.cos(F.least(farthest, F.lit(1.57))) * F.lit(1.01) + F.lit(1.0)
         seg = F.struct(
             F.radians("_lon1").alias("a"), F.radians("_lat1").alias("b"),
-            F.radians("_lon2").alias("c"), F.radians("_lat2").alias("d"),
+            F.radians(F.col("_lon2") - F.col("_lon1")).alias("c"), F.radians(F.col("_lat2") - F.col("_lat1")).alias("d"),
         )
     size = F.lit(tile_size(zoom))
     origin = F.lit(TILE_ORIGIN)
@@ -170,37 +165,41 @@ def _check_metric(metric: str) -> None:
         raise ValueError(f"metric must be mercator or geodesic, not {metric}")
 
 
-def planar_hit(seg: Column, x: Column, y: Column, squared_reach: Column) -> Column:
-    """Squared point-segment distance test in Mercator units."""
-    share = F.greatest(
-        F.least(((x - seg["a"]) * seg["c"] + (y - seg["b"]) * seg["d"]) * seg["e"], F.lit(1.0)), F.lit(0.0)
+def _within(u: Column, v: Column, c: Column, d: Column, squared_reach: Column) -> Column:
+    """Whether the point at (u, v) from a segment's start is near the segment (c, d).
+
+    Free of divisions: before the start, past the end, or beside the segment.
+    """
+    along, squared = u * c + v * d, c * c + d * d
+    across = u * d - v * c
+    return (
+        F.when(along <= 0, u * u + v * v <= squared_reach)
+        .when(along >= squared, (u - c) * (u - c) + (v - d) * (v - d) <= squared_reach)
+        .otherwise(across * across <= squared_reach * squared)
     )
-    east = x - seg["a"] - share * seg["c"]
-    north = y - seg["b"] - share * seg["d"]
-    return east * east + north * north <= squared_reach
 
 
-def _tangent_hit(seg: Column, x: Column, y: Column, kx: Column, ky: Column, squared_reach: Column) -> Column:
+def planar_hit(seg, x: Column, y: Column, squared_reach: Column) -> Column:
+    """The distance test in Mercator units."""
+    return _within(x - seg["a"], y - seg["b"], seg["c"], seg["d"], squared_reach)
+
+
+def _tangent_hit(seg, x: Column, y: Column, kx: Column, ky: Column, squared_reach: Column) -> Column:
     """The same test in metres, on the tangent plane at the point."""
-    ax, ay = (seg["a"] - x) * kx, (seg["b"] - y) * ky
-    dx, dy = (seg["c"] - seg["a"]) * kx, (seg["d"] - seg["b"]) * ky
-    squared = dx * dx + dy * dy
-    share = F.when(
-        squared > 0, F.greatest(F.least(-(ax * dx + ay * dy) / squared, F.lit(1.0)), F.lit(0.0))
-    ).otherwise(F.lit(0.0))
-    east, north = ax + share * dx, ay + share * dy
-    return east * east + north * north <= squared_reach
-
-
-def _any_segment(segs: Column, hit) -> Column:
-    """Whether any segment of the array is a hit; the first few are inlined so
-    that the common short arrays stay inside generated code."""
-    n = F.size(segs)
-    inlined = [(n > i) & hit(F.get(segs, F.lit(i))) for i in range(_INLINE_SEGMENTS)]
-    rest = (n > _INLINE_SEGMENTS) & F.exists(
-        F.slice(segs, F.lit(_INLINE_SEGMENTS + 1), F.greatest(n - _INLINE_SEGMENTS, F.lit(0))), hit
-    )
-    return reduce(lambda a, b: a | b, [*inlined, rest])
+    return _within((x - seg["a"]) * kx, (y - seg["b"]) * ky, seg["c"] * kx, seg["d"] * ky, squared_reach)
+
+
+def _any_segment(hit) -> Column:
+    """Whether any segment of a grouped row is a hit.
+
+    The first few lie in plain columns, so that the common short groups never
+    leave generated code; longer groups go on with the rest of the array.
+    """
+    tests = [
+        (F.col("seg_count") > i) & hit({c: F.col(f"_{c}{i}") for c in "abcd"}) for i in range(INLINE_SEGMENTS)
+    ]
+    rest = (F.col("seg_count") > INLINE_SEGMENTS) & F.exists("more_segs", hit)
+    return reduce(lambda a, b: a | b, [*tests, rest])
 
 
 def _point_cells(points: DataFrame, measures: Sequence[str], metric: str, zoom: int, combine: bool) -> DataFrame:
@@ -298,35 +297,51 @@ def totals_near_lines(
     ``lines`` is unique on ``key``; ``points`` has ``lon``, ``lat`` and numeric
     ``measures``. Lines without a hit are absent from the result.
 
-    A line side of at most ``broadcast_rows`` cell rows (counted, not guessed)
-    is broadcast and the points are read once without a shuffle. Beyond that
-    both sides are shuffled by cell: points at one place are summed first and
-    hot cells are cut into pieces.
+    Sizes are counted, not guessed, and pick one of three plans:
+
+    * few line-side rows: broadcast them, the points are read once and never move;
+    * few points: broadcast those, and lines move once, as compact rows, by key;
+    * both large: shuffle both by cell. Points at one place are summed first,
+      and hot cells are cut into pieces.
     """
     key, measures = list(key), list(measures)
-    cells = line_cells(lines, key, parts, radius, metric, zoom)
     segments = segment_count(lines, parts)
-    small = segments <= broadcast_rows and not larger_than(cells, broadcast_rows)
-    placed = _point_cells(points, measures, metric, zoom, combine=not small)
-    on = ["cell"]
-    # A segment lists a cell at most once, so few segments make no hot cell.
-    if not small and (segments > hot_rows or larger_than(points, hot_rows)):
-        salts = _salts(lines, points, key, parts, radius, metric, zoom, hot_rows)
-        cells, placed = _cut_hot_cells(cells, placed, key, salts)
-        on = ["cell", "point_part", "line_part"]
-    if not small:
+    cells = line_cells(lines, key, parts, radius, metric, zoom)
+    if segments <= broadcast_rows and not larger_than(cells, broadcast_rows):
+        placed = _point_cells(points, measures, metric, zoom, combine=False)
+        near = placed.join(F.broadcast(grouped_cells(cells, key)), "cell")
+    elif not larger_than(points, broadcast_rows):
+        placed = _point_cells(points, measures, metric, zoom, combine=True)
+        # Partitioned by key, neither the grouping nor the sums shuffle again.
+        cells = line_cells(lines.repartition(*key), key, parts, radius, metric, zoom)
+        near = grouped_cells(cells, key).join(F.broadcast(placed), "cell")
+    else:
+        placed = _point_cells(points, measures, metric, zoom, combine=True)
+        on = ["cell"]
+        # A segment lists a cell at most once, so few segments make no hot cell.
+        if segments > hot_rows or larger_than(points, hot_rows):
+            salts = _salts(lines, points, key, parts, radius, metric, zoom, hot_rows)
+            cells, placed = _cut_hot_cells(cells, placed, key, salts)
+            on = ["cell", "point_part", "line_part"]
         # One shuffle of the line side serves both the grouping and the join.
-        cells = cells.repartition(*on)
-    grouped = grouped_cells(cells, key, on)
-    if small:
-        grouped = F.broadcast(grouped)
-    matched = placed.join(grouped, on).filter(_near(metric))
-    return matched.groupBy(*key).agg(*[F.sum(m).alias(m) for m in measures])
+        near = placed.join(grouped_cells(cells.repartition(*on), key, on), on)
+    return near.filter(_near(metric)).groupBy(*key).agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def grouped_cells(cells: DataFrame, key: Sequence[str], on: Sequence[str] = ("cell",)) -> DataFrame:
-    """One row per line and cell; ``segs`` holds only segments of that one line."""
-    return cells.groupBy(*key, "radius", *on).agg(F.collect_list("seg").alias("segs"))
+    """One row per line and cell, with the segments of that one line that touch it."""
+    flat = [
+        F.get("_segs", F.lit(i))[c].alias(f"_{c}{i}") for i in range(INLINE_SEGMENTS) for c in "abcd"
+    ]
+    more = F.when(
+        F.size("_segs") > INLINE_SEGMENTS,
+        F.slice("_segs", F.lit(INLINE_SEGMENTS + 1), F.greatest(F.size("_segs") - INLINE_SEGMENTS, F.lit(0))),
+    )
+    return (
+        cells.groupBy(*key, "radius", *on)
+        .agg(F.collect_list("seg").alias("_segs"))
+        .select(*key, "radius", *on, F.size("_segs").alias("seg_count"), *flat, more.alias("more_segs"))
+    )
 
 
 def near_grouped_cells(
@@ -342,12 +357,12 @@ def _near(metric: str) -> Column:
     squared_reach = F.col("radius") * F.col("radius")
     x, y = F.col("px"), F.col("py")
 
-    def hit(seg: Column) -> Column:
+    def hit(seg) -> Column:
         if metric == "mercator":
             return planar_hit(seg, x, y, squared_reach)
         return _tangent_hit(seg, x, y, F.col("kx"), F.col("ky"), squared_reach)
 
-    return _any_segment(F.col("segs"), hit)
+    return _any_segment(hit)
 
 
 def with_copies_once(lines: DataFrame, key: Sequence[str], parts: str, radius: str, hot_rows: int | None = HOT_ROWS):

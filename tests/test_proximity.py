@@ -78,7 +78,8 @@ def _brute(metric, spots, shapes, radii):
 
 
 PATHS = {
-    "broadcast": {},
+    "lines broadcast": {},
+    "points broadcast": {"broadcast_rows": 850},
     "shuffle": {"broadcast_rows": 0},
     "salted": {"broadcast_rows": 0, "hot_rows": 20},
 }
