@@ -44,7 +44,8 @@ CELL_ZOOM = 18
 # grouped, or points of about 60 bytes, so 30 MB.
 BROADCAST_ROWS = 100_000
 # Segments of a (line, cell) row kept in plain columns, before an array of the rest.
-INLINE_SEGMENTS = 4
+# More would grow the generated join method past what the JVM compiles.
+INLINE_SEGMENTS = 2
 # Room for rounding in the cell bounds, in Mercator units.
 _SLACK = 1e-3
 # Segments with an infinite, missing or absurd end (degrees) are nowhere near a point.

@@ -17,6 +17,8 @@ def local_session(cpus: str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # The JVM does not compile methods beyond 8000 bytes; smaller pieces run faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
