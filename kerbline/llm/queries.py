@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import pieces, token_counts
+from kerbline.llm import archive, pieces, token_counts, topk
+from kerbline.llm.storage import shared_folder
 
 MODEL = "piece_bpe_32k.model"
 
@@ -28,9 +30,50 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a record per page, read the archive back, and weigh what came back."""
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write_archive(_table(spark, sf_dir, "pages"), path)
+    records = archive.read_archive(spark, path)
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all embeddings for every 50th, on whole-numbered components."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    vectors = _table(spark, sf_dir, "embeddings").where(finite).select(F.col("vec_id").alias("id"), whole.alias("vector"))
+    found = topk.exact_top_k(vectors, F.col("id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op3_token_counts)
+    for f in (
+        op1_sentencepiece,
+        op3_token_counts,
+        op6_warc,
+        op7_exact_top_k,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),
+        m AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM d),
+        r AS (SELECT *, n >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM m)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to
+        FROM r""",
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
+}
