@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import archive, language, mixing, phrases, pieces, token_counts, topk
+from kerbline.llm import archive, language, mixing, ngram_join, phrases, pieces, token_counts, topk
 from kerbline.llm.storage import shared_folder, shipped
 
 MODEL = "piece_bpe_32k.model"
@@ -35,6 +35,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_sentencepiece,
         op2_fingerprints,
         op3_token_counts,
+        op4_ngram_jaccard,
         op5_mixing,
         op6_warc,
         op7_exact_top_k,
@@ -76,6 +82,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT text, min(doc_id) AS first_id, count(*) AS copies, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents GROUP BY text),
+        t AS (SELECT first_id AS k, text, first_id, copies, ws FROM w WHERE len(ws) > 0),
+        s AS (
+            SELECT k, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS sh
+            FROM t),
+        n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+        i AS (SELECT a.k AS a, b.k AS b, count(*) AS inter FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.k <> b.k GROUP BY ALL),
+        l AS (
+            SELECT i.a, i.b FROM i JOIN n AS x ON x.k = i.a JOIN n AS y ON y.k = i.b
+            WHERE inter >= 0.8 * (x.n + y.n - inter) - 1e-9),
+        reach(a, b) AS (SELECT k, k FROM t UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+        c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+        m AS (SELECT l.a, sum(t.copies) AS linked FROM l JOIN t ON t.k = l.b GROUP BY l.a)
+        SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id,
+               (CASE WHEN t.k IS NULL THEN 0 ELSE coalesce(m.linked, 0) + t.copies - 1 END)::BIGINT AS n_links
+        FROM documents AS d LEFT JOIN t ON t.text = d.text LEFT JOIN c ON c.a = t.k LEFT JOIN m ON m.a = t.k""",
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest FROM p),

@@ -67,7 +67,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]), 1 << 16)
-        _powers = tuple(np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, _INVERSE))
+        tables = [np.full(size, b, np.uint64) for b in (_BASE, _INVERSE)]
+        for t in tables:
+            t[0] = 1
+        _powers = tuple(np.cumprod(t) for t in tables)
     return _powers
 
 
