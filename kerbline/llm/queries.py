@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import archive, language, mixing, ngram_join, phrases, pieces, token_counts, topk
+from kerbline.llm import archive, language, mixing, ngram_join, phrases, pieces, suffixes, token_counts, topk
 from kerbline.llm.storage import shared_folder, shipped
 
 MODEL = "piece_bpe_32k.model"
@@ -62,6 +62,11 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that stand earlier."""
+    return suffixes.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from four folds of five."""
     return language.identify(_table(spark, sf_dir, "documents"))
@@ -77,11 +82,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_mixing,
         op6_warc,
         op7_exact_top_k,
+        op8_suffix_dedup,
         op9_language_id,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        s AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS i FROM d)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM s),
+        b AS (SELECT doc_id, h, n, unnest(range(1, n + 1)) AS i FROM d),
+        g AS (
+            SELECT b.doc_id, b.h, b.n, b.i,
+                   coalesce(max(f.again::INTEGER) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone
+            FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.i = b.i),
+        e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g),
+        r AS (
+            SELECT doc_id, sum(gone) AS n_removed, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS n_spans,
+                   string_agg(CASE WHEN gone = 0 THEN substr(h, 2 * i - 1, 2) ELSE '' END, '' ORDER BY i) AS kept
+            FROM e GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op4_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT text, min(doc_id) AS first_id, count(*) AS copies, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
