@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import archive, language, mixing, ngram_join, phrases, pieces, suffixes, token_counts, topk
+from kerbline.llm import archive, language, lines, mixing, ngram_join, phrases, pieces, suffixes, token_counts, topk
 from kerbline.llm.storage import shared_folder, shipped
 
 MODEL = "piece_bpe_32k.model"
@@ -72,6 +72,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that an earlier one resembles."""
+    done = lines.without_repeated_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_exact_top_k,
         op8_suffix_dedup,
         op9_language_id,
+        op10_line_dedup,
     )
 }
 

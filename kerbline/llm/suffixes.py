@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.groups import whole_groups
+from kerbline.llm.packed import ROWS, column, packed, split
 from kerbline.llm.storage import written
 from kerbline.llm.text import _power_tables, filled, mixed, portions, running, span_hash, utf8
 
@@ -191,27 +192,6 @@ def repeated(data: np.ndarray, at: np.ndarray, of: np.ndarray, doc: np.ndarray,
     )
 
 
-def _split(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    columns = [c[order] for c in columns]
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), [c[a:b] for c in columns]
-
-
-_PACKED = pa.schema([("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-
-
-def _packed(rows: Iterable[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
-    made = [(bucket, *(c.tobytes() for c in columns), *[None] * (4 - len(columns))) for bucket, columns in rows]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], f.type) for k, f in enumerate(_PACKED)], schema=_PACKED)
-
-
-def _joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x), kind)
-
-
 def _numbered(table: pa.Table) -> np.ndarray:
     """Places (cutting, document, byte) of all messages, cuttings numbered through."""
     out, base = [np.zeros((0, 3), np.int64)], 0
@@ -228,9 +208,6 @@ def _slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.arange(int(sizes.sum())) + np.repeat(starts - ends + sizes, sizes)]
 
 
-_ROWS = "bucket long, a binary, b binary, c binary, d binary"
-
-
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans``
     and ``kept`` (binary): the text's UTF-8 without each byte that lies in a string
@@ -265,13 +242,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
             many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-            yield _packed(_split((h[new] % np.uint64(buckets)).astype(np.int64), [h[new], own[new], many]))
+            yield packed(split((h[new] % np.uint64(buckets)).astype(np.int64), [h[new], own[new], many]))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["bucket"]):
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 part = table.slice(a, b - a)
-                h, own, many = _joined(part, "a", np.uint64), _joined(part, "b", np.int64), _joined(part, "c", bool)
+                h, own, many = column(part, "a", np.uint64), column(part, "b", np.int64), column(part, "c", bool)
                 order = np.lexsort([own, h])
                 h, own, many = h[order], own[order], many[order]
                 group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1 if len(h) else own
@@ -280,12 +257,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
                 h, own = h[some], own[some]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-                yield _packed(_split(own[new], [h[new]]))
+                yield packed(split(own[new], [h[new]]))
 
     def by_bucket(rows: DataFrame, *then: str) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket", *then)
 
-    met = by_bucket(narrow.select("bucket", "text").mapInArrow(announce, _ROWS)).mapInArrow(meet, _ROWS)
+    met = by_bucket(narrow.select("bucket", "text").mapInArrow(announce, ROWS)).mapInArrow(meet, ROWS)
 
     def beside(messages: DataFrame) -> DataFrame:
         """Documents of a bucket behind the messages to it."""
@@ -300,7 +277,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
         for table, starts in whole_groups(batches, ["bucket"]):
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 part = table.slice(a, b - a)
-                known = np.unique(_joined(part, "a", np.uint64))
+                known = np.unique(column(part, "a", np.uint64))
                 rows = part.filter(part.column("text").is_valid())
                 if not len(known):
                     continue
@@ -315,22 +292,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
                     doc = places(pa.chunked_array([batch.column("id")]))[text]
                     at_doc = first - at[text]
                     number = h % np.uint64(buckets)
-                    own = {n: c for n, c in _split(number[lead].astype(np.int64), [lead])}
+                    own = {n: c for n, c in split(number[lead].astype(np.int64), [lead])}
                     message = []
-                    for n, (o, d, p) in _split(number.astype(np.int64), [of, doc, at_doc]):
+                    for n, (o, d, p) in split(number.astype(np.int64), [of, doc, at_doc]):
                         rows_of = own[n][0]
                         cutting = np.unique(o, return_inverse=True)[1]
                         rows_of = rows_of[np.argsort(of[rows_of], kind="stable")]
                         message.append((n, [_slices(data, first[rows_of], size[rows_of]), size[rows_of], np.stack([cutting, d, p], 1), h[rows_of]]))
-                    yield _packed(message)
+                    yield packed(message)
 
-    cuttings = by_bucket(beside(met).mapInArrow(cut, _ROWS))
+    cuttings = by_bucket(beside(met).mapInArrow(cut, ROWS))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["bucket"]):
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 part = table.slice(a, b - a)
-                data, size, h = _joined(part, "a", np.uint8), _joined(part, "b", np.int64), _joined(part, "d", np.uint64)
+                data, size, h = column(part, "a", np.uint8), column(part, "b", np.int64), column(part, "d", np.uint64)
                 of, doc, start = _numbered(part).T
                 order = np.argsort(h, kind="stable")
                 turned = np.empty(len(order), np.int64)
@@ -358,9 +335,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
 
 
 def _finished(docs: DataFrame, narrow: DataFrame, ranges: DataFrame, id_column: str, id_kind: str) -> DataFrame:
-    packed = ranges.groupBy("doc").agg(F.collect_list(F.struct("left", "right")).alias("ranges"))
+    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("left", "right")).alias("ranges"))
     key = F.coalesce(F.col("id").cast("long"), F.lit(_LAST))
-    both = narrow.select("id", "text", key.alias("key")).join(packed, F.col("key") == F.col("doc"), "left")
+    both = narrow.select("id", "text", key.alias("key")).join(by_doc, F.col("key") == F.col("doc"), "left")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
