@@ -13,9 +13,11 @@ _SCHEMA = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in "abcd")
 
 def split(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The values that go to each bucket, in their order."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     columns = [c[order] for c in columns]
     for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         yield int(bucket[a]), [c[a:b] for c in columns]
