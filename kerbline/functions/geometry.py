@@ -227,7 +227,8 @@ def box_of(vertices: Column) -> Column:
 
 # --- well-known text ---------------------------------------------------------
 
-_STRICT_LINE = r"(?s)^\s*LINESTRING\s*\((.+)\)\s*$"
+# Fixed value: what the strict parser takes, on one line.
+_STRICT_LINE = r"^\s*LINESTRING\s*\((.+)\)\s*$"
 _LINE = r"(?is)^\s*LINESTRING\s*(?:Z|M|ZM)?\s*\(([^()a-df-z]+)\)\s*$"
 _MULTILINE = r"(?is)^\s*MULTILINESTRING\s*(?:Z|M|ZM)?\s*\(\s*\(([^a-df-z]+)\)\s*\)\s*$"
 

@@ -19,7 +19,7 @@ from kerbline.fixed_values import (
 )
 from kerbline.functions.geometry import vertex
 from kerbline.functions.scoring import relative_difference
-from kerbline.operators.skew import HOT_ROWS, join_past_hot_keys, rank_in_group
+from kerbline.operators.skew import rank_in_group
 
 
 def _waypoint(kind: str, order: Column, lon: Column, lat: Column) -> Column:
@@ -78,36 +78,50 @@ def east_west_waypoints(requests: DataFrame, have: str, needed: str) -> DataFram
     return requests.select("request_id", F.inline(F.transform(steps, point)))
 
 
-def distinct_enough(
-    candidates: DataFrame, primaries: DataFrame, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """Candidate routes whose length differs enough from their request's primary.
+# Kinds of candidates in the order in which they are asked for.
+KINDS = ("compass", "on_line", "east_west")
+
+
+def distinct_enough(candidates: DataFrame, primaries: DataFrame) -> DataFrame:
+    """Candidate routes with coordinates whose length differs enough from their
+    request's primary.
 
-    ``candidates``: ``request_id``, ``kind``, ``distance`` and whatever else;
-    ``primaries`` is unique on ``request_id`` with ``distance``. East/west
-    candidates are taken as they are; a kind without a rule is refused.
+    ``candidates``: ``request_id``, ``kind``, ``vertices``, ``distance`` and
+    whatever else; ``primaries`` is unique on ``request_id`` with ``vertices`` and
+    ``distance``. Compass candidates need a primary with coordinates as well.
+    East/west candidates are taken whatever their length; a kind without a rule
+    is refused.
     """
-    base = primaries.select("request_id", F.coalesce("distance", F.lit(0.0)).alias("_primary"))
-    joined = join_past_hot_keys(
-        candidates, base, ["request_id"], spread=[c for c in candidates.columns if c in ("index", "step")] or ["distance"],
-        hot_rows=hot_rows,
-    )
+    drawn = F.coalesce(F.size("vertices"), F.lit(0)) > 0
+    base = primaries.select("request_id", F.coalesce("distance", F.lit(0.0)).alias("_primary"), drawn.alias("_drawn"))
+    joined = candidates.filter(drawn).join(base, "request_id").filter((F.col("kind") != "compass") | F.col("_drawn"))
     difference = relative_difference(F.coalesce("distance", F.lit(0.0)), F.col("_primary"))
     least = F.when(F.col("kind") == "compass", F.lit(COMPASS_MIN_DIFFERENCE)).when(
         F.col("kind") == "on_line", F.lit(ON_LINE_MIN_DIFFERENCE)
     )
-    return joined.filter((F.col("kind") == "east_west") | (difference > least)).drop("_primary")
+    return joined.filter((F.col("kind") == "east_west") | (difference > least)).drop("_primary", "_drawn")
 
 
 def with_more_routes(
-    routes: DataFrame, extra: DataFrame, order: str, hot_rows: int | None = HOT_ROWS
+    requests: DataFrame, routes: DataFrame, extra: DataFrame, order: str, most: int | None = None
 ) -> DataFrame:
-    """Routes followed by extra ones, numbered anew from 0 within each request."""
-    both = routes.withColumn("_from", F.lit(0)).unionByName(
-        extra.withColumn("_from", F.lit(1)), allowMissingColumns=True
+    """Routes followed by extra ones, numbered anew from 0 within each request.
+
+    Extra routes (``kind``, ``order``) come in the order in which kinds are asked
+    for, and only until the request has its ``max_alternatives``, or ``most`` if
+    that is less. Routes that are there already all stay.
+    """
+    kinds = F.when(F.col("kind") == KINDS[0], 1).when(F.col("kind") == KINDS[1], 2).otherwise(3)
+    both = routes.withColumn("_from", F.lit(0)).unionByName(extra.withColumn("_from", kinds).drop("kind"), allowMissingColumns=True)
+    numbered = rank_in_group(both, ["request_id"], ["_from", order], rank="_n")
+    wanted = F.least(F.col("max_alternatives"), F.lit(most)) if most is not None else F.col("max_alternatives")
+    asked = requests.select("request_id", wanted.alias("_wanted"))
+    return (
+        numbered.join(asked, "request_id")
+        .filter((F.col("_from") == 0) | (F.col("_n") <= F.col("_wanted")))
+        .withColumn("index", (F.col("_n") - 1).cast("int"))
+        .drop("_n", "_from", "_wanted")
     )
-    numbered = rank_in_group(both, ["request_id"], ["_from", order], rank="_n", hot_rows=hot_rows)
-    return numbered.withColumn("index", (F.col("_n") - 1).cast("int")).drop("_n", "_from")
 
 
 def _copies(primaries: DataFrame, count: Column, moved, stretch: tuple[float, float]) -> DataFrame:
@@ -146,7 +160,7 @@ def shifted_copies(primaries: DataFrame, count: Column) -> DataFrame:
 
 
 def pad_alternatives(
-    requests: DataFrame, routes: DataFrame, how: str = "zigzag", hot_rows: int | None = HOT_ROWS
+    requests: DataFrame, routes: DataFrame, how: str = "zigzag"
 ) -> DataFrame:
     """Fill each request up to ``max_alternatives`` with invented copies.
 

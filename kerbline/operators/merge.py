@@ -1,13 +1,10 @@
-"""Keyed merges into stored tables, without a merge statement.
-
-The stored table is read with a left join against the incoming batch, so a
-small batch is broadcast (by its measured size) and the stored rows never move;
-rows that are new are found among the stored keys the batch touches.
-"""
+"""Keyed merges into stored tables, without a merge statement: one full outer
+join, which reads each side once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +17,16 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: Sequence[str], keep_if_n
     is null. ``incoming`` must be unique on ``key``.
     """
     key, keep = list(key), set(keep_if_null)
-    values = [c for c in stored.columns if c not in key]
-    batch = incoming.select(*key, *[F.col(c).cast(stored.schema[c].dataType).alias(f"_new_{c}") for c in values],
-                            F.lit(True).alias("_hit"))
+    new = incoming.select(
+        *[F.col(c).cast(stored.schema[c].dataType).alias(f"_new_{c}") for c in stored.columns], F.lit(True).alias("_hit")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_new_{k}") for k in key])
 
     def merged(c):
-        new, old = F.col(f"_new_{c}"), F.col(c)
-        return F.when(F.col("_hit"), F.coalesce(new, old) if c in keep else new).otherwise(old).alias(c)
+        fresh = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in keep else F.col(f"_new_{c}")
+        return F.when(F.col("_hit"), fresh).otherwise(F.col(c)).alias(c)
 
-    kept = stored.join(batch, key, "left").select(
-        *[F.col(c) if c in key else merged(c) for c in stored.columns]
-    )
-    touched = stored.select(*key).join(batch.select(*key), key, "left_semi")
-    added = batch.join(touched, key, "left_anti").select(
-        *[F.col(c) if c in key else F.col(f"_new_{c}").alias(c) for c in stored.columns]
-    )
-    return kept.unionByName(added)
+    return stored.join(new, same, "full").select(*[merged(c) for c in stored.columns])
 
 
 def upsert_crash(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ their great circle first).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.fixed_values import TILE_ORIGIN
+from kerbline.fixed_values import TILE_ORIGIN, TILE_WORLD
 from kerbline.functions.geometry import (
     along_arc,
     arc_angle,
@@ -32,49 +33,81 @@ from kerbline.functions.geometry import (
     piece_count,
     steps,
     tile_size,
-    tile_x,
-    tile_y,
     unit_vector,
     vertex_of_vector,
 )
-from kerbline.operators.skew import HOT_ROWS, hot_keys, larger_than
 
+# The finest grid; a cell measures some 153 units there.
 CELL_ZOOM = 18
-# Rows that may be broadcast: line-side rows of at most about 300 bytes once
-# grouped, or points of about 60 bytes, so 30 MB.
-BROADCAST_ROWS = 100_000
+# A cell is at least this share of the radius, so that a buffer touches few of them.
+CELL_SHARE = 3.0
 # Segments of a (line, cell) row kept in plain columns, before an array of the rest.
 # More would grow the generated join method past what the JVM compiles.
 INLINE_SEGMENTS = 2
 # Room for rounding in the cell bounds, in Mercator units.
 _SLACK = 1e-3
-# Segments with an infinite, missing or absurd end (degrees) are nowhere near a point.
-_FAR = 1e6
-# One row in this many is read to look for hot cells.
-_SAMPLE = 64
+
+
+def zoom_of(radius: float, finest: int = CELL_ZOOM) -> int:
+    """The zoom whose cells suit a radius."""
+    if not 0 < radius < math.inf:
+        return finest
+    return min(finest, max(0, math.floor(math.log2(TILE_WORLD * CELL_SHARE / radius))))
+
+
+def _zoom_column(radius: Column, finest: int) -> Column:
+    fitting = F.floor(F.log2(F.lit(TILE_WORLD * CELL_SHARE) / radius)).cast("int")
+    return F.when((radius > 0) & (radius < math.inf), F.least(F.lit(finest), F.greatest(F.lit(0), fitting))).otherwise(finest)
+
+
+def _size(zoom: int | Column) -> Column:
+    return F.lit(tile_size(zoom)) if isinstance(zoom, int) else F.lit(TILE_WORLD) / F.pow(F.lit(2.0), zoom)
+
+
+def _column_of(mx: Column, zoom: int | Column) -> Column:
+    """Column of the grid; what lies outside belongs to the border."""
+    return _inside(F.floor((mx + F.lit(TILE_ORIGIN)) / _size(zoom)), zoom)
+
+
+def _row_of(my: Column, zoom: int | Column) -> Column:
+    return _inside(F.floor((F.lit(TILE_ORIGIN) - my) / _size(zoom)), zoom)
+
+
+def _inside(number: Column, zoom: int | Column) -> Column:
+    most = F.lit(2**zoom - 1) if isinstance(zoom, int) else F.pow(F.lit(2.0), zoom) - 1
+    return F.least(F.greatest(number.cast("bigint"), F.lit(0).cast("bigint")), most.cast("bigint"))
+
+
+def _cell(column: Column, row: Column, zoom: Column) -> Column:
+    """Cells of all zooms in one number."""
+    return cell_id(zoom.cast("bigint") * F.lit(1 << 24) + column, row)
 
 
 def line_cells(
-    lines: DataFrame, key: Sequence[str], parts: str, radius: str, metric: str, zoom: int = CELL_ZOOM
+    lines: DataFrame, key: Sequence[str], parts: str, radius: str, metric: str, zoom: int | str = CELL_ZOOM
 ) -> DataFrame:
     """One row per line, segment and touched cell: key, ``radius``, ``cell``, ``seg``.
 
+    ``zoom`` is a number, or a column with the zoom of each line; then ``cell``
+    holds the zoom as well. Segments with a missing or infinite end touch none.
+
     ``seg`` is the segment as the distance test wants it: start (a, b) and
     vector (c, d), in Mercator units or, for the geodesic metric, radians.
     """
     _check_metric(metric)
     # A planar buffer of width zero is empty; a geodesic distance of zero is a touch.
     wide_enough = F.col(radius) > 0 if metric == "mercator" else F.col(radius) >= 0
-    carry = [*key, "radius"]
+    mixed = isinstance(zoom, str)
+    carry = [*key, "radius", *([zoom] if mixed else [])]
     ends = ["_lon1", "_lat1", "_lon2", "_lat2"]
     segments = (
         lines.filter(wide_enough)
-        .select(*key, F.col(radius).alias("radius"), F.explode(F.flatten(F.transform(parts, steps))).alias("_s"))
+        .select(*key, F.col(radius).alias("radius"), *([zoom] if mixed else []), F.explode(F.flatten(F.transform(parts, steps))).alias("_s"))
         .select(
             *carry, F.col("_s.a.lon").alias("_lon1"), F.col("_s.a.lat").alias("_lat1"),
             F.col("_s.b.lon").alias("_lon2"), F.col("_s.b.lat").alias("_lat2"),
         )
-        .filter(reduce(lambda a, b: a & b, [F.abs(c) < _FAR for c in ends]))
+        .filter(reduce(lambda a, b: a & b, [F.abs(c) < math.inf for c in ends]))
     )
     if metric == "geodesic":
         segments = _short_pieces(segments, carry)
@@ -97,7 +130,8 @@ def line_cells(
             F.radians("_lon1").alias("a"), F.radians("_lat1").alias("b"),
             F.radians(F.col("_lon2") - F.col("_lon1")).alias("c"), F.radians(F.col("_lat2") - F.col("_lat1")).alias("d"),
         )
-    size = F.lit(tile_size(zoom))
+    at = F.col(zoom) if mixed else zoom
+    size = _size(at)
     origin = F.lit(TILE_ORIGIN)
     rows = segments.select(
         *carry, seg.alias("seg"), grow.alias("_grow"), "_x1", "_y1", "_x2", "_y2"
@@ -105,8 +139,8 @@ def line_cells(
         "*",
         F.explode(
             F.sequence(
-                tile_y(F.greatest("_y1", "_y2") + F.col("_grow"), zoom),
-                tile_y(F.least("_y1", "_y2") - F.col("_grow"), zoom),
+                _row_of(F.greatest("_y1", "_y2") + F.col("_grow"), at),
+                _row_of(F.least("_y1", "_y2") - F.col("_grow"), at),
             )
         ).alias("_cy"),
     )
@@ -121,14 +155,13 @@ def line_cells(
     enter = F.when(flat, zero).otherwise(F.least(F.greatest(F.least(at_top, at_bottom), zero), one))
     leave = F.when(flat, one).otherwise(F.least(F.greatest(F.greatest(at_top, at_bottom), zero), one))
     xa, xb = F.col("_x1") + enter * run, F.col("_x1") + leave * run
+    cell = _cell(F.col("_cx"), F.col("_cy"), F.col(zoom)) if mixed else cell_id(F.col("_cx"), F.col("_cy"))
     return rows.select(
-        *key, "radius", "seg", "_cy",
+        *carry, "seg", "_cy",
         F.explode(
-            F.sequence(
-                tile_x(F.least(xa, xb) - F.col("_grow"), zoom), tile_x(F.greatest(xa, xb) + F.col("_grow"), zoom)
-            )
+            F.sequence(_column_of(F.least(xa, xb) - F.col("_grow"), at), _column_of(F.greatest(xa, xb) + F.col("_grow"), at))
         ).alias("_cx"),
-    ).select(*key, "radius", "seg", cell_id(F.col("_cx"), F.col("_cy")).alias("cell"))
+    ).select(*key, "radius", "seg", cell.alias("cell"))
 
 
 def _short_pieces(segments: DataFrame, carry: Sequence[str], max_metres: float = 1000.0) -> DataFrame:
@@ -203,14 +236,21 @@ def _any_segment(hit) -> Column:
     return reduce(lambda a, b: a | b, [*tests, rest])
 
 
-def _point_cells(points: DataFrame, measures: Sequence[str], metric: str, zoom: int, combine: bool) -> DataFrame:
-    """Points with their cell; points at one place become one row first."""
+def _point_cells(points: DataFrame, measures: Sequence[str], metric: str, zoom: int | Column, combine: bool) -> DataFrame:
+    """Points with their cell; points at one place become one row first.
+
+    ``zoom`` is a number, or an array of all zooms in use: then a point has a
+    cell in each of them, and cells hold their zoom.
+    """
     located = points.select("lon", "lat", *measures)
     if combine:
-        places = located.groupBy("lon", "lat")
-        located = places.agg(*[F.sum(m).alias(m) for m in measures]) if measures else located.distinct()
+        located = located.groupBy("lon", "lat").agg(*[F.sum(m).alias(m) for m in measures])
+    at = zoom
+    if not isinstance(zoom, int):
+        located, at = located.withColumn("_zoom", F.explode(zoom)), F.col("_zoom")
     mx, my = mercator_x(F.col("lon")), mercator_y(F.col("lat"))
-    cell = cell_id(tile_x(mx, zoom), tile_y(my, zoom)).alias("cell")
+    column, row = _column_of(mx, at), _row_of(my, at)
+    cell = (cell_id(column, row) if isinstance(zoom, int) else _cell(column, row, at)).alias("cell")
     if metric == "mercator":
         return located.select(cell, mx.alias("px"), my.alias("py"), *measures)
     return located.select(
@@ -223,63 +263,6 @@ def _point_cells(points: DataFrame, measures: Sequence[str], metric: str, zoom:
     )
 
 
-def _sampled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.filter(F.pmod(F.xxhash64(*columns), F.lit(_SAMPLE)) == 0)
-
-
-def _salts(
-    lines: DataFrame, points: DataFrame, key: Sequence[str], parts: str, radius: str, metric: str, zoom: int,
-    hot_rows: int,
-) -> DataFrame:
-    """Into how many point parts and line parts each hot cell is cut.
-
-    A hot cell with P places and L line rows becomes ceil(P/hot) x ceil(L/hot)
-    pieces. P and L come from a hash sample: they only steer how work is cut,
-    every pair of one point and one line meets exactly once whatever they are.
-    The result has fewer than (places + line rows) / hot_rows rows, give or
-    take the sample's error.
-    """
-    least = max(hot_rows // _SAMPLE, 1)
-
-    def pieces(count: str) -> Column:
-        return F.coalesce(F.ceil(F.col(count) * F.lit(_SAMPLE) / F.lit(hot_rows)).cast("int"), F.lit(1))
-
-    hot_points = hot_keys(
-        _point_cells(_sampled(points, ["lon", "lat"]), [], metric, zoom, combine=True), ["cell"], least
-    ).withColumnRenamed("_rows", "_p")
-    hot_lines = hot_keys(
-        line_cells(_sampled(lines, key), key, parts, radius, metric, zoom), ["cell"], least
-    ).withColumnRenamed("_rows", "_l")
-    return hot_points.join(hot_lines, "cell", "full").select(
-        "cell", pieces("_p").alias("_np"), pieces("_l").alias("_nl")
-    )
-
-
-def _cut_hot_cells(cells: DataFrame, points: DataFrame, key: Sequence[str], salts: DataFrame):
-    """Tag both sides with their piece and copy each to the pieces it must meet."""
-    salts = F.broadcast(salts)
-    np_, nl = F.coalesce("_np", F.lit(1)), F.coalesce("_nl", F.lit(1))
-    cells = (
-        cells.join(salts, "cell", "left")
-        .withColumn("line_part", F.pmod(F.xxhash64(*key), nl).cast("int"))
-        .withColumn("point_part", F.explode(F.sequence(F.lit(0), np_ - 1)))
-        .drop("_np", "_nl")
-    )
-    points = (
-        points.join(salts, "cell", "left")
-        .withColumn("point_part", F.pmod(F.xxhash64("px", "py"), np_).cast("int"))
-        .withColumn("line_part", F.explode(F.sequence(F.lit(0), nl - 1)))
-        .drop("_np", "_nl")
-    )
-    return cells, points
-
-
-def segment_count(lines: DataFrame, parts: str) -> int:
-    """Number of segments of all lines; one narrow pass."""
-    per_line = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: n + F.greatest(F.size(p) - 1, F.lit(0)))
-    return lines.agg(F.coalesce(F.sum(per_line), F.lit(0))).first()[0]
-
-
 def totals_near_lines(
     lines: DataFrame,
     points: DataFrame,
@@ -290,42 +273,32 @@ def totals_near_lines(
     measures: Sequence[str],
     parts: str = "parts",
     zoom: int = CELL_ZOOM,
-    hot_rows: int = HOT_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    radii: Sequence[float] | None = None,
 ) -> DataFrame:
     """Sum point measures over the points within ``radius`` of each line.
 
     ``lines`` is unique on ``key``; ``points`` has ``lon``, ``lat`` and numeric
-    ``measures``. Lines without a hit are absent from the result.
-
-    Sizes are counted, not guessed, and pick one of three plans:
-
-    * few line-side rows: broadcast them, the points are read once and never move;
-    * few points: broadcast those, and lines move once, as compact rows, by key;
-    * both large: shuffle both by cell. Points at one place are summed first,
-      and hot cells are cut into pieces.
+    ``measures``. Lines without a hit are absent from the result. A radius above
+    0 has cells to suit it, ``zoom`` at the finest; a caller who knows all radii
+    states them in ``radii`` and saves a look at the column.
+
+    One plan for all sizes. Lines move once, as compact rows by key, so that
+    neither the grouping of their cells nor the sums shuffle again while the
+    points fit a broadcast. Points at one place are summed before they move.
+    Which side is broadcast, if any, follows from the engine's own byte counts,
+    and a hot cell of the shuffled join is cut by its skew handling: both sides
+    come straight from their shuffles, which it needs for that.
     """
     key, measures = list(key), list(measures)
-    segments = segment_count(lines, parts)
-    cells = line_cells(lines, key, parts, radius, metric, zoom)
-    if segments <= broadcast_rows and not larger_than(cells, broadcast_rows):
-        placed = _point_cells(points, measures, metric, zoom, combine=False)
-        near = placed.join(F.broadcast(grouped_cells(cells, key)), "cell")
-    elif not larger_than(points, broadcast_rows):
-        placed = _point_cells(points, measures, metric, zoom, combine=True)
-        # Partitioned by key, neither the grouping nor the sums shuffle again.
-        cells = line_cells(lines.repartition(*key), key, parts, radius, metric, zoom)
-        near = grouped_cells(cells, key).join(F.broadcast(placed), "cell")
+    fitted = _zoom_column(F.col(radius), zoom)
+    if radii is None:
+        zooms = lines.agg(F.collect_set(fitted)).scalar()
     else:
-        placed = _point_cells(points, measures, metric, zoom, combine=True)
-        on = ["cell"]
-        # A segment lists a cell at most once, so few segments make no hot cell.
-        if segments > hot_rows or larger_than(points, hot_rows):
-            salts = _salts(lines, points, key, parts, radius, metric, zoom, hot_rows)
-            cells, placed = _cut_hot_cells(cells, placed, key, salts)
-            on = ["cell", "point_part", "line_part"]
-        # One shuffle of the line side serves both the grouping and the join.
-        near = placed.join(grouped_cells(cells.repartition(*on), key, on), on)
+        zooms = F.array(*[F.lit(z) for z in sorted({zoom_of(r, zoom) for r in radii})])
+    placed = _point_cells(points, measures, metric, zooms, combine=True)
+    spread = lines.select(*key, parts, radius).repartition(*key).withColumn("_zoom", fitted)
+    cells = line_cells(spread, key, parts, radius, metric, "_zoom")
+    near = grouped_cells(cells, key).join(placed, "cell")
     return near.filter(_near(metric)).groupBy(*key).agg(*[F.sum(m).alias(m) for m in measures])
 
 
@@ -364,53 +337,3 @@ def _near(metric: str) -> Column:
         return _tangent_hit(seg, x, y, F.col("kx"), F.col("ky"), squared_reach)
 
     return _any_segment(hit)
-
-
-def with_copies_once(lines: DataFrame, key: Sequence[str], parts: str, radius: str, hot_rows: int | None = HOT_ROWS):
-    """Split lines into one row per hot copied shape plus all other rows.
-
-    Returns ``(distinct, spread)``: ``distinct`` is the frame to join on, and
-    ``spread(totals)`` hands the totals of a hot shape to all its copies. A
-    shape is hot when more than ``hot_rows`` lines share it and its radius.
-    Shapes are compared in full; the hash only groups candidates.
-    """
-    key = list(key)
-    if not larger_than(lines, hot_rows):
-        return lines, lambda totals: totals
-    shape = F.xxhash64(parts, radius)
-    hot = (
-        lines.groupBy(shape.alias("_shape"))
-        .agg(F.count("*").alias("_rows"), F.min(F.struct(*key)).alias("_first"))
-        .filter(F.col("_rows") > hot_rows)
-    )
-    model = (
-        lines.withColumn("_shape", shape)
-        .join(F.broadcast(hot), "_shape")
-        .filter(F.struct(*key) == F.col("_first"))
-        .select("_shape", "_first", F.col(parts).alias("_parts"), F.col(radius).alias("_radius"))
-    )
-    # Fewer than lines / hot_rows shapes.
-    tagged = (
-        lines.withColumn("_shape", shape)
-        .join(F.broadcast(model), "_shape", "left")
-        .withColumn(
-            "_copy_of", F.when((F.col(parts) == F.col("_parts")) & (F.col(radius) == F.col("_radius")), F.col("_first"))
-        )
-        .drop("_parts", "_radius", "_shape", "_first")
-    )
-    own = F.struct(*key)
-    distinct = tagged.filter(F.col("_copy_of").isNull() | (F.col("_copy_of") == own)).drop("_copy_of")
-
-    def spread(totals: DataFrame) -> DataFrame:
-        columns = [c for c in totals.columns if c not in key]
-        shared = totals.join(
-            F.broadcast(model.select(F.col("_first"), *[F.col(f"_first.{k}").alias(k) for k in key])), key
-        ).select(F.col("_first").alias("_copy_of"), *[F.col(c).alias(f"_{c}") for c in columns])
-        return (
-            tagged.select(*key, "_copy_of")
-            .join(totals, key, "left")
-            .join(F.broadcast(shared), "_copy_of", "left")
-            .select(*key, *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in columns])
-        )
-
-    return distinct, spread

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.fixed_values import (
@@ -25,10 +27,16 @@ def checked_requests(requests: DataFrame) -> DataFrame:
             "use_fixture": F.coalesce("use_fixture", F.lit(False)),
         }
     )
+
+    def no_place(name: str) -> Column:
+        """Fewer than two numbers, or one that is missing."""
+        place = F.col(name)
+        return place.isNull() | (F.size(place) < 2) | F.exists(place, lambda x: x.isNull() | F.isnan(x))
+
     error = (
-        F.when(F.col("start").isNull() | (F.size("start") < 2), "start")
-        .when(F.col("end").isNull() | (F.size("end") < 2), "end")
-        .when(~(F.col("buffer_m") >= 0) | F.isnan("buffer_m"), "buffer_m")
+        F.when(no_place("start"), "start")
+        .when(no_place("end"), "end")
+        .when(~((F.col("buffer_m") >= 0) & (F.col("buffer_m") < math.inf)), "buffer_m")
         .when(~F.col("max_alternatives").between(MIN_ALTERNATIVES, MAX_ALTERNATIVES), "max_alternatives")
         .when(~F.col("mode").isin(*MODES), "mode")
     )

@@ -1,138 +1,107 @@
-"""Hot keys: finding them, joining past them, ranking inside them.
+"""Groups of any size: numbering their rows, and keeping one row per key.
 
-A key is *hot* when more than ``HOT_ROWS`` rows carry it. A frame of N rows
-has fewer than N / HOT_ROWS hot keys, which is what makes the hot-key tables
-below small enough to broadcast whatever N is. Frames of at most ``HOT_ROWS``
-rows cannot have a hot key, so they take the plain plan; a caller that already
-knows a frame to be that small passes ``hot_rows=None`` and saves the check.
+A key may hold a third of all rows. Joins leave such keys to the engine, which
+cuts a skewed partition of a join at run time; what needs a group's rows in
+order deals them out by ranges instead of by group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from kerbline.session import durable
-
-HOT_ROWS = 1_000_000
-# Buckets a hot group is cut into for ranking, per HOT_ROWS rows it holds.
-SPLITS_PER_HOT = 4
-
-
-def rows_up_to(df: DataFrame, limit: int) -> int:
-    """Number of rows, or ``limit`` if there are more; reads no more than needed."""
-    return df.select(F.lit(1)).limit(limit).count()
-
-
-def larger_than(df: DataFrame, rows: int | None) -> bool:
-    """Whether a frame has more than ``rows`` rows; ``None`` means it is known not to."""
-    return rows is not None and rows_up_to(df, rows + 1) > rows
-
-
-def hot_rows_of(df: DataFrame, hot_rows: int | None = HOT_ROWS) -> int | None:
-    """``hot_rows`` if the frame is large enough to hold a hot key, else ``None``."""
-    return hot_rows if larger_than(df, hot_rows) else None
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, and their counts."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-
-
-def join_past_hot_keys(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    *,
-    spread: Sequence[str],
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
-    """Join a frame with possibly hot keys to one that is unique on them.
-
-    Hot keys of ``left`` are salted by its ``spread`` columns; the one matching
-    row of ``right`` is copied once per salt. Salts cut a key into pieces of
-    about ``hot_rows``.
-    """
-    on = list(on)
-    if how not in ("inner", "left"):
-        raise ValueError(f"how must be inner or left, not {how}")
-    if not larger_than(left, hot_rows):
-        return left.join(right, on, how)
-    salts = F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int")
-    hot = F.broadcast(hot_keys(left, on, hot_rows).select(*on, salts.alias("_salts")))
-    several = F.coalesce("_salts", F.lit(1))
-    salted = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), several).cast("int"))
-    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), several - 1)))
-    return salted.drop("_salts").join(copied.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 
 def rank_in_group(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    rank: str = "rank",
-    first: dict[str, str] | None = None,
-    *,
-    sized_by: DataFrame | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str = "rank", first: dict[str, str] | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1 by ascending ``order`` columns.
 
     ``order`` must be unique within a group. ``first`` maps new columns to
-    columns whose value is taken from the group's first row. ``sized_by`` is a
-    cheaper frame with the same groups and at least as many rows, used to look
-    for hot groups.
+    columns whose value is taken from the group's first row.
 
-    Ordinary groups are one window. A hot group is range-split: a hash sample
-    of its own order keys gives the cut points, each bucket is ranked on its
-    own and shifted by the size of the buckets before it.
+    Rows are dealt out by ranges of (group, order), so a large group spans
+    several tasks and a task counts along its sorted rows. Only the first group
+    of a task can have begun before it: two rows per task say how many rows of
+    its groups came before and what their first row holds.
     """
     group, first = list(group), first or {}
-    sizing = df if sized_by is None else sized_by
-    window = Window.partitionBy(*group).orderBy(*order)
-    if not larger_than(sizing, hot_rows):
-        whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.select(
-            "*",
-            F.row_number().over(window).alias(rank),
-            *[F.first(source).over(window).alias(name) for name, source in first.items()],
-        ) if first else df.withColumn(rank, F.row_number().over(window))
-
-    df = durable(df)
-    hot = hot_keys(sizing, group, hot_rows)
-    key = F.struct(*order)
-    splits = F.ceil(F.col("_rows") * F.lit(SPLITS_PER_HOT) / F.lit(hot_rows))
-    sampled = F.pmod(F.xxhash64(*order), F.greatest(F.floor(F.col("_rows") / splits), F.lit(1))) == 0
-    cuts = (
-        df.join(F.broadcast(hot), group)
-        .filter(sampled)
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(key)).alias("_cuts"))
-    )
-    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= key)))
-    bucketed = df.join(F.broadcast(cuts), group, "left").withColumn("_bucket", bucket).drop("_cuts")
-    sizes = (
-        bucketed.join(F.broadcast(hot.select(*group)), group, "left_semi")
-        .groupBy(*group, "_bucket")
-        .agg(F.count("*").alias("_size"))
-    )
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    ranked = (
-        bucketed.join(F.broadcast(offsets), [*group, "_bucket"], "left")
-        .withColumn(rank, (F.row_number().over(inner) + F.coalesce("_offset", F.lit(0))).cast("int"))
-        .drop("_bucket", "_offset")
+    ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    own = [StructField(f.name, f.dataType, True) for f in df.schema]
+    added = [StructField(f"_first_{n}", df.schema[c].dataType, True) for n, c in first.items()]
+    counted = [StructField("_task", IntegerType()), StructField("_n", LongType()), StructField("_edge", BooleanType())]
+    schema = StructType([*own, *counted, *added])
+    names, sources = [f.name for f in own], list(first.values())
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, before, n, firsts, opening = TaskContext.get().partitionId(), None, 0, None, None
+
+        def edge(batch: pa.RecordBatch, key: tuple, size: int, values: list) -> pa.RecordBatch:
+            """A row that carries the size of a group's stretch in this task."""
+            of = dict(zip(group, key, strict=True))
+            columns = [pa.array([of.get(c)], batch.schema.field(c).type) for c in names]
+            columns += [pa.array([task], pa.int32()), pa.array([size], pa.int64()), pa.array([True])]
+            return pa.RecordBatch.from_arrays([*columns, *values], [f.name for f in schema])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            change = np.zeros(batch.num_rows, bool)
+            for c in group:
+                codes = batch.column(c).dictionary_encode("encode").indices.to_numpy()
+                change[1:] |= codes[1:] != codes[:-1]
+            key = tuple(batch.column(c)[0].as_py() for c in group)
+            change[0] = key != before
+            starts = np.flatnonzero(change)
+            place = np.arange(batch.num_rows)
+            run = np.cumsum(change) - 1  # -1: goes on from the batch before
+            begin = starts[np.maximum(run, 0)] if len(starts) else np.zeros_like(place)
+            numbers = np.where(run < 0, n + place + 1, place - begin + 1)
+            values = []
+            for k, c in enumerate(sources):
+                column = batch.column(c)
+                held = column.slice(0, 1) if firsts is None else firsts[k]
+                pool = pa.concat_arrays([held, column])
+                values.append(pool.take(pa.array(np.where(run < 0, 0, begin + 1))))
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in group)
+            if before is not None and opening is None and len(starts):
+                # The task's first stretch has ended, in this batch or with the one before.
+                opening = edge(batch, before, int(n + starts[0]), firsts)
+            elif before is None and len(starts) > 1:
+                opening = edge(batch, key, int(starts[1]), [v.slice(0, 1) for v in values])
+            columns = [*batch.columns, pa.array(np.full(len(place), task, np.int32)), pa.array(numbers), pa.array(np.zeros(len(place), bool))]
+            yield pa.RecordBatch.from_arrays([*columns, *values], [f.name for f in schema])
+            before, n, firsts = last, int(numbers[-1]), [v.slice(len(place) - 1, 1) for v in values]
+            closing = batch
+        if before is not None:
+            if opening is not None:
+                yield opening
+            yield edge(closing, before, n, firsts)
+
+    numbered = ranged.mapInArrow(number, schema)
+    along = Window.partitionBy(*group).orderBy("_task")
+    shift = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begun = numbered.filter("_edge").select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_task").alias("_at"), shift.alias("_shift"),
+        *[F.first(f"_first_{n}").over(along).alias(f"_begun_{n}") for n in first],
+    ).filter(F.col("_shift").isNotNull())
+    # At most one row per task.
+    same = F.col("_task") == F.col("_at")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    whole = numbered.filter(~F.col("_edge")).join(F.broadcast(begun), same, "left")
+    goes_on = F.col("_shift").isNotNull()
+    return whole.select(
+        *names,
+        (F.col("_n") + F.coalesce("_shift", F.lit(0))).cast("int").alias(rank),
+        *[F.when(goes_on, F.col(f"_begun_{n}")).otherwise(F.col(f"_first_{n}")).alias(n) for n in first],
     )
-    if not first:
-        return ranked
-    firsts = df.groupBy(*group).agg(
-        F.min(F.struct(*order, *[F.col(s).alias(f"_{n}") for n, s in first.items()])).alias("_first")
-    ).select(*group, *[F.col(f"_first._{n}").alias(n) for n in first])
-    return join_past_hot_keys(ranked, firsts, group, spread=order, hot_rows=hot_rows)
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], position: Column, last: bool = False) -> DataFrame:

@@ -19,12 +19,17 @@ from kerbline.functions.geometry import (
     tile_y,
 )
 from kerbline.operators.proximity import line_cells, planar_hit
-from kerbline.operators.skew import HOT_ROWS, join_past_hot_keys
+
+
+def on_the_map(lon: Column, lat: Column) -> Column:
+    """Whether a point has a tile: the projection knows no other longitudes and latitudes."""
+    return F.coalesce(lon.between(-180, 180) & (F.abs(lat) < 90), F.lit(False))
 
 
 def tile_coords(points: DataFrame, zoom: int = CRASH_TILE_ZOOM) -> DataFrame:
-    """Add tile column ``x`` and row ``y`` of each point."""
-    return points.withColumns(
+    """Add tile column ``x`` and row ``y`` of each point. Points outside the
+    projection (infinite, missing, beyond a pole) have no tile and are left out."""
+    return points.filter(on_the_map(F.col("lon"), F.col("lat"))).withColumns(
         {
             "x": tile_x(mercator_x(F.col("lon")), zoom).cast("int"),
             "y": tile_y(mercator_y(F.col("lat")), zoom).cast("int"),
@@ -109,19 +114,19 @@ def tiles_on_lines(
     radius: str,
     parts: str = "parts",
     zoom: int = CRASH_TILE_ZOOM,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Tiles a line's buffer touches, with the summed crashes.
 
-    Every crash tile is one row, so the hot side is the lines: a third of them
-    may cross one tile, and that tile is cut by line.
+    Lines move once by key: neither the distinct nor the sums shuffle again
+    while the tiles fit a broadcast. Every crash tile is one row, so the hot side
+    of a shuffled join is the lines, which the engine's skew handling cuts.
     """
     key = list(key)
-    listed = line_cells(lines, key, parts, radius, "mercator", zoom)
+    listed = line_cells(lines.select(*key, parts, radius).repartition(*key), key, parts, radius, "mercator", zoom)
     touched = listed.filter(_reaches_cell(zoom)).select(*key, "cell").distinct()
     by_cell = tiles.select(cell_id(F.col("x"), F.col("y")).alias("cell"), "crashes")
     return (
-        join_past_hot_keys(touched, by_cell, ["cell"], spread=key, hot_rows=hot_rows)
+        touched.join(by_cell, "cell")
         .groupBy(*key)
         .agg(F.count("*").alias("tiles"), F.sum("crashes").alias("crashes"))
     )

@@ -9,9 +9,9 @@ from kerbline.fixed_values import BADGES
 from kerbline.functions.geojson import feature, line_geometry
 from kerbline.functions.geometry import box_of, parts_of, wkt_from_vertices
 from kerbline.functions.scoring import kilometres
-from kerbline.operators.proximity import totals_near_lines, with_copies_once
+from kerbline.operators.proximity import totals_near_lines
 from kerbline.operators.requests import valid_requests
-from kerbline.operators.skew import HOT_ROWS, hot_rows_of, join_past_hot_keys, rank_in_group
+from kerbline.operators.skew import rank_in_group
 
 KEY = ["request_id", "index"]
 ORDER = ["crashes", "length_km", "index"]
@@ -23,55 +23,40 @@ def route_metres(distance: Column, legs: Column) -> Column:
     return F.coalesce(distance, by_legs, F.lit(0.0))
 
 
-def requested_routes(requests: DataFrame, routes: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def requested_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Routes of the valid requests that have coordinates; indexes stay as they are."""
     asked = valid_requests(requests).select("request_id", "buffer_m", "mode")
     drawn = routes.filter(F.size("vertices") > 0)
-    return join_past_hot_keys(drawn, asked, ["request_id"], spread=["index"], hot_rows=hot_rows).withColumn(
+    return drawn.join(asked, "request_id").withColumn(
         "length_km", kilometres(route_metres(F.col("distance"), F.col("legs")))
     )
 
 
-def totals_per_route(
-    asked: DataFrame, points: DataFrame, measures: list[str], hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """Measure sums per requested route inside its buffer; may lack routes with nothing near."""
+def totals_per_route(asked: DataFrame, points: DataFrame, measures: list[str]) -> DataFrame:
+    """Measure sums per requested route inside its buffer; lacks routes with nothing near."""
     lines = asked.select(*KEY, "buffer_m", parts_of(F.col("vertices")).alias("parts"))
-    distinct, spread = with_copies_once(lines, KEY, "parts", "buffer_m", hot_rows)
-    totals = totals_near_lines(
-        distinct, points, key=KEY, radius="buffer_m", metric="mercator", measures=measures,
-        hot_rows=hot_rows or HOT_ROWS,
-    )
-    return spread(totals)
+    return totals_near_lines(lines, points, key=KEY, radius="buffer_m", metric="mercator", measures=measures)
 
 
-def scored_routes(
-    requests: DataFrame, routes: DataFrame, crash: DataFrame, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def scored_routes(requests: DataFrame, routes: DataFrame, crash: DataFrame) -> DataFrame:
     """Requested routes with their crash count (all crashes, unweighted)."""
-    hot_rows = hot_rows_of(routes, hot_rows)
-    asked = requested_routes(requests, routes, hot_rows)
+    asked = requested_routes(requests, routes)
     points = crash.select("lon", "lat", F.lit(1).cast("bigint").alias("crashes"))
-    totals = totals_per_route(asked, points, ["crashes"], hot_rows)
+    # A shuffle of narrow rows: whoever samples the result does not join again.
+    totals = totals_per_route(asked, points, ["crashes"]).repartition(*KEY)
     return asked.join(totals, KEY, "left").withColumn("crashes", F.coalesce("crashes", F.lit(0).cast("bigint")))
 
 
 def rank_routes(
-    requests: DataFrame,
-    routes: DataFrame,
-    crash: DataFrame,
-    hot_rows: int | None = HOT_ROWS,
-    *,
-    keep_vertices: bool = False,
+    requests: DataFrame, routes: DataFrame, crash: DataFrame, *, keep_vertices: bool = False
 ) -> DataFrame:
     """Alternatives ranked by fewest crashes, then shortest, then index."""
-    hot_rows = hot_rows_of(routes, hot_rows)
-    scored = scored_routes(requests, routes, crash, hot_rows).select(
+    scored = scored_routes(requests, routes, crash).select(
         "request_id", "mode", "index", "length_km", "crashes",
         wkt_from_vertices(F.col("vertices")).alias("wkt"), *(["vertices"] if keep_vertices else []),
     )
     first = {"winner": "index", "winner_crashes": "crashes", "winner_km": "length_km"}
-    ranked = rank_in_group(scored, ["request_id"], ORDER, first=first, sized_by=routes, hot_rows=hot_rows)
+    ranked = rank_in_group(scored, ["request_id"], ORDER, first=first)
     return ranked.withColumn("is_winner", F.col("rank") == 1)
 
 

@@ -21,8 +21,7 @@ from kerbline.functions.scoring import (
     score_severity_weight,
 )
 from kerbline.functions.vocabulary import is_open_hazard
-from kerbline.operators.proximity import totals_near_lines, with_copies_once
-from kerbline.operators.skew import HOT_ROWS, hot_rows_of
+from kerbline.operators.proximity import totals_near_lines
 from kerbline.operators.tiles import busiest_tile
 
 
@@ -61,7 +60,6 @@ def score_lines(
     lookback_days: int = SCORE_LOOKBACK_DAYS,
     buffer_m: float = SCORE_BUFFER_M,
     scale: str = "literal",
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Risk score 0..100 per line with its diagnostics, distances in metres.
 
@@ -80,14 +78,10 @@ def score_lines(
         "lon", "lat", zero.alias("crashes"), zero.alias("crash_weight"), one.alias("open_hazards")
     )
     measures = ["crashes", "crash_weight", "open_hazards"]
-    hot_rows = hot_rows_of(lines, hot_rows)
     shaped = lines.select(*key, clean_line(F.col("parts")).alias("parts"), F.lit(float(buffer_m)).alias("radius"))
-    distinct, spread = with_copies_once(shaped, key, "parts", "radius", hot_rows)
-    totals = spread(
-        totals_near_lines(
-            distinct, crashes.unionByName(hazards), key=key, radius="radius", metric="geodesic",
-            measures=measures, hot_rows=hot_rows or HOT_ROWS,
-        )
+    totals = totals_near_lines(
+        shaped, crashes.unionByName(hazards), key=key, radius="radius", metric="geodesic", measures=measures,
+        radii=[buffer_m],
     )
     km = length_km(geodesic_length(densify(F.col("parts"))))
     return _with_scores(
@@ -150,18 +144,13 @@ def log_scores(
     *,
     key: Sequence[str],
     buffer: float,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Crashes in the buffer (Mercator units) against the busiest tile."""
     key = list(key)
-    hot_rows = hot_rows_of(lines, hot_rows)
     shaped = lines.select(*key, "parts", F.lit(float(buffer)).alias("radius"))
-    distinct, spread = with_copies_once(shaped, key, "parts", "radius", hot_rows)
-    totals = spread(
-        totals_near_lines(
-            distinct, crash.select("lon", "lat", F.lit(1).cast("bigint").alias("crashes")), key=key,
-            radius="radius", metric="mercator", measures=["crashes"], hot_rows=hot_rows or HOT_ROWS,
-        )
+    totals = totals_near_lines(
+        shaped, crash.select("lon", "lat", F.lit(1).cast("bigint").alias("crashes")), key=key, radius="radius",
+        metric="mercator", measures=["crashes"], radii=[buffer],
     )
     hits = F.coalesce("crashes", F.lit(0).cast("bigint"))
     return shaped.select(*key).join(totals, key, "left").select(

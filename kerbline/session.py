@@ -1,10 +1,8 @@
-"""Session defaults and durable cut points."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str = "*", **conf: str) -> SparkSession:
@@ -23,21 +21,3 @@ def local_session(cpus: str = "*", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kerbline-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint folder so that several readers share
-    one computation and lost executors cost nothing but a re-read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -10,15 +10,9 @@ from kerbline.functions.geometry import cell_id, mercator_x, mercator_y, tile_x,
 SNAPSHOT_ZOOM = 17
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over the cores if its scan alone would not be.
-
-    A table of few row groups gives few scan tasks, and everything up to the
-    first shuffle would run in them. Large tables are left as they are.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A Parquet table; with its schema stated, no file is opened before it runs."""
+    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
 
 
 def write_point_snapshot(df: DataFrame, path: str, time: str, key: str) -> None:

@@ -330,6 +330,13 @@ _BIKE_ROWS = _duck(f"""bike AS (
 kept AS (SELECT * FROM bike QUALIFY row_number() OVER (PARTITION BY infra_id ORDER BY pos DESC) = 1)""")
 
 
+def _with_zeros(pairs: str, name: str) -> str:
+    """Hits per route, 0 for routes without any."""
+    return f"""hits AS (SELECT {_ROUTE_KEY}, count(*) AS n FROM {pairs} GROUP BY ALL)
+SELECT o_custkey AS request_id, CAST(o_orderkey AS INTEGER) AS "index", coalesce(n, 0) AS {name}
+FROM orders LEFT JOIN hits ON hits.request_id = o_custkey AND hits."index" = o_orderkey"""
+
+
 def oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     ix = 'CAST(idx AS INTEGER) AS "index"'
@@ -394,6 +401,10 @@ FROM pairs JOIN crash USING (crash_id) GROUP BY 1, 2"""
     tiles = f"WITH {CRASH}, {_TILES}"
     out["tile_coords"] = f"{tiles} SELECT crash_id, x, y FROM tiled"
     out["crash_tiles"] = f"{tiles} SELECT x, y, crashes FROM tile"
+    # Some crashes have no place on the map: an infinite or missing longitude, a latitude beyond the pole.
+    dirty = f"""{tiles}, kept AS (SELECT x, y, count(*) AS crashes FROM tiled WHERE CAST(crash_id AS BIGINT) % 50 > 4 GROUP BY 1, 2)"""
+    out["crash_tiles_dirty"] = f"{dirty} SELECT x, y, crashes FROM kept"
+    out["busiest_tile_dirty"] = f"{dirty} SELECT max(crashes) AS max_tile FROM kept"
     out["crash_tiles_z15"] = f"{tiles} SELECT x, y, crashes FROM tile".replace("4.096e3", "3.2768e4")
     out["busiest_tile"] = f"{tiles} SELECT max(crashes) AS max_tile FROM tile"
     out["top_tiles"] = f"{tiles} SELECT x, y, crashes FROM tile ORDER BY crashes DESC, x, y LIMIT 20"
@@ -446,10 +457,10 @@ touched AS (SELECT DISTINCT request_id, idx, x, y, crashes FROM gap WHERE inside
     out["score_one_bikeway"] = _risk(_SCORE_WEIGHT, "crashes, open_hazards, score", bike_key, segs=BIKEWAY_SEG) + " WHERE idx = 7"
     out["recent_crashes_near_route"] = f"""WITH {CRASH}, {ROUTE}, {PIECES},
 recent AS (SELECT *, crash_id AS id FROM crash WHERE occurred_at >= {_NOW} - INTERVAL 14 DAY),
-{_metric_pairs('near_crash', 'recent', '5e1')}
-SELECT {_ROUTE_KEY}, count(*) AS crashes FROM near_crash GROUP BY ALL"""
-    out["open_hazards_near_route"] = f"""WITH {HAZARD}, {ROUTE}, {PIECES}, {_metric_pairs('near_hazard', 'active', '5e1')}
-SELECT {_ROUTE_KEY}, count(*) AS open_hazards FROM near_hazard GROUP BY ALL"""
+{_metric_pairs('near_crash', 'recent', '5e1')},
+{_with_zeros('near_crash', 'crashes')}"""
+    out["open_hazards_near_route"] = f"""WITH {HAZARD}, {ROUTE}, {PIECES}, {_metric_pairs('near_hazard', 'active', '5e1')},
+{_with_zeros('near_hazard', 'open_hazards')}"""
     out["active_hazards"] = f"WITH {HAZARD} SELECT hazard_id, status, opened_at, closed_at FROM active"
     out["log_score_routes"] = f"WITH {CRASH}, {ROUTE}, {_TILES}, {_planar_pairs('6e1')}, {_LOG.format(key=_ROUTE_KEY)}"
     out["log_score_bikeways"] = f"WITH {CRASH}, {BIKEWAY_SEG}, {_TILES}, {_planar_pairs('6e1')}, {_LOG.format(key=bike_key)}"
@@ -544,19 +555,25 @@ UNION ALL SELECT request_id, 'on_line', step,
 UNION ALL SELECT request_id, 'east_west', step, round(lon + CASE WHEN step % 2 = 0 THEN 1 ELSE -1 END * 1e-2 * (step + 1), 6), round(lat, 6)
 FROM m, k WHERE step < max_alternatives"""
     accepted = f"""WITH {REQUEST},
-dist AS (SELECT o_custkey AS request_id, o_orderkey AS idx, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 5e1 END AS d,
-  CASE o_orderkey % 3 WHEN 0 THEN 'east_west' WHEN 1 THEN 'compass' ELSE 'on_line' END AS kind FROM orders),
-prim AS (SELECT request_id, coalesce(arg_min(CASE WHEN d IS NULL THEN 0e0 ELSE d END, idx), 0) AS p FROM dist JOIN valid USING (request_id) GROUP BY 1),
-accepted AS (SELECT request_id, idx, kind FROM dist JOIN prim USING (request_id)
-  WHERE kind = 'east_west' OR abs(coalesce(d, 0) - p) / greatest(p, 1e0) > CASE kind WHEN 'compass' THEN 3e-2 ELSE 5e-2 END)"""
-    out["distinct_alternatives"] = f'{accepted} SELECT request_id, {ix}, kind FROM accepted'
+prim AS (SELECT o_custkey AS request_id, min(o_orderkey) AS idx,
+  coalesce(arg_min(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 5e1 ELSE 0e0 END, o_orderkey), 0) AS p
+  FROM orders JOIN valid ON valid.request_id = o_custkey GROUP BY 1),
+cand AS (SELECT o_custkey AS request_id, o_orderkey AS idx, o_totalprice / 2e2 * 4.4e0 AS d,
+  CASE o_orderkey % 3 WHEN 0 THEN 'east_west' WHEN 1 THEN 'compass' ELSE 'on_line' END AS kind FROM orders WHERE o_orderkey % 7 <> 0),
+accepted AS (SELECT request_id, cand.idx, kind FROM cand JOIN prim USING (request_id)
+  WHERE kind = 'east_west' OR abs(d - p) / greatest(p, 1e0) > CASE kind WHEN 'compass' THEN 3e-2 ELSE 5e-2 END)"""
+    was = "CAST(idx AS INTEGER) AS was"
+    out["distinct_alternatives"] = f"{accepted} SELECT request_id, {was}, kind FROM accepted"
     out["more_routes"] = f"""{accepted},
-both_ AS (SELECT 0 AS f, request_id, idx FROM dist UNION ALL SELECT 1, request_id, idx FROM accepted)
-SELECT request_id, CAST(idx AS INTEGER) AS was, CAST(row_number() OVER (PARTITION BY request_id ORDER BY f, idx) - 1 AS INTEGER) AS "index" FROM both_"""
+both_ AS (SELECT 0 AS f, request_id, idx FROM prim UNION ALL
+  SELECT CASE kind WHEN 'compass' THEN 1 WHEN 'on_line' THEN 2 ELSE 3 END, request_id, idx FROM accepted),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY f, idx) AS n FROM both_)
+SELECT request_id, {was}, CAST(n - 1 AS INTEGER) AS "index" FROM numbered JOIN valid USING (request_id) WHERE f = 0 OR n <= max_alternatives"""
     lat = " + ".join(f"({vertex_lat('request_id', 'o', str(j))})" for j in range(6))
-    for name, first, more, shift in (
-        ("pad_alternatives", "1.05e0", "5e-2", "0e0"),
-        ("pad_alternatives_shifted", "1.1e0", "1e-1", "CASE WHEN copy % 2 = 0 THEN 6 ELSE -6 END * 2e-3 * (copy + 1)"),
+    turns = " + ".join(f"({vertex_lat('request_id', 'o', str(j))}) * {1 if j % 2 == 0 else -1}" for j in range(6))
+    for name, first, more, shift, by_turns in (
+        ("pad_alternatives", "1.05e0", "5e-2", "0e0", "6 * 1e-3 * (copy + 1)"),
+        ("pad_alternatives_shifted", "1.1e0", "1e-1", "CASE WHEN copy % 2 = 0 THEN 6 ELSE -6 END * 2e-3 * (copy + 1)", "0e0"),
     ):
         out[name] = f"""WITH {REQUEST},
 have AS (SELECT o_custkey AS request_id, count(*) AS n, max(o_orderkey) AS last_, min(o_orderkey) AS o FROM orders GROUP BY 1),
@@ -564,7 +581,8 @@ short AS (SELECT *, unnest(range(max_alternatives - n)) AS copy FROM have JOIN v
 base AS (SELECT short.*, CASE WHEN o % 3 <> 0 THEN o_totalprice / 5e1 END AS d, o_totalprice / 2e2 AS t FROM short JOIN orders ON o_orderkey = o)
 SELECT o_custkey AS request_id, CAST(o_orderkey AS INTEGER) AS "index", false AS is_synthetic,
   round(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 5e1 END, 8) AS distance, round(o_totalprice / 2e2, 8) AS duration,
-  round({lat.replace('request_id', 'o_custkey').replace('(o *', '(o_orderkey *')}, 6) AS lat_sum FROM orders
+  round({lat.replace('request_id', 'o_custkey').replace('(o *', '(o_orderkey *')}, 6) AS lat_sum,
+  round({turns.replace('request_id', 'o_custkey').replace('(o *', '(o_orderkey *')}, 6) AS lat_by_turns FROM orders
 UNION ALL SELECT request_id, CAST(last_ + 1 + copy AS INTEGER), true, round(d * ({first} + copy * {more}), 8), round(t * ({first} + copy * {more}), 8),
-  round({lat} + {shift}, 6) FROM base"""
+  round({lat} + {shift}, 6), round({turns} + {by_turns}, 6) FROM base"""
     return out

@@ -141,9 +141,8 @@ def severity_weights(s, d):
 def route_weighted_exposure(s, d):
     """Summed crash weight inside each route's buffer."""
     requests, routes, crash = _rank_inputs(s, d)
-    hot = rk.hot_rows_of(routes)
-    asked = rk.requested_routes(requests, routes, hot)
-    totals = rk.totals_per_route(asked, risk.crash_weights(crash, t.now()), ["weight"], hot)
+    asked = rk.requested_routes(requests, routes)
+    totals = rk.totals_per_route(asked, risk.crash_weights(crash, t.now()), ["weight"])
     return asked.select(*rk.KEY).join(totals, rk.KEY, "left").select(
         *rk.KEY, F.round(F.coalesce("weight", F.lit(0.0)), 6).alias("exposure")
     )
@@ -158,13 +157,12 @@ def severity_mix(s, d):
 def route_severity_mix(s, d):
     """Crashes per severity inside each route's buffer."""
     requests, routes, crash = _rank_inputs(s, d)
-    hot = rk.hot_rows_of(routes)
-    asked = rk.requested_routes(requests, routes, hot)
+    asked = rk.requested_routes(requests, routes)
     names = {"fatal": 1, "serious": 2, "minor": 3}
     points = crash.select(
         "lon", "lat", *[(F.col("severity") == code).cast("bigint").alias(n) for n, code in names.items()]
     )
-    return rk.totals_per_route(asked, points, list(names), hot).filter(
+    return rk.totals_per_route(asked, points, list(names)).filter(
         F.col("fatal") + F.col("serious") + F.col("minor") > 0
     )
 
@@ -182,6 +180,17 @@ def crash_tiles(s, d):
     return til.crash_tiles(t.crash(s, d))
 
 
+@query
+def crash_tiles_dirty(s, d):
+    """Tiles of points of which some have no tile."""
+    return til.crash_tiles(t.dirty_crash(s, d))
+
+
+@query
+def busiest_tile_dirty(s, d):
+    return til.busiest_tile(til.crash_tiles(t.dirty_crash(s, d)))
+
+
 @query
 def crash_tiles_z15(s, d):
     return til.crash_tiles(t.crash(s, d), zoom=15)
@@ -234,8 +243,7 @@ def tile_features(s, d):
 @query
 def tiles_on_route(s, d):
     requests, routes, crash = _rank_inputs(s, d)
-    hot = rk.hot_rows_of(routes)
-    lines = rk.requested_routes(requests, routes, hot).withColumn("parts", G.parts_of(F.col("vertices")))
+    lines = rk.requested_routes(requests, routes).withColumn("parts", G.parts_of(F.col("vertices")))
     return til.tiles_on_lines(lines, til.crash_tiles(crash), key=rk.KEY, radius="buffer_m")
 
 
@@ -297,12 +305,20 @@ def risk_payload(s, d):
     return risk.risk_payload(scored, ["infra_id"])
 
 
+def _near_routes(s, d, points: DataFrame, measure: str) -> DataFrame:
+    """The sum within 50 m of every route, 0 where nothing is."""
+    lines = _route_lines(s, d).withColumn("radius", F.lit(50.0))
+    totals = totals_near_lines(
+        lines, points, key=rk.KEY, radius="radius", metric="geodesic", measures=[measure], radii=[50.0]
+    )
+    return lines.select(*rk.KEY).join(totals, rk.KEY, "left").fillna(0, [measure])
+
+
 @query
 def recent_crashes_near_route(s, d):
     """Crashes of the lookback window within 50 m."""
     points = risk.recent_crashes(t.crash(s, d), t.now(), 14).select("lon", "lat", F.lit(1).cast("bigint").alias("crashes"))
-    lines = _route_lines(s, d).withColumn("radius", F.lit(50.0))
-    return totals_near_lines(lines, points, key=rk.KEY, radius="radius", metric="geodesic", measures=["crashes"])
+    return _near_routes(s, d, points, "crashes")
 
 
 @query
@@ -310,8 +326,7 @@ def open_hazards_near_route(s, d):
     points = risk.active_hazards(t.hazard(s, d), t.now(), 365).select(
         "lon", "lat", F.lit(1).cast("bigint").alias("open_hazards")
     )
-    lines = _route_lines(s, d).withColumn("radius", F.lit(50.0))
-    return totals_near_lines(lines, points, key=rk.KEY, radius="radius", metric="geodesic", measures=["open_hazards"])
+    return _near_routes(s, d, points, "open_hazards")
 
 
 @query
@@ -530,7 +545,7 @@ def state_plane_to_wgs84(s, d):
     x = (F.lit(3140000) + (F.col("event_id") * 7919) % 10007).cast("double")
     y = (F.lit(1690000) + (F.col("event_id") * 6101) % 10009).cast("double")
     point = G.state_plane_to_lonlat(x, y)
-    return s.read.parquet(f"{d}/events.parquet").select(
+    return t.events(s, d).select(
         "event_id", F.round(point["lon"], 7).alias("lon"), F.round(point["lat"], 7).alias("lat")
     )
 
@@ -581,33 +596,38 @@ def detour_waypoints(s, d):
 
 
 def _candidates(s, d) -> DataFrame:
-    """Every route as a candidate of some kind."""
+    """A candidate of some kind for every order, some of them without coordinates."""
     kind = F.when(F.col("index") % 3 == 0, "east_west").when(F.col("index") % 3 == 1, "compass").otherwise("on_line")
-    return t.route(s, d).withColumn("kind", kind)
+    none = F.array().cast(G.VERTICES_TYPE)
+    return t.route(s, d).select(
+        "request_id", F.col("index").alias("was"), kind.alias("kind"), (F.col("duration") * 4.4).alias("distance"),
+        F.when(F.col("index") % 7 == 0, none).otherwise(F.col("vertices")).alias("vertices"),
+    )
 
 
 @query
 def distinct_alternatives(s, d):
-    accepted = alt.distinct_enough(_candidates(s, d), _primaries(s, d).select("request_id", "distance"))
-    return accepted.select("request_id", "index", "kind")
+    return alt.distinct_enough(_candidates(s, d), _primaries(s, d)).select("request_id", "was", "kind")
 
 
 @query
 def more_routes(s, d):
-    """Routes with their accepted candidates appended and numbered anew."""
-    routes = t.route(s, d).select("request_id", F.col("index").alias("was"), "distance")
-    extra = alt.distinct_enough(_candidates(s, d), _primaries(s, d).select("request_id", "distance")).select(
-        "request_id", F.col("index").alias("was"), "distance"
-    )
-    return alt.with_more_routes(routes, extra, "was").select("request_id", "was", "index")
+    """Primary routes with accepted candidates appended, as many as were asked for."""
+    primaries = _primaries(s, d)
+    routes = primaries.select("request_id", F.col("index").alias("was"), "distance")
+    extra = alt.distinct_enough(_candidates(s, d), primaries).select("request_id", "kind", "was", "distance")
+    return alt.with_more_routes(valid_requests(t.request(s, d)), routes, extra, "was").select("request_id", "was", "index")
 
 
 def _padded(s, d, how):
     padded = alt.pad_alternatives(valid_requests(t.request(s, d)), t.route(s, d), how)
+    by_turns = F.transform("vertices", lambda v, j: F.when(j % 2 == 0, v["lat"]).otherwise(-v["lat"]))
     return padded.select(
         "request_id", "index", "is_synthetic", F.round("distance", 8).alias("distance"),
         F.round("duration", 8).alias("duration"),
         F.round(F.aggregate("vertices", F.lit(0.0), lambda a, v: a + v["lat"]), 6).alias("lat_sum"),
+        # Moves up and down by turns show in the difference of even and odd vertices.
+        F.round(F.aggregate(by_turns, F.lit(0.0), lambda a, x: a + x), 6).alias("lat_by_turns"),
     )
 
 

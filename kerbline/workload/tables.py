@@ -50,8 +50,23 @@ def _vertices(group: str, line: str, count: int) -> str:
     ) + ")"
 
 
+# Stated schemas: nothing has to be read before a query is built.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SCHEMAS[name])
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events")
 
 
 def now():
@@ -67,6 +82,16 @@ def crash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crashes, some of them at places that no map has."""
+    k = "CAST(crash_id AS BIGINT)"
+    return crash(spark, sf_dir).selectExpr(
+        "crash_id", "occurred_at", "severity",
+        f"CASE WHEN {k} % 50 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN {k} % 50 = 1 THEN CAST(NULL AS DOUBLE) ELSE lon END AS lon",
+        f"CASE WHEN {k} % 50 IN (2, 3) THEN 9.5e1 WHEN {k} % 50 = 4 THEN CAST('NaN' AS DOUBLE) ELSE lat END AS lat",
+    )
+
+
 def _point_columns(id_column: str) -> list[str]:
     lon, lat = point(id_column).split(" AS lon,")
     return [f"{lon.strip()} AS lon", lat.strip()]

@@ -25,10 +25,19 @@ def _skewed(spark, n=600):
     return spark.createDataFrame(rows, "g string, a int, b double, i int")
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10**6, 50, 7])
-def test_rank_in_group_is_a_row_number(spark, hot_rows):
+@pytest.mark.parametrize("batch", [10_000, 7])
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_rank_in_group_is_a_row_number(spark, batch, coalesce):
     df = _skewed(spark)
-    got = skew.rank_in_group(df, ["g"], ["a", "b", "i"], first={"best": "i"}, hot_rows=hot_rows).collect()
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.adaptive.coalescePartitions.enabled": coalesce}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = skew.rank_in_group(df, ["g"], ["a", "b", "i"], first={"best": "i"}).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     groups = {}
     for r in df.collect():
         groups.setdefault(r.g, []).append((r.a, r.b, r.i))
@@ -39,16 +48,6 @@ def test_rank_in_group_is_a_row_number(spark, hot_rows):
     assert {r.i: (r.g, r["rank"], r.best) for r in got} == want
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 25])
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_past_hot_keys(spark, hot_rows, how):
-    df = _skewed(spark)
-    right = spark.createDataFrame([("hot", 1), ("g1", 2), ("zz", 3)], "g string, v int")
-    got = skew.join_past_hot_keys(df, right, ["g"], how, spread=["i"], hot_rows=hot_rows)
-    want = df.join(right, ["g"], how)
-    assert sorted(map(tuple, got.select("i", "g", "v").collect())) == sorted(map(tuple, want.select("i", "g", "v").collect()))
-
-
 def test_first_and_last_per_key(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 3, 3), ("", 4, 9), ("", 5, 8)], "id string, v int, p int")
     assert sorted(map(tuple, skew.first_per_key(df, ["id"], F.col("p")).select("id", "v").collect())) == [("", 5), ("a", 2), ("b", 3)]
@@ -109,6 +108,13 @@ def _requests(spark, *rows):
     return spark.createDataFrame([(i, s, e, b, m, mode, None) for i, b, m, mode in rows], REQUEST)
 
 
+def test_places_and_buffers_must_be_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [None, 1.0], [1.0, 2.0], 60.0), (2, [1.0, 2.0], [1.0], 60.0), (3, [1.0, nan], [1.0, 2.0], 60.0), (4, [1.0, 2.0], [1.0, 2.0], inf), (5, [1.0, 2.0], [1.0, 2.0], 60.0)]
+    df = spark.createDataFrame([(*r, 3, None, None) for r in rows], REQUEST)
+    assert {r.request_id: r.error for r in checked_requests(df).collect()} == {1: "start", 2: "end", 3: "start", 4: "buffer_m", 5: None}
+
+
 def test_request_checks(spark):
     rows = [(1, None, None, "Driving"), (2, 60.0, 3, "bus"), (3, -1.0, 3, None), (4, 0.0, 0, None), (5, 0.0, 6, None), (6, float("nan"), 1, None)]
     df = _requests(spark, *rows).unionByName(spark.createDataFrame([(7, None, [1.0, 2.0], None, None, None, True)], REQUEST))
@@ -129,7 +135,7 @@ WEST = [(-105.0, 39.7), (-104.999, 39.7)]
 EAST = [(-104.9, 39.7), (-104.899, 39.7)]
 
 
-def _ranking(spark, hot_rows):
+def _ranking(spark):
     requests = _requests(spark, (1, 60.0, 3, None), (2, 60.0, 3, "cycling"), (3, 60.0, 3, "bus"), (4, 60.0, 3, None))
     routes = _routes(
         spark,
@@ -139,25 +145,24 @@ def _ranking(spark, hot_rows):
         ],
     )
     crash = spark.createDataFrame([(-105.0, 39.7), (-105.0, 39.7), (-104.9995, 39.7004)], "lon double, lat double")
-    return requests, routes, crash, R.rank_routes(requests, routes, crash, hot_rows, keep_vertices=True)
+    return requests, routes, crash, R.rank_routes(requests, routes, crash, keep_vertices=True)
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 2])
-def test_rank_routes(spark, hot_rows):
-    requests, routes, crash, ranked = _ranking(spark, hot_rows)
+def test_rank_routes(spark):
+    requests, routes, crash, ranked = _ranking(spark)
     got = [(r.request_id, r["index"], r["rank"], r.crashes, r.length_km, r.winner, r.is_winner) for r in ranked.orderBy("request_id", "rank").collect()]
     # No coordinates: index 1 is used up. No length: 0 km. Equal length: lower index first.
     assert got == [(1, 4, 1, 0, 0.0, 4, True), (1, 2, 2, 0, 0.6, 4, False), (1, 3, 3, 0, 0.6, 4, False), (1, 0, 4, 3, 0.9, 4, False)]
 
 
 def test_winners_keep_empty_requests(spark):
-    requests, routes, crash, _ = _ranking(spark, None)
+    requests, routes, crash, _ = _ranking(spark)
     got = {r.request_id: (r.winner, r.routes) for r in R.winners(requests, R.scored_routes(requests, routes, crash)).collect()}
     assert got == {1: (4, 4), 2: (None, 0), 4: (None, 0)}
 
 
 def test_enriched_and_documents(spark):
-    *_, ranked = _ranking(spark, None)
+    *_, ranked = _ranking(spark)
     rows = {r["index"]: r for r in R.enriched(ranked).collect()}
     assert [rows[i].risk_rank for i in (4, 2, 3, 0)] == [-1, 0, 1, 2]
     assert (rows[0].crash_text, rows[0].length_text) == ("+3 more crashes", "+0.9 km longer")
@@ -173,7 +178,7 @@ def test_enriched_and_documents(spark):
 
 
 def test_request_boxes(spark):
-    requests, routes, *_ = _ranking(spark, None)
+    requests, routes, *_ = _ranking(spark)
     got = {r.request_id: tuple(r)[1:] for r in R.request_boxes(requests, routes).collect()}
     assert got == {1: (-105.0, 39.7, -104.899, 39.7)}
 
@@ -195,7 +200,21 @@ def test_tiles(spark):
     empty = C.single_document(tile_features(tile_at(tiles, 0, 0)), order, 1).first()[0]
     assert json.loads(empty) == {"type": "FeatureCollection", "features": None}
     with pytest.raises(ValueError):
-        C.single_document(tile_features(tiles), order, 10**6)
+        C.single_document(tile_features(tiles), order, 0)
+
+
+def test_a_document_holds_the_first_features(spark):
+    features = spark.range(30).repartition(5).select("id", F.struct("id").alias("feature"))
+    document = C.single_document(features, [-F.col("id")], 3).first()[0]
+    assert [f["id"] for f in json.loads(document)["features"]] == [29, 28, 27]
+    whole = C.single_document(features, [F.col("id")], 20_000).first()[0]
+    assert len(json.loads(whole)["features"]) == 30
+
+
+def test_points_off_the_map_have_no_tile(spark):
+    inf = float("inf")
+    crash = spark.createDataFrame([(-105.0, 39.7), (-105.0, 95.0), (-105.0, 95.0), (inf, 39.7), (None, 39.7), (float("nan"), 1.0), (-105.0, 90.0)], "lon double, lat double")
+    assert busiest_tile(crash_tiles(crash)).first()[0] == 1
 
 
 # --- risk ---------------------------------------------------------------------------
@@ -286,21 +305,32 @@ def test_waypoints(spark):
         assert rounded(A.on_line_waypoints(requests.withColumn("vertices", shape))) == want
 
 
+WAY = [{"lon": 1.0, "lat": 2.0}]
+VERTICES = "vertices array<struct<lon:double,lat:double>>"
+
+
 def test_distinct_enough(spark):
     candidates = spark.createDataFrame(
-        [(1, 0, "compass", 103.0), (1, 1, "compass", 104.0), (1, 2, "on_line", 105.0), (1, 3, "on_line", 94.0), (1, 4, "east_west", 100.0), (1, 5, "other", 900.0)],
-        "request_id int, index int, kind string, distance double",
+        [
+            (1, 0, "compass", 103.0, WAY), (1, 1, "compass", 104.0, WAY), (1, 2, "on_line", 105.0, WAY), (1, 3, "on_line", 94.0, WAY),
+            (1, 4, "east_west", 100.0, WAY), (1, 5, "other", 900.0, WAY), (1, 6, "east_west", 100.0, []), (1, 7, "compass", 900.0, None),
+            (2, 8, "compass", 900.0, WAY), (2, 9, "on_line", 900.0, WAY),
+        ],
+        f"request_id int, index int, kind string, distance double, {VERTICES}",
     )
-    primary = spark.createDataFrame([(1, 100.0)], "request_id int, distance double")
-    assert sorted(r["index"] for r in A.distinct_enough(candidates, primary).collect()) == [1, 3, 4]
+    primary = spark.createDataFrame([(1, 100.0, WAY), (2, 100.0, [])], f"request_id int, distance double, {VERTICES}")
+    assert sorted(r["index"] for r in A.distinct_enough(candidates, primary).collect()) == [1, 3, 4, 9]
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 2])
-def test_more_routes_are_numbered_anew(spark, hot_rows):
-    routes = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "request_id int, was int")
-    extra = spark.createDataFrame([(1, 1), (2, 2)], "request_id int, was int")
-    got = A.with_more_routes(routes, extra, "was", hot_rows=hot_rows).collect()
-    assert sorted((r.request_id, r["index"], r.was) for r in got) == [(1, 0, 10), (1, 1, 11), (1, 2, 1), (2, 0, 12), (2, 1, 2)]
+@pytest.mark.parametrize("most, want", [(None, [(1, 0, 10), (1, 1, 11), (1, 2, 5), (1, 3, 4), (2, 0, 12), (3, 0, 13), (3, 1, 14)]), (3, [(1, 0, 10), (1, 1, 11), (1, 2, 5), (2, 0, 12), (3, 0, 13), (3, 1, 14)])])
+def test_more_routes_come_by_kind_until_there_are_enough(spark, most, want):
+    requests = _requests(spark, (1, 60.0, 4, None), (2, 60.0, 1, None), (3, 60.0, 1, None))
+    routes = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 13), (3, 14)], "request_id int, was int")
+    extra = spark.createDataFrame(
+        [(1, "east_west", 1), (1, "on_line", 4), (1, "compass", 5), (2, "compass", 6)], "request_id int, kind string, was int"
+    )
+    got = A.with_more_routes(requests, routes, extra, "was", most).collect()
+    assert sorted((r.request_id, r["index"], r.was) for r in got) == want
 
 
 @pytest.mark.parametrize(

@@ -77,33 +77,54 @@ def _brute(metric, spots, shapes, radii):
     return out
 
 
-PATHS = {
-    "lines broadcast": {},
-    "points broadcast": {"broadcast_rows": 850},
-    "shuffle": {"broadcast_rows": 0},
-    "salted": {"broadcast_rows": 0, "hot_rows": 20},
+PLANS = {
+    "broadcast": {"spark.sql.autoBroadcastJoinThreshold": "10m"},
+    "shuffled": {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+    "skewed": {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    },
 }
 
 
+@pytest.fixture
+def plan(spark, request):
+    before = {k: spark.conf.get(k, None) for k in PLANS[request.param]}
+    for k, v in PLANS[request.param].items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("metric", ["mercator", "geodesic"])
-@pytest.mark.parametrize("path", PATHS)
+@pytest.mark.parametrize("plan", PLANS, indirect=True)
 @pytest.mark.parametrize("zoom", [17, 19])
-def test_totals_equal_brute_force(spark, metric, path, zoom, monkeypatch):
-    monkeypatch.setattr(P, "_SAMPLE", 2)
-    world = _world(hash((metric, zoom)) % 1000, copies=200)
+def test_totals_equal_brute_force(spark, metric, plan, zoom):
+    world = _world(zoom + len(metric) + len(plan), copies=200)
     points, lines = _frames(spark, *world)
     got = P.totals_near_lines(
-        lines, points, key=["k"], radius="radius", metric=metric, measures=["n", "w"], zoom=zoom, **PATHS[path]
+        lines, points, key=["k"], radius="radius", metric=metric, measures=["n", "w"], zoom=zoom
     )
     assert {r.k: (r.n, r.w) for r in got.collect()} == _brute(metric, *world)
 
 
-def test_salted_plan_really_cuts_cells(spark, monkeypatch):
-    monkeypatch.setattr(P, "_SAMPLE", 1)
-    spots, shapes, radii = _world(3)
+def test_wide_radii_list_few_cells(spark):
+    spots, shapes, _ = _world(9)
+    radii = [[60.0, 5_000.0, 20_000.0][i % 3] for i in range(len(shapes))]
     points, lines = _frames(spark, spots, shapes, radii)
-    salts = P._salts(lines, points, ["k"], "parts", "radius", "mercator", 15, 10).collect()
-    assert max(r._np for r in salts) > 3 and max(r._nl for r in salts) > 3
+    got = P.totals_near_lines(lines, points, key=["k"], radius="radius", metric="mercator", measures=["n", "w"])
+    assert {r.k: (r.n, r.w) for r in got.collect()} == _brute("mercator", spots, shapes, radii)
+    stated = P.totals_near_lines(
+        lines, points, key=["k"], radius="radius", metric="mercator", measures=["n", "w"], radii=[60.0, 5_000.0, 20_000.0]
+    )
+    assert sorted(map(tuple, stated.collect())) == sorted(map(tuple, got.collect()))
+    zoomed = lines.withColumn("z", P._zoom_column(F.col("radius"), 18))
+    cells = P.line_cells(zoomed, ["k"], "parts", "radius", "mercator", "z").groupBy("k", "seg").count()
+    assert cells.agg(F.max("count")).first()[0] < 150
 
 
 def test_long_segments_list_few_cells(spark):
@@ -141,29 +162,18 @@ def test_long_geodesic_segment_follows_the_great_circle(spark):
     assert totals.first().n == 10
 
 
-def test_hot_copies_are_joined_once(spark):
-    spots, shapes, radii = _world(11, lines=6)
-    shapes, radii = shapes + [shapes[0]] * 8, radii + [radii[0]] * 7 + [radii[0] + 1]
-    points, lines = _frames(spark, spots, shapes, radii)
-    distinct, spread = P.with_copies_once(lines, ["k"], "parts", "radius", hot_rows=4)
-    assert distinct.count() == 7
-    totals = spread(P.totals_near_lines(distinct, points, key=["k"], radius="radius", metric="mercator", measures=["n", "w"]))
-    got = {r.k: (r.n, r.w) for r in totals.collect() if r.n is not None}
-    assert got == _brute("mercator", spots, shapes, radii)
-
-
 def test_unknown_metric(spark):
     _, lines = _frames(spark, *_world(1, lines=1, points=1))
     with pytest.raises(ValueError):
         P.line_cells(lines, ["k"], "parts", "radius", "feet")
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 5])
-def test_tiles_on_lines(spark, hot_rows):
+@pytest.mark.parametrize("plan", PLANS, indirect=True)
+def test_tiles_on_lines(spark, plan):
     spots, shapes, radii = _world(5, step=0.02)
     points, lines = _frames(spark, spots, shapes, radii)
     tiles = crash_tiles(points, zoom=15)
-    got = {r.k: (r.tiles, r.crashes) for r in tiles_on_lines(lines, tiles, key=["k"], radius="radius", zoom=15, hot_rows=hot_rows).collect()}
+    got = {r.k: (r.tiles, r.crashes) for r in tiles_on_lines(lines, tiles, key=["k"], radius="radius", zoom=15).collect()}
     size = P.tile_size(15)
     counts = {}
     for spot in spots:

@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from kerbline.workload.oracles import oracles
+from kerbline.workload.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 SF = Path("/root/testdata/sf0.001")
@@ -23,7 +25,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles()))
 def test_query_equals_sql(spark, db, name):
     from check import _rows
 
@@ -34,10 +36,20 @@ def test_query_equals_sql(spark, db, name):
     assert _rows(df.columns, df.collect()) == _rows(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracles())))
 def test_query_without_sql_has_rows(spark, name):
     assert entry.queries()[name](spark, str(SF)).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_a_query_starts_no_job(spark, name):
+    spark.sparkContext.setJobGroup(f"building {name}", "")
+    try:
+        QUERIES[name](spark, str(SF))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"building {name}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["request_id", "mode", "index", "length_km", "crashes", "rank", "is_winner"]
