@@ -54,11 +54,14 @@ def clean_crash(raw: DataFrame, now: Column, years: int = CRASH_HISTORY_YEARS) -
     return first_per_key(df, ["crash_id"], F.col(POSITION)).drop(POSITION)
 
 
-def clean_hazard(raw: DataFrame, now: Column, days: int = HAZARD_HISTORY_DAYS) -> DataFrame:
+def clean_hazard(
+    raw: DataFrame, now: Column, days: int = HAZARD_HISTORY_DAYS, table: DataFrame | None = None
+) -> DataFrame:
     """Hazards with a readable place, first row per id.
 
     The time window applies only if any row has a time at all; then rows
-    without one go too. Times are local wall clock, as written.
+    without one go too. A stream hands in the ``table`` that it adds to, whose
+    rows count as well. Times are local wall clock, as written.
     """
     df = _usable_points(canonical(raw, HAZARD_HEADERS, HAZARD_REQUIRED, "hazard")).select(
         F.col("id").alias("hazard_id"),
@@ -70,13 +73,15 @@ def clean_hazard(raw: DataFrame, now: Column, days: int = HAZARD_HISTORY_DAYS) -
         "lat",
         POSITION,
     )
-    recent = within_window(df, "opened_at", now, days)
+    recent = within_window(df, "opened_at", now, days, table)
     return first_per_key(recent, ["hazard_id"], F.col(POSITION)).drop(POSITION)
 
 
-def within_window(df: DataFrame, time: str, now: Column, days: int) -> DataFrame:
-    """Rows of the last days, or every row where no row has a time."""
+def within_window(df: DataFrame, time: str, now: Column, days: int, table: DataFrame | None = None) -> DataFrame:
+    """Rows of the last days, or every row where no row has a time, there or in ``table``."""
     any_time = df.agg((F.count(time) > 0).alias("any_time")).scalar()
+    if table is not None:
+        any_time = any_time | table.agg((F.count(time) > 0).alias("any_time")).scalar()
     return df.filter(~any_time | (F.col(time) >= now - F.make_dt_interval(F.lit(days))))
 
 

@@ -36,17 +36,23 @@ def crash_weights(crash: DataFrame, now: Column, scale: str = "literal") -> Data
     )
 
 
+def since(df: DataFrame, time: str, moment: Column) -> Column:
+    """Whether a row's time is not before ``moment``; a stored table's ``year`` spares whole folders."""
+    recent = F.col(time) >= moment
+    return (F.col("year") >= F.year(moment)) & recent if "year" in df.columns else recent
+
+
 def recent_crashes(crash: DataFrame, now: Column, days: int) -> DataFrame:
-    return crash.filter(F.col("occurred_at") >= now - F.make_dt_interval(F.lit(days)))
+    return crash.filter(since(crash, "occurred_at", now - F.make_dt_interval(F.lit(days))))
 
 
 def active_hazards(hazard: DataFrame, now: Column, days: int) -> DataFrame:
     """Open hazards of the window: opened in it, and not closed before it."""
-    since = now - F.make_dt_interval(F.lit(days))
+    begin = now - F.make_dt_interval(F.lit(days))
     return hazard.filter(
         is_open_hazard(F.col("status"))
-        & (F.col("closed_at").isNull() | (F.col("closed_at") >= since))
-        & (F.col("opened_at") >= since)
+        & (F.col("closed_at").isNull() | (F.col("closed_at") >= begin))
+        & since(hazard, "opened_at", begin)
     )
 
 

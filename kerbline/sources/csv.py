@@ -13,24 +13,30 @@ from kerbline.functions.parsing import blank_if_missing
 POSITION = "_position"
 
 
-def has_embedded_newlines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether some record may run over several lines.
+def files_with_long_records(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files in which some record may run over several lines.
 
     A record that ends on its own line has an even number of quote characters;
-    if every line has, each line is a record and the files can be split freely.
+    if every line of a file has, each line is a record and the file can be split.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    odd = spark.read.text(path).filter(quotes % 2 == 1)
+    return sorted(r[0] for r in odd.select("_metadata.file_path").distinct().collect())
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """All columns as text, missing cells as the empty text, plus ``_position``.
 
-    Files are only read as unsplittable wholes when a record spans lines;
-    ``multi_line`` states that in advance and saves the look.
+    Only a file with a record that spans lines is read as an unsplittable whole;
+    ``multi_line`` states what holds for all and saves the look.
     """
     if multi_line is None:
-        multi_line = has_embedded_newlines(spark, path)
+        whole = files_with_long_records(spark, path)
+        files = sorted(spark.read.text(path).inputFiles()) if whole else []
+        rest = [f for f in files if f not in whole]
+        if len(whole) + len(rest) == len(files) and whole and rest:
+            return read_raw_csv(spark, whole, True).unionByName(read_raw_csv(spark, rest, False))
+        multi_line = bool(whole)
     df = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -39,12 +45,15 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool |
         .option("enforceSchema", False)
         .csv(path)
     )
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    return df.select(
+        *[blank_if_missing(F.col(f"`{c}`")).alias(c) for c in df.columns],
+        position(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias(POSITION),
     )
-    return df.select(*[blank_if_missing(F.col(f"`{c}`")).alias(c) for c in df.columns], position.alias(POSITION))
+
+
+def position(file: Column, block: Column) -> Column:
+    """Where a row stands; to be asked for right at the scan, while rows are in file order."""
+    return F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def resolve_headers(
@@ -68,5 +77,6 @@ def canonical(
         header = found[name]
         return F.lit("") if header is None else F.coalesce(F.col(f"`{header}`"), F.lit(""))
 
-    position = F.col(POSITION) if POSITION in df.columns else F.monotonically_increasing_id()
-    return df.select(*[column(name).alias(name) for name in aliases], position.alias(POSITION))
+    if POSITION not in df.columns:
+        raise ValueError(f"{what} rows need their place in a column {POSITION}: which of several is the first depends on it")
+    return df.select(*[column(name).alias(name) for name in aliases], POSITION)

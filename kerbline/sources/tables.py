@@ -16,23 +16,18 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def write_point_snapshot(df: DataFrame, path: str, time: str, key: str) -> None:
-    """Points by year, and by grid cell inside a year.
+    """Points by year, sorted by grid cell inside a year.
 
-    Lookback filters skip whole years, and row-group statistics on ``cell``
-    skip places. Ranges are cut on the key last, so that one busy cell fills
-    several files rather than one task.
+    Lookback filters skip whole years, and row-group statistics on ``lon`` and
+    ``lat`` skip places. Ranges are cut on the key last, so that one busy cell
+    fills several files rather than one task.
     """
-    placed = df.withColumns(
-        {
-            "year": F.year(time),
-            "cell": cell_id(
-                tile_x(mercator_x(F.col("lon")), SNAPSHOT_ZOOM), tile_y(mercator_y(F.col("lat")), SNAPSHOT_ZOOM)
-            ),
-        }
-    )
+    cell = cell_id(tile_x(mercator_x(F.col("lon")), SNAPSHOT_ZOOM), tile_y(mercator_y(F.col("lat")), SNAPSHOT_ZOOM))
+    placed = df.withColumns({"year": F.year(time), "_cell": cell})
     (
-        placed.repartitionByRange("year", "cell", key)
-        .sortWithinPartitions("year", "cell", key)
+        placed.repartitionByRange("year", "_cell", key)
+        .sortWithinPartitions("year", "_cell", key)
+        .drop("_cell")
         .write.mode("overwrite")
         .partitionBy("year")
         .parquet(path)

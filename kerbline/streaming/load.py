@@ -10,35 +10,68 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kerbline.functions.parsing import blank_if_missing
 from kerbline.operators.merge import upsert
 from kerbline.operators.skew import first_per_key
+from kerbline.sources.csv import POSITION, position
 
 BATCH = "batch"
+_FILE, _BLOCK = "_file", "_block"
 
 
-def stream_raw_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """New CSV files of a folder, every column a text."""
+def stream_raw_csv(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """New CSV files of a folder, read as the batch loader reads them: every
+    column a text, missing cells empty, headers checked, the place of each row."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return (
+    raw = (
         spark.readStream.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
+        .option("quote", '"')
         .option("escape", '"')
+        .option("enforceSchema", False)
         .csv(path)
     )
+    return raw.select(
+        *[blank_if_missing(F.col(f"`{c}`")).alias(c) for c in columns],
+        F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK),
+    )
+
+
+def without_repeats(stream: DataFrame, key: Sequence[str], time: Column, delay: str) -> DataFrame:
+    """A stream less rows whose key came before, within ``delay`` of event time.
+
+    State is kept for that long only. Rows without a readable time take the
+    start of the epoch, so once the watermark has moved they are late and go.
+    """
+    timed = stream.withColumn("_event_time", F.coalesce(time, F.lit("1970-01-01").cast("timestamp")).cast("timestamp"))
+    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(key)).drop("_event_time")
 
 
 def start_load(
-    stream: DataFrame, clean: Callable[[DataFrame], DataFrame], deltas: str, checkpoint: str, **trigger
+    stream: DataFrame,
+    clean: Callable[..., DataFrame],
+    deltas: str,
+    checkpoint: str,
+    *,
+    now: Callable[[], Column] | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Clean each batch and write it as a delta; trigger defaults to ``availableNow``."""
+    """Clean each batch and write it as a delta; trigger defaults to ``availableNow``.
+
+    ``clean`` gets the batch, and with ``now`` also the time that this gives when
+    the batch runs, so that windows move on while the stream does.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        clean(batch).write.mode("overwrite").parquet(f"{deltas}/{BATCH}={batch_id}")
+        if {_FILE, _BLOCK} <= set(batch.columns):
+            batch = batch.withColumn(POSITION, position(F.col(_FILE), F.col(_BLOCK))).drop(_FILE, _BLOCK)
+        cleaned = clean(batch) if now is None else clean(batch, now())
+        cleaned.write.mode("overwrite").parquet(f"{deltas}/{BATCH}={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -51,20 +52,21 @@ def test_files_in_name_order(spark, tmp_path):
 def test_embedded_newlines_are_found(spark, tmp_path):
     plain = _write(tmp_path / "plain.csv", 'a,b\n1,"x ""y"""\n')
     broken = _write(tmp_path / "broken.csv", 'a,b\n1,"x\ny"\n2,"NA"\n')
-    assert not csv.has_embedded_newlines(spark, plain)
-    assert csv.has_embedded_newlines(spark, broken)
+    assert csv.files_with_long_records(spark, plain) == []
+    assert [f.rsplit("/", 1)[1] for f in csv.files_with_long_records(spark, [plain, broken])] == ["broken.csv"]
     assert [r.b for r in csv.read_raw_csv(spark, plain).collect()] == ['x "y"']
     assert [r.b for r in csv.read_raw_csv(spark, broken).collect()] == ["x\ny", ""]
+    assert sorted(r.b for r in csv.read_raw_csv(spark, str(tmp_path)).collect()) == ["", "x\ny", 'x "y"']
 
 
 def test_missing_columns(spark):
-    raw = spark.createDataFrame([("1", "2")], "incident_id string, lon string")
+    raw = spark.createDataFrame([("1", "2", 0)], "incident_id string, lon string, _position int")
     with pytest.raises(ValueError, match=r"\['lat', 'time'\].*incident_id"):
         ingest.clean_crash(raw, now())
 
 
 def test_first_alias_wins(spark):
-    raw = spark.createDataFrame([("a", "b", "1", "2", "2024-01-01", "5")], "OBJECTID string, object_id string, lon string, lat string, occurred_at string, lat2 string")
+    raw = spark.createDataFrame([("a", "b", "1", "2", "2024-01-01", "5", 0)], "OBJECTID string, object_id string, lon string, lat string, occurred_at string, lat2 string, _position int")
     assert [r.crash_id for r in ingest.clean_crash(raw, now()).collect()] == ["b"]
 
 
@@ -139,14 +141,17 @@ def test_route_documents(spark, tmp_path):
     assert [(r["index"], len(r.vertices), r.distance) for r in got] == [(0, 2, 5667.0), (1, 0, 1.0), (2, 0, None)]
 
 
-def test_snapshot_prunes_years_and_cells(spark, tmp_path):
+def test_snapshot_prunes_years(spark, tmp_path):
     raw = csv.read_raw_csv(spark, _write(tmp_path / "crash.csv", CRASH_CSV))
     path = str(tmp_path / "snapshot")
-    tables.write_point_snapshot(ingest.clean_crash(raw, now()), path, "occurred_at", "crash_id")
+    cleaned = ingest.clean_crash(raw, now())
+    tables.write_point_snapshot(cleaned, path, "occurred_at", "crash_id")
     back = tables.read_table(spark, path)
-    assert back.count() == 3 and {"year", "cell"} <= set(back.columns)
-    plan = spark.read.parquet(path).filter("year >= 2024 and cell = 5")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan and "EqualTo(cell,5)" in plan
+    assert back.count() == 3 and set(back.columns) == {*cleaned.columns, "year"}
+    recent = risk.recent_crashes(back, now(), 40)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "2023" in plan
+    assert recent.count() == risk.recent_crashes(cleaned, now(), 40).count() == 2
 
 
 def test_time_filter_reaches_the_scan(spark, tmp_path):
@@ -187,6 +192,43 @@ def test_incremental_load(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "base2")).count() == 5
 
 
+def test_a_stream_loads_what_a_batch_loads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    text = HAZARD_CSV + "4,-105,39.7,NA,01/15/2024 01:00:00 AM,N/A,n/a\n4,-104,39.7,open,01/15/2024 01:00:00 AM,x,y\n"
+    path = _write(tmp_path / "in" / "1.csv", text)
+    columns = text.split("\n", 1)[0].split(",")
+    stream = load.stream_raw_csv(spark, str(tmp_path / "in"), columns)
+    moments = []
+
+    def clock():
+        moments.append(1)
+        return now()
+
+    load.start_load(stream, ingest.clean_hazard, str(tmp_path / "out"), str(tmp_path / "cp"), now=clock).awaitTermination(120)
+    batch = ingest.clean_hazard(csv.read_raw_csv(spark, path), now())
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect())) == sorted(map(str, batch.collect()))
+    assert moments == [1]
+    assert {r.hazard_id: (r.status, r.lon) for r in batch.collect()}["4"] == ("unknown", -105.0)
+
+
+def test_the_window_of_a_stream_counts_the_table(spark, tmp_path):
+    raw = csv.read_raw_csv(spark, _write(tmp_path / "h.csv", HAZARD_CSV)).filter("OBJECTID = '3'")
+    table = spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "opened_at timestamp_ntz")
+    assert ingest.clean_hazard(raw, now(), table=table).collect() == []
+
+
+def test_repeats_within_the_watermark_go(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    _write(tmp_path / "in" / "1.csv", "id,t\n1,2024-01-01 00:00:00\n1,2024-01-01 00:05:00\n2,2024-01-01 00:00:00\n")
+    stream = load.stream_raw_csv(spark, str(tmp_path / "in"), ["id", "t"])
+    once = load.without_repeats(stream, ["id"], F.to_timestamp("t"), "1 hour")
+    out = str(tmp_path / "out")
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True
+    ).start().awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2"]
+
+
 def test_deltas_keep_last_known_times(spark):
     base = spark.createDataFrame([("1", "open", "a"), ("2", "open", "b")], "id string, status string, opened string")
     deltas = spark.createDataFrame([("1", "x", "c", 0), ("1", "y", None, 1), ("2", "z", None, 1)], "id string, status string, opened string, batch int")
