@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.bitmap import is_marked, marked
 from kerbline.llm.groups import whole_groups
 from kerbline.llm.packed import ROWS, column, packed, split
 from kerbline.llm.storage import written
@@ -192,15 +193,17 @@ def repeated(data: np.ndarray, at: np.ndarray, of: np.ndarray, doc: np.ndarray,
     )
 
 
-def _numbered(table: pa.Table) -> np.ndarray:
+#: Where a cutting stands.
+_PLACE = np.dtype([("cutting", "<u4"), ("doc", "<i8"), ("byte", "<u4")])
+
+
+def _numbered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (cutting, document, byte) of all messages, cuttings numbered through."""
-    out, base = [np.zeros((0, 3), np.int64)], 0
-    for places, sizes in zip(table.column("c").to_pylist(), table.column("b").to_pylist(), strict=True):
-        rows = np.frombuffer(places or b"", np.int64).reshape(-1, 3).copy()
-        rows[:, 0] += base
-        base += len(sizes or b"") // 8
-        out.append(rows)
-    return np.concatenate(out)
+    base = np.cumsum([0, *(len(x or b"") // 4 for x in table.column("b").to_pylist())])
+    rows = [np.frombuffer(x or b"", _PLACE) for x in table.column("c").to_pylist()]
+    cutting = np.concatenate([np.zeros(0, np.int64), *(r["cutting"] + b for r, b in zip(rows, base, strict=False))])
+    all_ = np.concatenate([np.zeros(0, _PLACE), *rows])
+    return cutting.astype(np.int64), all_["doc"].astype(np.int64), all_["byte"].astype(np.int64)
 
 
 def _slices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -233,6 +236,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     bucket = F.pmod(F.xxhash64(id_column, F.xxhash64(text_column)), F.lit(buckets))
     narrow = docs.select(bucket.alias("bucket"), docs[id_column].alias("id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
 
+    # Of a hash, one half names the bucket and the other half goes there: chance
+    # hits between some 300,000 of a bucket only bring a few more cuttings.
+    small = np.uint8 if buckets <= 1 << 8 else np.uint16 if buckets <= 1 << 16 else np.uint32
+
+    def number(h: np.ndarray) -> np.ndarray:
+        return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+    def key(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(32)).astype(np.uint32)
+
     def announce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text", SCANNED):
             h, _, _, text = anchors(*utf8(batch.column("text")), length)
@@ -242,13 +255,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
             many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
-            yield packed(split((h[new] % np.uint64(buckets)).astype(np.int64), [h[new], own[new], many]))
+            yield packed((n, [k, o, np.packbits(m)]) for n, (k, o, m) in split(number(h[new]), [key(h[new]), own[new].astype(small), many]))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["bucket"]):
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 part = table.slice(a, b - a)
-                h, own, many = column(part, "a", np.uint64), column(part, "b", np.int64), column(part, "c", bool)
+                h, own = column(part, "a", np.uint32), column(part, "b", small).astype(np.int64)
+                counts = [len(x) // 4 for x in part.column("a").to_pylist()]
+                many = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8), count=n).astype(bool) for c, n in zip(part.column("c").to_pylist(), counts, strict=True)])
                 order = np.lexsort([own, h])
                 h, own, many = h[order], own[order], many[order]
                 group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1 if len(h) else own
@@ -257,7 +272,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
                 h, own = h[some], own[some]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-                yield packed(split(own[new], [h[new]]))
+                here = np.array([part.column("bucket")[0].as_py()])
+                yield packed((n, [k, here]) for n, (k,) in split(own[new], [h[new]]))
 
     def by_bucket(rows: DataFrame, *then: str) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket", *then)
@@ -277,28 +293,31 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
         for table, starts in whole_groups(batches, ["bucket"]):
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 part = table.slice(a, b - a)
-                known = np.unique(column(part, "a", np.uint64))
+                mail = part.filter(part.column("a").is_valid())
+                known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.uint32).astype(np.int64) | np.frombuffer(n, np.int64) << 32 for k, n in zip(mail.column("a").to_pylist(), mail.column("b").to_pylist(), strict=True))]))
                 rows = part.filter(part.column("text").is_valid())
                 if not len(known):
                     continue
                 for batch in portions(rows.combine_chunks().to_batches(), "text", SCANNED):
                     data, at = utf8(batch.column("text"))
                     h, first, last, text = anchors(data, at, length)
-                    found = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    wanted = key(h).astype(np.int64) | number(h) << 32
+                    found = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
                     h, first, last, text = h[found], first[found], last[found], text[found]
                     size = last - first + length
                     mark = span_hash(running(data), first, last + length)
                     _, lead, of = np.unique(np.stack([mark, h], 1), axis=0, return_index=True, return_inverse=True)
                     doc = places(pa.chunked_array([batch.column("id")]))[text]
                     at_doc = first - at[text]
-                    number = h % np.uint64(buckets)
-                    own = {n: c for n, c in split(number[lead].astype(np.int64), [lead])}
+                    own = {n: c for n, c in split(number(h[lead]), [lead])}
                     message = []
-                    for n, (o, d, p) in split(number.astype(np.int64), [of, doc, at_doc]):
+                    for n, (o, d, p) in split(number(h), [of, doc, at_doc]):
                         rows_of = own[n][0]
                         cutting = np.unique(o, return_inverse=True)[1]
                         rows_of = rows_of[np.argsort(of[rows_of], kind="stable")]
-                        message.append((n, [_slices(data, first[rows_of], size[rows_of]), size[rows_of], np.stack([cutting, d, p], 1), h[rows_of]]))
+                        stand = np.empty(len(d), _PLACE)
+                        stand["cutting"], stand["doc"], stand["byte"] = cutting, d, p
+                        message.append((n, [_slices(data, first[rows_of], size[rows_of]), size[rows_of].astype(np.uint32), stand, key(h[rows_of])]))
                     yield packed(message)
 
     cuttings = by_bucket(beside(met).mapInArrow(cut, ROWS))
@@ -307,8 +326,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
         for table, starts in whole_groups(batches, ["bucket"]):
             for a, b in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 part = table.slice(a, b - a)
-                data, size, h = column(part, "a", np.uint8), column(part, "b", np.int64), column(part, "d", np.uint64)
-                of, doc, start = _numbered(part).T
+                data, size, h = column(part, "a", np.uint8), column(part, "b", np.uint32).astype(np.int64), column(part, "d", np.uint32)
+                of, doc, start = _numbered(part)
                 order = np.argsort(h, kind="stable")
                 turned = np.empty(len(order), np.int64)
                 turned[order] = np.arange(len(order))
@@ -331,13 +350,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
                     lo = hi
 
     ranges = written(cuttings.mapInArrow(search, "doc long, left long, right long"), "ranges")
-    return _finished(docs, narrow, ranges, id_column, id_kind)
+    return _finished(narrow, ranges, id_column, id_kind)
 
 
-def _finished(docs: DataFrame, narrow: DataFrame, ranges: DataFrame, id_column: str, id_kind: str) -> DataFrame:
-    by_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("left", "right")).alias("ranges"))
-    key = F.coalesce(F.col("id").cast("long"), F.lit(_LAST))
-    both = narrow.select("id", "text", key.alias("key")).join(by_doc, F.col("key") == F.col("doc"), "left")
+def _finished(narrow: DataFrame, ranges: DataFrame, id_column: str, id_kind: str) -> DataFrame:
+    by_doc = written(ranges.groupBy("doc").agg(F.collect_list(F.struct("left", "right")).alias("ranges")), "by-document")
+    # Documents that lose nothing stay in their tasks.
+    keyed = narrow.select("id", "text", F.coalesce(F.col("id").cast("long"), F.lit(_LAST)).alias("key"))
+    touched = keyed.withColumn("touched", is_marked(marked(by_doc.select("doc")), F.col("key")))
+    whole = touched.where("not touched").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    both = touched.where("touched").join(by_doc, F.col("key") == F.col("doc"), "left")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
@@ -356,7 +378,8 @@ def _finished(docs: DataFrame, narrow: DataFrame, ranges: DataFrame, id_column:
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.select("id", "text", "ranges").mapInArrow(remove, f"id {id_kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)
+    cut = both.select("id", "text", "ranges").mapInArrow(remove, f"id {id_kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return cut.unionByName(whole).withColumnRenamed("id", id_column)
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:
