@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.bitmap import hits, marked
 from kerbline.llm.graph import components
 from kerbline.llm.groups import blocked, joined, whole_groups
 from kerbline.llm.storage import written
@@ -175,14 +176,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: st
     group = components(some.select("node", "band", "block_a", "block_b", "side", "signature").mapInArrow(connect, "a long, b long"))
     group = written(group.withColumnRenamed("component", "group"), "likely")
 
+    # Texts outside of these groups stay where they are.
+    bitmap = marked(group.select("node"))
+
     def texts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in portions(batches, "text"):
             node = [xxhash.xxh3_64_intdigest(t) for t in filled(batch.column("text")).cast(pa.large_binary()).to_pylist()]
-            keep = [k for k, h in enumerate(node) if not (h in seen or seen.add(h))]
+            signed = np.array(node, np.uint64).view(np.int64)
+            keep = [k for k in np.flatnonzero(hits(bitmap, signed)).tolist() if not (node[k] in seen or seen.add(node[k]))]
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)[keep]), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed[keep]), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
 
     chosen = narrow.select("text").mapInArrow(texts_of, "node long, text string").join(group, "node").dropDuplicates(["node"])
     counted = chosen.join(copies.where("worded").select("node", "copies"), "node")
