@@ -42,8 +42,9 @@ def scored_routes(requests: DataFrame, routes: DataFrame, crash: DataFrame) -> D
     """Requested routes with their crash count (all crashes, unweighted)."""
     asked = requested_routes(requests, routes)
     points = crash.select("lon", "lat", F.lit(1).cast("bigint").alias("crashes"))
-    # A shuffle of narrow rows: whoever samples the result does not join again.
-    totals = totals_per_route(asked, points, ["crashes"]).repartition(*KEY)
+    # A shuffle of narrow rows, by something the sums are not dealt by yet: what
+    # samples or reads the result twice starts from here and not from the join.
+    totals = totals_per_route(asked, points, ["crashes"]).repartition(F.xxhash64(*KEY))
     return asked.join(totals, KEY, "left").withColumn("crashes", F.coalesce("crashes", F.lit(0).cast("bigint")))
 
 
