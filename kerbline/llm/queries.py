@@ -97,21 +97,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op8_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-        s AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS i FROM d)),
-        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1 AS again FROM s),
-        b AS (SELECT doc_id, h, n, unnest(range(1, n + 1)) AS i FROM d),
+        c AS (
+            SELECT doc_id, base, substr(h, 2 * base + 1, 2198) AS piece, least(1000, n - 99 - base) AS starts
+            FROM (SELECT *, unnest(range(0, n - 99, 1000)) AS base FROM d)),
+        s AS (SELECT doc_id, base + i AS i, md5_number(substr(piece, 2 * i - 1, 200)) AS w FROM (SELECT *, unnest(range(1, starts + 1)) AS i FROM c)),
+        f AS (SELECT w, min(doc_id::HUGEINT * 4294967296 + i) AS place FROM s GROUP BY w HAVING count(*) > 1),
         g AS (
-            SELECT b.doc_id, b.h, b.n, b.i,
-                   coalesce(max(f.again::INTEGER) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) AS gone
-            FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.i = b.i),
-        e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g),
-        r AS (
-            SELECT doc_id, sum(gone) AS n_removed, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS n_spans,
-                   string_agg(CASE WHEN gone = 0 THEN substr(h, 2 * i - 1, 2) ELSE '' END, '' ORDER BY i) AS kept
-            FROM e GROUP BY doc_id)
-        SELECT d.doc_id, d.n AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed, coalesce(r.n_spans, 0)::BIGINT AS n_spans,
-               sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
-        FROM d LEFT JOIN r USING (doc_id)""",
+            SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+            FROM s JOIN f USING (w) WHERE doc_id::HUGEINT * 4294967296 + i > place),
+        r AS (SELECT *, sum(CASE WHEN before >= i - 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+        p AS (SELECT doc_id, run, min(i) AS a, max(i) + 99 AS b FROM r GROUP BY doc_id, run),
+        q AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS done FROM p),
+        k AS (
+            SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                   string_agg(substr(h, 2 * done + 1, 2 * (a - 1 - done)), '' ORDER BY a) AS kept
+            FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN k.last IS NULL THEN d.h ELSE k.kept || substr(d.h, 2 * k.last + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op4_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT text, min(doc_id) AS first_id, count(*) AS copies, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws

@@ -1,10 +1,13 @@
+from pathlib import Path
+
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from kerbline.llm.queries import MODEL, QUERIES
+from kerbline.llm.queries import MODEL, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +48,25 @@ def test_the_whole_run(spark):
     assert len(rows) > 50
 
 
+@pytest.fixture(scope="module")
+def db():
+    connection = duckdb.connect()
+    for path in Path(SF).glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, db, name):
+    from check import _rows
+
+    done = QUERIES[name](spark, SF)
+    result = db.execute(ORACLES[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(done.columns)
+    assert _rows(done.columns, done.collect()) == _rows(columns, result.fetchall())
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in entry.oracle_sql()])
 def test_queries_without_sql_return_every_document(spark, name):
     done = QUERIES[name](spark, SF)
