@@ -13,6 +13,7 @@ HEADLINE = (
     "rank_routes",
     "score_routes",
     "score_bikeways",
+    "score_one_bikeway",
     "log_score_bikeways",
     "tiles_on_route",
     "crash_tiles",
