@@ -1,11 +1,14 @@
 """A content-addressed web archive: payload bytes once by digest, record headers
-apart, records put together again by joins. Columns only, no Python on rows."""
+apart, records put together again by joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm.bitmap import is_marked, marked
+from kerbline.llm.storage import written
+
 END = "\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
@@ -40,10 +43,14 @@ def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z
     base = pages.select(
         pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
-    # Equal digests meet in the tasks first, so a payload with any number of
-    # copies is moved once per task at most.
-    base.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_id")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    first = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "first_id")
+    first = written(base.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")), "digests")
+    # Payloads without copies are stored where they are. Copies meet in their
+    # tasks first, so any number of them is moved once per task at most.
+    several = is_marked(marked(first.where("rows > 1").select(F.xxhash64("digest"))), F.xxhash64("digest"))
+    tagged = base.select("digest", "payload", several.alias("several"))
+    stored = tagged.where("several").groupBy("digest").agg(F.first("payload").alias("payload"))
+    stored.unionByName(tagged.where("not several").select("digest", "payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    first = first.select("digest", "first_id")
     narrow = base.select("page_id", "url", "digest", F.octet_length("payload").alias("n"))
     again = (F.col("n") >= least) & (~F.col("page_id").eqNullSafe(F.col("first_id"))) & F.col("first_id").isNotNull()
     header = F.concat(
