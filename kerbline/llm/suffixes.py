@@ -17,7 +17,7 @@ from kerbline.llm.text import _power_tables, filled, mixed, portions, running, s
 
 LENGTH = 100
 #: Documents of a bucket, and bytes of stretches that are indexed at once.
-DOCS, INDEXED = 2_048, 2 << 20
+DOCS, INDEXED = 2_048, 1 << 19
 #: Bytes of text in which stretches are looked for at once: what the caches hold.
 SCANNED = 1 << 18
 _LAST = np.iinfo(np.int64).max
