@@ -12,7 +12,7 @@ from kerbline.llm.text import filled, portions
 from kerbline.llm.vocabulary import BLANK, Vocabulary, load, merges, units
 
 #: Encodings of so many different stretches are remembered in a Python worker; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 class Lattice:
