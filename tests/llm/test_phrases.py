@@ -38,6 +38,15 @@ def test_equal_stretches_have_equal_phrases_wherever_they_stand(prose):
         assert len(plain[level] & moved[level]) >= len(plain[level]) - 6
 
 
+def test_a_text_has_the_same_fingerprint_whatever_it_is_parsed_beside(prose):
+    for text in prose(20, low=20, high=60):
+        plain = "".join(c for c, before in zip(text, " " + text, strict=False) if c != before).encode()
+        assert all(a != b for a, b in zip(plain, plain[1:], strict=False))
+        alone = phrases.fingerprints([plain])[0]
+        for mates in ([plain, b"aa"], [b"aa", plain], [b"", plain, b"abab", b"x" * 500]):
+            assert (phrases.fingerprints(mates)[mates.index(plain)] == alone).all()
+
+
 def test_likeness_follows_what_texts_share(frame, prose):
     got = phrases.compared(frame(list(enumerate(prose(60, low=100, high=300))))).collect()
     assert np.mean([r["near_edited"] for r in got]) > 0.45
