@@ -20,6 +20,9 @@ MOST_LANGUAGES = 1_000
 #: Texts and n-grams that are multiplied at once.
 _TEXTS, _GRAMS = 1_024, 16_384
 UNKNOWN = "und"
+#: Texts of fewer n-grams can't be told from noise by their score. The others
+#: need this share of the least score that a labelled text reaches.
+JUDGED, SHARE = 32, 0.5
 
 _alphabetic: np.ndarray | None = None
 _letter_vectors: dict[int, np.ndarray] = {}
@@ -133,8 +136,9 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     return {r["lang"]: np.frombuffer(bytes(r["vector"])) for r in sorted(found, key=lambda r: r["lang"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text_column: str = "text") -> DataFrame:
-    """Columns ``keep``, ``lang_pred`` and ``score``: the language whose prototype
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text_column: str = "text", counted: bool = False) -> DataFrame:
+    """Columns ``keep``, ``lang_pred`` and ``score`` (``counted``: and the text's
+    number of n-grams, ``n_grams``): the language whose prototype
     has the largest cosine with the sum of the text's n-gram vectors, and that
     cosine (0 if it is negative). ``und`` with score 0 for texts that are null or
     have no letter, or if nothing was learned. Of equals the first by name wins.
@@ -146,18 +150,20 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
             n = batch.num_rows
-            made = Grams(filled(batch.column("text")).to_pylist()).bundled(np.arange(n), n)
+            grams = Grams(filled(batch.column("text")).to_pylist())
+            made = grams.bundled(np.arange(n), n)
             norm = np.linalg.norm(made, axis=1)
             known = (norm > 0) & bool(names)
             cosine = made @ table.T / np.where(norm > 0, norm, 1.0)[:, None] if names else np.zeros((n, 1))
             best = cosine.argmax(1)
             lang = np.where(known, np.array([*names, UNKNOWN], object)[best], UNKNOWN)
             score = np.where(known, np.clip(cosine[np.arange(n), best], 0.0, 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+            count = pa.array(np.bincount(grams.text, minlength=n).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score), count], ["row", "lang_pred", "score", "n_grams"])
 
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_column).alias("text"))
     kind = whole.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(run, f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    return whole.mapInArrow(run, f"row {kind}, lang_pred string, score double, n_grams long").select("row.*", "lang_pred", "score", *(["n_grams"] if counted else []))
 
 
 def held_out(id_column: str = "doc_id", folds: int = 5) -> Column:
@@ -175,3 +181,20 @@ def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kept = list(dict.fromkeys(keep or ["doc_id"]))
     done = predict(docs, prototypes, [*kept, *(["doc_id"] if "doc_id" not in kept else [])])
     return done.select(*kept, F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def told(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of the documents in which a learned language is told.
+
+    What has no letter goes. Texts of ``JUDGED`` n-grams or more go if their
+    score is below ``SHARE`` times the least score that such a text reaches among
+    those that teach; shorter ones stay. All stay if no language was learned.
+    """
+    taught = docs.where(~held_out() & F.col("lang").isNotNull())
+    prototypes = learn(taught)
+    if not prototypes:
+        return docs.select(keep)
+    judged = F.col("n_grams") >= JUDGED
+    least = predict(taught, prototypes, ["lang"], counted=True).where(judged).agg(F.min("score")).first()[0] or 0.0
+    found = predict(docs, prototypes, keep, counted=True)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (~judged | (F.col("score") >= SHARE * least))).select(keep)

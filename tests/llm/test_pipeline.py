@@ -1,3 +1,5 @@
+import random
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -43,6 +45,28 @@ def test_stages(frame, prose, tmp_path, spark):
     assert all(r["ids"] == library.encode(texts[r["doc_id"]]) and r["decoded"] == texts[r["doc_id"]] for r in kept["sentencepiece"])
 
 
+def _documents(frame, rows):
+    return frame(rows).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as long) n_chars")
+
+
+def test_the_language_stage_rejects_by_score(frame, prose, spark):
+    rng = random.Random(3)
+    noise = ["".join(rng.choices("bcdfgjklmpqvxyz  ", k=800)) for _ in range(6)] + ["".join(rng.choices("абвгдежзиклмнопрст  ", k=800)) for _ in range(6)]
+    rows = [(k, t, "en" if k % 3 else None, "s") for k, t in enumerate(prose(60))]
+    rows += [(100, "Short.", None, "s"), (101, "12 34 !!", None, "s")] + [(200 + k, t, None, "s") for k, t in enumerate(noise)]
+    left = {r["doc_id"] for r in corpus_pipeline.identified(spark, _documents(frame, rows), SF).collect()}
+    assert left == {*range(60), 100}
+
+
+def test_the_language_stage_keeps_all_if_nothing_was_learned(frame, prose, spark):
+    clean = prose(5)
+    rows = [(k, t, None, "s") for k, t in enumerate(clean)] + [(9, None, None, None)]
+    assert corpus_pipeline.identified(spark, _documents(frame, rows), SF).count() == len(rows)
+    out = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0)
+    held = [(out, clean[0], "en", "s"), (out, clean[1], "en", "s")]
+    assert corpus_pipeline.identified(spark, _documents(frame, held), SF).count() == 2
+
+
 def test_the_whole_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(rows) > 50
