@@ -89,6 +89,24 @@ def test_pruning_keeps_pairs_at_the_threshold():
         assert share[0] <= len(ngram_join.likely(a, b, least)) / len(a) <= share[1]
 
 
+def test_pruning_loses_no_more_than_stated():
+    """Match counts of a pair at the threshold, followed value by value."""
+    least, alive, gone = ngram_join.needed(), {0: 1.0}, 0.0
+    for n in range(1, ngram_join.VALUES + 1):
+        after = {}
+        for m, p in alive.items():
+            after[m] = after.get(m, 0) + p * 0.2
+            after[m + 1] = after.get(m + 1, 0) + p * 0.8
+        if n % ngram_join.CHUNK == 0:
+            limit = least[n // ngram_join.CHUNK - 1]
+            gone += sum(p for m, p in after.items() if m < limit)
+            after = {m: p for m, p in after.items() if m >= limit}
+        alive = after
+    missed = (1 - 0.8**ngram_join.BAND) ** (ngram_join.VALUES // ngram_join.BAND)
+    assert gone <= 6.5e-6 and gone + missed < 1e-5
+    assert ngram_join.lost(least) == pytest.approx(gone)
+
+
 @pytest.mark.parametrize("edges, want", [([], {}), ([(1, 1)], {}), ([(5, 4), (4, 3), (9, 8), (3, 2), (8, 7)], {5: 2, 4: 2, 3: 2, 2: 2, 9: 7, 8: 7, 7: 7})])
 def test_components(spark, edges, want):
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
