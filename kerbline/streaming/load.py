@@ -45,11 +45,13 @@ def stream_raw_csv(spark: SparkSession, path: str, columns: Sequence[str], multi
 def without_repeats(stream: DataFrame, key: Sequence[str], time: Column, delay: str) -> DataFrame:
     """A stream less rows whose key came before, within ``delay`` of event time.
 
-    State is kept for that long only. Rows without a readable time take the
-    start of the epoch, so once the watermark has moved they are late and go.
+    State is kept for that long only. Rows without a readable time are never
+    late: all of them stay, and the keyed merge behind removes their repeats.
     """
-    timed = stream.withColumn("_event_time", F.coalesce(time, F.lit("1970-01-01").cast("timestamp")).cast("timestamp"))
-    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(key)).drop("_event_time")
+    timed = stream.withColumn("_event_time", time.cast("timestamp"))
+    known = timed.where(F.col("_event_time").isNotNull()).withWatermark("_event_time", delay)
+    once = known.dropDuplicatesWithinWatermark(list(key)).drop("_event_time")
+    return once.unionByName(timed.where(F.col("_event_time").isNull()).drop("_event_time"))
 
 
 def start_load(

@@ -229,6 +229,19 @@ def test_repeats_within_the_watermark_go(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2"]
 
 
+def test_rows_without_a_time_stay_when_the_watermark_has_moved(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out = str(tmp_path / "out")
+    for name, rows in (("1.csv", "1,2024-01-01 00:00:00\n2,\n"), ("2.csv", "3,\n4,2024-01-01 00:10:00\n4,2024-01-01 00:11:00\n")):
+        _write(tmp_path / "in" / name, "id,t\n" + rows)
+        stream = load.stream_raw_csv(spark, str(tmp_path / "in"), ["id", "t"])
+        time = F.to_timestamp(F.when(F.col("t") != "", F.col("t")))
+        load.without_repeats(stream, ["id"], time, "1 hour").writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "cp")
+        ).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "4"]
+
+
 def test_deltas_keep_last_known_times(spark):
     base = spark.createDataFrame([("1", "open", "a"), ("2", "open", "b")], "id string, status string, opened string")
     deltas = spark.createDataFrame([("1", "x", "c", 0), ("1", "y", None, 1), ("2", "z", None, 1)], "id string, status string, opened string, batch int")
