@@ -102,6 +102,36 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("page_id", "url", "record_type", "refers_to", "payload_digest", "payload", record.alias("record"))
 
 
+def weighed(records: DataFrame) -> DataFrame:
+    """What the bytes of each ``record`` say: ``page_id``, ``payload_bytes``,
+    ``payload_digest``, ``record_type``, ``refers_to``.
+
+    A record is split at its blank line. Its block must be as long as
+    Content-Length says and end as records do, else this raises. A revisit takes
+    length and digest from the record of the response it refers to, which must
+    be there. Only these narrow rows move.
+    """
+    text = F.col("record").cast("string")
+    head = F.substring(text, F.lit(1), F.instr(text, END * 2) + 3)
+    n = F.octet_length("head")
+    split = records.select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("stated"), "record", head.alias("head"))
+    block = F.substring("record", n + 1, F.octet_length("record") - n - 4)
+    length = F.regexp_extract("head", "\r\nContent-Length: ([0-9]+)\r\n", 1)
+    ended = F.substring("record", F.octet_length("record") - 3, F.lit(4)) == F.lit((END * 2).encode())
+    cut = split.select("page_id", "record_type", "refers_to", "stated", block.alias("block"), length.alias("length"), ended.alias("ended"))
+    right = (F.octet_length("block").cast("string") == F.col("length")) & F.col("ended")
+    whole = F.when(right, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("Content-Length differs in a record of payload "), F.coalesce("stated", F.lit("?")))).cast("binary"))
+    own = cut.select("page_id", "record_type", "refers_to", "stated", whole.alias("block"))
+    narrow = written(own.select("page_id", "record_type", "refers_to", "stated", F.octet_length("block").cast("long").alias("n"), F.sha2("block", 256).alias("own")), "records")
+    response = F.col("record_type") == "response"
+    first = narrow.where(response).groupBy(F.col("page_id").alias("i"), F.col("stated").alias("d")).agg(F.first("n").alias("first_n"), F.first("own").alias("first_own"))
+    again = narrow.where(~response).join(written(first, "responses"), (F.col("refers_to") == F.col("i")) & (F.col("stated") == F.col("d")), "left")
+    missing = F.raise_error(F.concat(F.lit("no response for "), "stated"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    revisits = again.withColumn("payload_bytes", F.coalesce("first_n", missing.cast("long"))).withColumn("payload_digest", F.col("first_own"))
+    return narrow.where(response).withColumnsRenamed({"n": "payload_bytes", "own": "payload_digest"}).select(*columns).unionByName(revisits.select(*columns))
+
+
 def export_warc(records: DataFrame, path: str) -> None:
     """Records as plain WARC files, one per partition."""
     text = F.col("record").cast("string")

@@ -49,8 +49,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record per page, read the archive back, and weigh what came back."""
     path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
     archive.write_archive(_table(spark, sf_dir, "pages"), path)
-    records = archive.read_archive(spark, path)
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    return archive.weighed(archive.read_archive(spark, path))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm import archive
+from kerbline.llm.queries import QUERIES
 
 LONG, OTHER, SHORT = "<p>é same page</p>" * 20, "<b>another</b>" * 30, "<i>short</i>"
 ROWS = [(5, "http://a/5", LONG), (2, "http://a/2", LONG), (9, None, LONG), (3, "http://b/\r\nX: y", OTHER), (7, "u", SHORT), (8, "u", SHORT), (4, "n", None), (None, "null id", LONG), (None, "only", OTHER * 2)]
@@ -58,6 +59,26 @@ def test_damage_is_found(spark, pages, tmp_path):
             archive.read_archive(spark, str(tmp_path / other)).collect()
 
 
+def test_records_are_weighed_by_their_bytes(spark, pages, tmp_path):
+    got = archive.weighed(read(spark, pages, ROWS, tmp_path / "a")).collect()
+    want = [(i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in ROWS]
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(want, key=str)
+
+
+def test_the_query_finds_a_wrong_length(spark, monkeypatch):
+    write = archive.write_archive
+
+    def damaged(pages, path):
+        write(pages, f"{path}-whole")
+        spark.read.parquet(f"{path}-whole/payloads").write.parquet(f"{path}/payloads")
+        header = F.regexp_replace(F.col("header").cast("string"), "Content-Length: ([0-9]+)", "Content-Length: 1$1").cast("binary")
+        spark.read.parquet(f"{path}-whole/headers").withColumn("header", header).write.parquet(f"{path}/headers")
+
+    monkeypatch.setattr(archive, "write_archive", damaged)
+    with pytest.raises(Exception, match="Content-Length differs"):
+        QUERIES["op6_warc"](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_repeated_rows_and_empty_tables(spark, pages, tmp_path):
     got = read(spark, pages, [(1, "u", LONG)] * 2 + [(2, "u", LONG)], tmp_path / "a").collect()
     assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 1) == [(1, "response", None)] * 2
