@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import archive, language, lines, mixing, ngram_join, phrases, pieces, suffixes, token_counts, topk
+from kerbline.llm import archive, byte_pairs, divergence, importance, language, lines, mixing, ngram_join, phrases, pieces, suffixes, token_counts, topk
 from kerbline.llm.storage import shared_folder, shipped
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart the sources of each language are, and the terms that tell them."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn by likeness to the benchmark."""
+    drawn = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they give back, as digests."""
+    coded = byte_pairs.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), packed=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,10 +108,76 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_language_id,
         op10_line_dedup,
+        op11_source_divergence,
+        op12_importance,
+        op13_byte_bpe,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM documents),
+        w AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+        v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+        l AS (SELECT lang, count(*) AS size, sum(n) AS n FROM v GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY ALL),
+        t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+        x AS (
+            SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.n, 0) + 2 * l.size) AS p,
+                   1 + (1000000000::HUGEINT * (v.n + 2)) // (l.n + 2 * l.size) AS q
+            FROM g JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN t USING (lang, source)),
+        s AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM x AS a JOIN x AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        f AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value
+            FROM g JOIN g AS h ON g.lang = h.lang AND g.source <> h.source
+            LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM x WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "BINARY") AS rank FROM f)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
+    "op12_importance": r"""
+        WITH RECURSIVE crc(b, k, c) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k = 8),
+        a AS (
+            SELECT 'd' AS side, row_number() OVER () AS k, doc_id, text FROM documents
+            UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+        w AS (
+            SELECT side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM a),
+        f AS (
+            SELECT side, k, unnest(list_concat(ws, CASE WHEN len(ws) < 2 THEN [] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS g
+            FROM w),
+        n AS (SELECT side, k, g, count(*) AS n FROM f GROUP BY ALL),
+        u AS (SELECT DISTINCT g FROM n),
+        by_bytes AS (SELECT g, hex(encode(g)) AS h FROM u),
+        c AS (
+            SELECT g, xor(4294967295, list_reduce(
+                list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1),
+                lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8), 4294967295::BIGINT)) % 10000 AS bucket
+            FROM by_bytes, tab),
+        e AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM n JOIN c USING (g) GROUP BY bucket),
+        z AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM e),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM e, z),
+        m AS (SELECT k, sum(n) AS n_features, sum(n * gain) AS won FROM n JOIN c USING (g) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY k),
+        o AS (
+            SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+                   coalesce((won - ((won % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+                   ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h
+            FROM w LEFT JOIN m USING (k) WHERE side = 'd'),
+        p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM o),
+        r AS (
+            SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place,
+                   25 * count(*) FILTER (n_words >= 20) OVER () // 100 AS places FROM p)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= places THEN place END::BIGINT AS rank FROM r""",
     "op8_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         c AS (
