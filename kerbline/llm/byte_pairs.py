@@ -10,6 +10,7 @@ of what it leaves over. Following these last tokens from the end gives the ids.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -25,9 +26,9 @@ from kerbline.llm.vocabulary import merges
 
 #: Bytes of text that are worked on together, and words (or ids) of a text at a time.
 PORTION, AT_ONCE = 1 << 20, 1 << 16
-#: A task remembers the ids of so many different words of up to so many
-#: characters, and so many answers about pairs; then it starts afresh.
-REMEMBERED, LONGEST, PAIRS = 400_000, 64, 1_000_000
+#: A task remembers the ids of so many different words of up to so many bytes,
+#: then it starts afresh; and so many answers about pairs, of which new ones replace old ones.
+REMEMBERED, LONGEST, PAIRS = 400_000, 64, 1 << 20
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{digits}+| ?{others}+|\s+(?!\S)|\s+"
 
 
@@ -152,18 +153,30 @@ class Automaton:
 
 
 class Encoder(dict):
-    """Texts to ids and back. As a dict: the ids of each word, as little-endian 32-bit numbers."""
+    """Texts to ids and back. As a dict: the ids of the words that it remembers,
+    as little-endian 32-bit numbers."""
 
     def __init__(self, vocabulary: Bytes, automaton: Automaton):
         super().__init__()
-        v = self.vocabulary = vocabulary
-        self.go = dict(zip(automaton.keys.tolist(), automaton.targets.tolist(), strict=True))
-        self.link, self.length, self.near, self.word = (x.tolist() for x in (automaton.link, automaton.length, automaton.near, automaton.word))
-        self.known: dict[int, bool] = {}
+        v, self.automaton = vocabulary, automaton
+        self.vocabulary = v
+        self.edges = np.argsort(automaton.keys)
+        self.edge_keys = automaton.keys[self.edges]
+        #: Answers about pairs, each at a place that its key gives; a newer one takes the place.
+        self.asked, self.answers = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.shown = {i: t for i, t in v.tokens.items()} | {i: t.encode() for t, i in v.special.items()}
+        self.sizes = np.zeros(len(v.born), np.int64)
+        self.sizes[list(self.shown)] = [len(t) for t in self.shown.values()]
         self.find = regex.compile(_WORD.format(letters=r"\p{L}", digits=r"\p{N}", others=r"[^\s\p{L}\p{N}]"))
-        self.special = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
+        # Of ASCII texts the standard library's engine is the faster one.
+        self.find_ascii = re.compile(_WORD.format(letters="[A-Za-z]", digits="[0-9]", others=r"[^\sA-Za-z0-9]"), re.ASCII)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
         self.first_odd = v.others[0] if v.others else "\U0010ffff"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.update({t: np.uint32(i).tobytes() for t, i in self.vocabulary.special.items()})
 
     @cached_property
     def find_odd(self) -> regex.Pattern:
@@ -172,7 +185,7 @@ class Encoder(dict):
         kinds = {"letters": rf"[\p{{L}}--[{odd}]]", "digits": rf"[\p{{N}}--[{odd}]]", "others": rf"(?:[^\s\p{{L}}\p{{N}}]|[{odd}])"}
         return regex.compile(_WORD.format(**kinds), regex.V1)
 
-    def fits(self, x: int, y: int) -> bool:
+    def fit(self, x: int, y: int) -> bool:
         """Whether merging the bytes of tokens x and y gives just x and y.
 
         Time runs backwards: the younger of the two symbols at the border is
@@ -180,22 +193,77 @@ class Encoder(dict):
         the merges that built them. Of equal ranks the left one goes first.
         """
         v = self.vocabulary
-        pairs, born, left, right = v.pairs, v.born, v.left, v.right
+        pairs, born = v.pairs, v.born
         until_x = until_y = 1 << 40
         while True:
             due = pairs.get(x << 20 | y)
             if due is not None and (due >> 20) < until_x and (due >> 20) <= until_y:
                 return False
             if born[x] > born[y]:
-                until_x, x = born[x], right[x]
+                until_x, x = born[x], v.right[x]
             elif born[y] >= 0:
-                until_y, y = born[y], left[y]
+                until_y, y = born[y], v.left[y]
             else:
                 return True
 
-    def last_tokens(self, data: bytes) -> list[int]:
-        """The last token of every prefix, the empty one (-1) first."""
-        go, link, length, near, word, known = self.go, self.link, self.length, self.near, self.word, self.known
+    def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The same for many pairs; only those are looked into whose answer is not at its place."""
+        key = x << 20 | y
+        place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(PAIRS)).astype(np.int64)
+        fine = self.answers[place]
+        new = np.flatnonzero(self.asked[place] != key)
+        if len(new):
+            different, back = np.unique(key[new], return_inverse=True)
+            made = np.array([self.fit(k >> 20, k & 0xFFFFF) for k in different.tolist()])
+            fine[new] = made[back]
+            where, which = np.unique(place[new], return_index=True)
+            self.asked[where], self.answers[where] = key[new][which], fine[new][which]
+        return fine
+
+    def last_tokens(self, words: list[bytes]) -> np.ndarray:
+        """By length of prefix and word (longest words first): the prefix's last
+        token. All words side by side, a byte of each at a time."""
+        m = self.automaton
+        sizes = np.array([len(w) for w in words])
+        longest = int(sizes[0])
+        data = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(len(words), longest).T.astype(np.int64)
+        last = np.full((longest + 1, len(words)), -1, np.int32)
+        state, matched = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        going = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")
+        for j, n in enumerate(going.tolist(), 1):
+            state, matched = state[:n], matched[:n]
+            key, todo = state << 8 | data[j - 1, :n], np.arange(n)
+            place = np.zeros(n, np.int64)
+            while len(todo):
+                found = np.minimum(np.searchsorted(self.edge_keys, key[todo]), len(self.edge_keys) - 1)
+                place[todo] = found
+                todo = todo[self.edge_keys[found] != key[todo]]
+                state[todo] = m.link[state[todo]]  # the empty stretch goes on with every byte
+                matched[todo] = m.length[state[todo]]
+                key[todo] = state[todo] << 8 | data[j - 1, todo]
+            state, matched = m.targets[self.edges[place]].astype(np.int64), matched + 1
+            t = m.near[state].astype(np.int64)
+            beyond = m.length[t] > matched  # the state's longest stretch is a token, but more than was read
+            t[beyond] = m.near[m.link[t[beyond]]]
+            left = np.arange(n)
+            while len(left):
+                before, y = j - m.length[t], m.word[t]
+                fine = before == 0
+                inner = np.flatnonzero(~fine)
+                fine[inner] = self.fits(last[before[inner], left[inner]].astype(np.int64), y[inner].astype(np.int64))
+                last[j, left[fine]] = y[fine]
+                left, t = left[~fine], m.near[m.link[t[~fine]]]
+        return last
+
+    @cached_property
+    def _plain(self) -> tuple:
+        m = self.automaton
+        return dict(zip(m.keys.tolist(), m.targets.tolist(), strict=True)), *(x.tolist() for x in (m.link, m.length, m.near, m.word))
+
+    def last_tokens_of_one(self, data: bytes) -> list[int]:
+        """The same for a single long word, in time proportional to its length."""
+        go, link, length, near, word = self._plain
+        known: dict[int, bool] = {}
         last = [-1] * (len(data) + 1)
         state = matched = 0
         for j, c in enumerate(data, 1):
@@ -207,53 +275,91 @@ class Encoder(dict):
             state = to
             matched += 1
             t = near[state]
-            if length[t] > matched:  # the state's longest stretch is a token, but more than was read
+            if length[t] > matched:
                 t = near[link[t]]
             while True:
-                i, y = j - length[t], word[t]
-                if not i:
+                x, y = last[j - length[t]], word[t]
+                if x < 0:
                     break
-                key = last[i] << 20 | y
-                fine = known.get(key)
-                if fine is None:
+                key = x << 20 | y
+                if key not in known:
                     if len(known) >= PAIRS:
                         known.clear()
-                    fine = known[key] = self.fits(last[i], y)
-                if fine:
+                    known[key] = self.fit(x, y)
+                if known[key]:
                     break
                 t = near[link[t]]
             last[j] = y
         return last
 
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode("utf-8", "replace")
-        last, sizes, at, ids = self.last_tokens(data), self.shown, len(data), []
-        while at:
-            ids.append(last[at])
-            at -= len(sizes[last[at]])
-        made = np.array(ids[::-1], "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = made
-        return made
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, 4 bytes each."""
-        out, at = bytearray(), 0
-        for m in self.special.finditer(text) if self.special else ():
-            out += self._between(text[at : m.start()]) + np.uint32(self.vocabulary.special[m.group()]).tobytes()
-            at = m.end()
-        return bytes(out + self._between(text[at:] if at else text))
-
-    def _between(self, text: str) -> bytes:
-        find = self.find if text.isascii() or max(text) < self.first_odd else self.find_odd
-        if len(text) <= AT_ONCE:
-            return b"".join(map(self.__getitem__, find.findall(text)))
-        out, words = bytearray(), (m.group() for m in find.finditer(text))
-        while some := list(islice(words, AT_ONCE)):
-            out += b"".join(map(self.__getitem__, some))
-        return bytes(out)
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of some words into the memory, following back-pointers from their ends."""
+        coded = sorted(((w.encode("utf-8", "replace"), w) for w in new), key=lambda p: -len(p[0]))
+        while coded and len(coded[0][0]) > LONGEST:
+            data, word = coded.pop(0)
+            last, at, ids = self.last_tokens_of_one(data), len(data), []
+            while at:
+                ids.append(last[at])
+                at -= int(self.sizes[last[at]])
+            self[word] = np.array(ids[::-1], "<u4").tobytes()
+        for a in range(0, len(coded), AT_ONCE):
+            some = coded[a : a + AT_ONCE]
+            last = self.last_tokens([d for d, _ in some])
+            at, who, found = np.array([len(d) for d, _ in some]), np.arange(len(some)), []
+            while len(who):
+                token = last[at, who]
+                found.append((who, token))
+                at = at - self.sizes[token]
+                who, at = who[at > 0], at[at > 0]
+            owner = np.concatenate([f[0] for f in found[::-1]])
+            order = np.argsort(owner, kind="stable")
+            ids = np.concatenate([f[1] for f in found[::-1]])[order].astype("<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(owner, minlength=len(some)))).tolist()
+            self.update(zip((w for _, w in some), map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, some at a time; special tokens are words of their own."""
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            if k % 2:
+                yield [part]
+                continue
+            find = self.find_ascii if part.isascii() else self.find if max(part) < self.first_odd else self.find_odd
+            if len(part) <= AT_ONCE:
+                yield find.findall(part)
+                continue
+            words = (m.group() for m in find.finditer(part))
+            while some := list(islice(words, AT_ONCE)):
+                yield some
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, 4 bytes each."""
+        out = [bytearray() for _ in texts]
+        rows: list[tuple[int, list[str]]] = []
+
+        def flush() -> None:
+            different = {w for _, words in rows for w in words}
+            new = [w for w in different if w not in self]
+            if len(self) + len(new) > REMEMBERED:
+                self._forget()
+                new = [w for w in different if w not in self]
+            self._learn(new)
+            for k, words in rows:
+                out[k] += b"".join(map(self.__getitem__, words))
+            for w in new:
+                if len(w.encode()) > LONGEST:
+                    del self[w]
+            rows.clear()
+
+        size = 0
+        for k, text in enumerate(texts):
+            for words in self._words(text):
+                rows.append((k, words))
+                size += len(words)
+                if size >= AT_ONCE:
+                    flush()
+                    size = 0
+        flush()
+        return list(map(bytes, out))
 
     def decode(self, packed: bytes) -> str:
         """The text of ids, 4 bytes each; bytes that are no UTF-8 become replacement characters."""
@@ -293,7 +399,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, automaton)
         for batch in portions(batches, "text", PORTION):
-            made = [encoder.encode(t) for t in filled(batch.column("text")).to_pylist()]
+            made = encoder.encode(filled(batch.column("text")).to_pylist())
             n = np.array([len(m) // 4 for m in made], np.int64)
             ids = pa.array(made, pa.binary())
             if not packed:

@@ -54,13 +54,16 @@ def test_stored_ids_give_texts(spark, library):
 
 def test_every_prefix_ends_with_the_token_that_merging_leaves_there(encoder):
     v, rng = encoder.vocabulary, random.Random(2)
-    for _ in range(150):
-        data = "".join(rng.choices([*"abethionr ", "the", "ing", "é"], k=rng.randint(1, 12))).encode()
-        last = encoder.last_tokens(data)
+    words = ["".join(rng.choices([*"abethionr ", "the", "ing", "é"], k=rng.randint(1, 12))).encode() for _ in range(150)]
+    words.sort(key=len, reverse=True)
+    together = encoder.last_tokens(words)
+    for k, data in enumerate(words):
+        alone = encoder.last_tokens_of_one(data)
+        assert alone == together[: len(data) + 1, k].tolist()
         for j in range(1, len(data) + 1):
             symbols = [v.by_byte[b] for b in data[:j]]
             merges(symbols, v.pairs)
-            assert last[j] == [s for s in symbols if s >= 0][-1]
+            assert alone[j] == [s for s in symbols if s >= 0][-1]
 
 
 def test_the_automaton_ends_where_words_end():
@@ -81,17 +84,20 @@ def test_the_automaton_ends_where_words_end():
         assert found == sorted((w for w in words.values() if text[:j].endswith(w)), key=len, reverse=True)
 
 
-def test_memory_of_words_and_long_texts(frame, library, encoder, monkeypatch):
-    monkeypatch.setattr(byte_pairs, "REMEMBERED", 3)
-    monkeypatch.setattr(byte_pairs, "PAIRS", 5)
-    monkeypatch.setattr(byte_pairs, "AT_ONCE", 7)
-    encoder.clear()
-    for text in texts(50):
-        want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
-        assert encoder.decode(encoder.encode(text)) == text
+@pytest.mark.parametrize("remembered, longest, pairs, at_once", [(3, 64, 1 << 20, 7), (400_000, 3, 5, 1), (1, 1, 1, 100)])
+def test_memory_of_words_and_long_texts(library, encoder, monkeypatch, remembered, longest, pairs, at_once):
+    for name, value in (("REMEMBERED", remembered), ("LONGEST", longest), ("PAIRS", pairs), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(byte_pairs, name, value)
+    small = byte_pairs.Encoder(encoder.vocabulary, encoder.automaton)
+    rows = texts(60)
+    made = small.encode(rows)
+    assert [np.frombuffer(m, "<u4").tolist() for m in made] == [library.encode(t, add_special_tokens=False).ids for t in rows]
+    assert [small.decode(m) for m in made] == rows
+
+
+def test_a_long_text(library, encoder):
     long = "word and word. " * 100_000 + "z" * 200_000
-    assert len(encoder.encode(long)) // 4 == len(library.encode(long, add_special_tokens=False).ids)
+    assert len(encoder.encode([long])[0]) // 4 == len(library.encode(long, add_special_tokens=False).ids)
 
 
 def test_nulls_repeats_and_empty_tables(frame):
