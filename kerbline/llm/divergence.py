@@ -19,7 +19,10 @@ _TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Probabilities are whole numbers of so many parts; a count weighs so much more than it is, in all twice that.
 PARTS, EXTRA = 1_000_000_000, 2
 #: Different (lang, source, term) that a task adds up before it sends them on.
-HELD = 300_000
+HELD = 500_000
+#: A task holds occurrences and rows of a term in one number, rows in so many bits,
+#: and sends them on after half as many rows as these can count.
+_DOCS = 24
 #: Counts (different rows of the vocabulary times sources) that one task compares, about.
 CELLS = 1 << 21
 
@@ -30,47 +33,36 @@ def term_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "
     lang and source that a task has met."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        met: set[tuple[str, str]] = set()
-        size = 0
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = rows = 0
 
-        def sent() -> pa.RecordBatch:
-            rows = [(*g, t, *v) for g, terms in held.items() for t, v in terms.items()] + [(*g, None, 0, 0) for g in met]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*made[:2], made[2].cast(pa.string()), *made[3:]], ["lang", "source", "term", "n", "docs"])
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (lang, source), terms in held.items():
+                n, many = np.fromiter(terms.values(), np.int64, len(terms)), len(terms) + 1
+                columns = [pa.array([lang] * many), pa.array([source] * many), pa.array([*terms, None], pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.append(n >> _DOCS, 0)), pa.array(np.append(n & (1 << _DOCS) - 1, 0))], ["lang", "source", "term", "n", "docs"])
 
         for batch in portions(batches, "text", 1 << 20):
             langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
             for k, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-                group = lang or "", source or ""
-                met.add(group)
-                text = batch.column("text")[k].as_py()
-                if not text:
-                    continue
-                terms = held.setdefault(group, {})
+                terms = held.setdefault((lang or "", source or ""), {})
                 size -= len(terms)
-                for term, n in Counter(_found(text)).items():
-                    row = terms.get(term)
-                    if row is None:
-                        terms[term] = [n, 1]
-                    else:
-                        row[0] += n
-                        row[1] += 1
-                size += len(terms)
-                if size >= HELD:
-                    yield sent()
-                    held, size = {}, 0
-                    met.clear()
-        yield sent()
+                for term, n in Counter(_found(batch.column("text")[k].as_py() or "")).items():
+                    terms[term] = terms.get(term, 0) + (n << _DOCS | 1)
+                size, rows = size + len(terms), rows + 1
+                if size >= HELD or rows >= 1 << _DOCS - 1:
+                    yield from sent()
+                    held.clear()
+                    size = rows = 0
+        yield from sent()
 
     narrow = docs.select(docs[text_column].alias("text"), docs[lang_column].alias("lang"), docs[source_column].alias("source"))
     return narrow.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
 
-def _found(text: str) -> Iterator[bytes]:
-    return (m.group() for m in _TERM.finditer(text.encode().lower()))
+def _found(text: str) -> Iterable[bytes]:
+    data = text.encode().lower()
+    return _TERM.findall(data) if len(data) < 1 << 20 else (m.group() for m in _TERM.finditer(data))
 
 
 def _div(a: Column, b: Column) -> Column:

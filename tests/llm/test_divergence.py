@@ -61,6 +61,10 @@ def test_small_blocks_and_batches_change_nothing(frame, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 3)
     monkeypatch.setattr(divergence, "HELD", 2)
     assert got(divergence.audit(frame(rows), least_docs=2, terms=3)) == brute(rows, 2, 3)
+    monkeypatch.setattr(divergence, "HELD", 1 << 20)
+    monkeypatch.setattr(divergence, "_DOCS", 12)
+    rows = [(k, "b " * 3 + "a", "en", "s1" if k % 3 else "s2") for k in range(5_000)]
+    assert got(divergence.audit(frame(rows), least_docs=2, terms=3)) == brute(rows, 2, 3)
 
 
 def test_groups_without_terms_repeats_and_empty_tables(frame):
