@@ -274,13 +274,16 @@ def totals_near_lines(
     parts: str = "parts",
     zoom: int = CELL_ZOOM,
     radii: Sequence[float] | None = None,
+    combine: bool = True,
 ) -> DataFrame:
     """Sum point measures over the points within ``radius`` of each line.
 
     ``lines`` is unique on ``key``; ``points`` has ``lon``, ``lat`` and numeric
     ``measures``. Lines without a hit are absent from the result. A radius above
     0 has cells to suit it, ``zoom`` at the finest; a caller who knows all radii
-    states them in ``radii`` and saves a look at the column.
+    states them in ``radii`` and saves a look at the column. ``combine`` says
+    whether points at one place are summed before they move, which is a shuffle
+    of its own; a caller who has few points left does without.
 
     One plan for all sizes. Lines move once, as compact rows by key, so that
     neither the grouping of their cells nor the sums shuffle again while the
@@ -295,7 +298,7 @@ def totals_near_lines(
         zooms = lines.agg(F.collect_set(fitted)).scalar()
     else:
         zooms = F.array(*[F.lit(z) for z in sorted({zoom_of(r, zoom) for r in radii})])
-    placed = _point_cells(points, measures, metric, zooms, combine=True)
+    placed = _point_cells(points, measures, metric, zooms, combine)
     spread = lines.select(*key, parts, radius).repartition(*key).withColumn("_zoom", fitted)
     cells = line_cells(spread, key, parts, radius, metric, "_zoom")
     near = grouped_cells(cells, key).join(placed, "cell")

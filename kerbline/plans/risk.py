@@ -21,6 +21,7 @@ from kerbline.functions.scoring import (
     score_severity_weight,
 )
 from kerbline.functions.vocabulary import is_open_hazard
+from kerbline.operators.bounds import near_box
 from kerbline.operators.proximity import totals_near_lines
 from kerbline.operators.tiles import busiest_tile
 
@@ -66,15 +67,20 @@ def score_lines(
     lookback_days: int = SCORE_LOOKBACK_DAYS,
     buffer_m: float = SCORE_BUFFER_M,
     scale: str = "literal",
+    prune: bool = False,
 ) -> DataFrame:
     """Risk score 0..100 per line with its diagnostics, distances in metres.
 
     Crashes and hazards go through one join as one stream of points with three
-    measures, so the line side is cut into cells and shuffled once.
+    measures, so the line side is cut into cells and shuffled once. ``prune``
+    reads only the points in the box around the lines (:mod:`operators.bounds`),
+    for a call about few lines, or lines that lie close together.
     """
     key = list(key)
     zero = F.lit(0).cast("bigint")
     one = F.lit(1).cast("bigint")
+    if prune:
+        crash, hazard = (near_box(p, lines, parts="parts", reach=buffer_m, metric="geodesic") for p in (crash, hazard))
     crashes = recent_crashes(crash, now, lookback_days).select(
         "lon", "lat", one.alias("crashes"),
         score_severity_weight(F.col("severity"), scale).cast("bigint").alias("crash_weight"),
@@ -87,7 +93,7 @@ def score_lines(
     shaped = lines.select(*key, clean_line(F.col("parts")).alias("parts"), F.lit(float(buffer_m)).alias("radius"))
     totals = totals_near_lines(
         shaped, crashes.unionByName(hazards), key=key, radius="radius", metric="geodesic", measures=measures,
-        radii=[buffer_m],
+        radii=[buffer_m], combine=not prune,
     )
     km = length_km(geodesic_length(densify(F.col("parts"))))
     return _with_scores(
@@ -125,9 +131,9 @@ def score_wkt(lines: DataFrame, crash: DataFrame, hazard: DataFrame, *, wkt: str
 def score_bikeway(
     bikeway: DataFrame, crash: DataFrame, hazard: DataFrame, infra_id: str | None = None, **options
 ) -> DataFrame:
-    """Scores of stored bikeways, or of one; an unknown id gives no row."""
+    """Scores of stored bikeways, or of one, which reads only the points around it; an unknown id gives no row."""
     chosen = bikeway if infra_id is None else bikeway.filter(F.col("infra_id") == infra_id)
-    return score_lines(chosen, crash, hazard, key=["infra_id"], **options)
+    return score_lines(chosen, crash, hazard, key=["infra_id"], **{"prune": infra_id is not None, **options})
 
 
 def risk_payload(scored: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -150,13 +156,17 @@ def log_scores(
     *,
     key: Sequence[str],
     buffer: float,
+    prune: bool = False,
 ) -> DataFrame:
-    """Crashes in the buffer (Mercator units) against the busiest tile."""
+    """Crashes in the buffer (Mercator units) against the busiest tile. ``prune``
+    as for :func:`score_lines`."""
     key = list(key)
+    if prune:
+        crash = near_box(crash, lines, parts="parts", reach=buffer, metric="mercator")
     shaped = lines.select(*key, "parts", F.lit(float(buffer)).alias("radius"))
     totals = totals_near_lines(
         shaped, crash.select("lon", "lat", F.lit(1).cast("bigint").alias("crashes")), key=key, radius="radius",
-        metric="mercator", measures=["crashes"], radii=[buffer],
+        metric="mercator", measures=["crashes"], radii=[buffer], combine=not prune,
     )
     hits = F.coalesce("crashes", F.lit(0).cast("bigint"))
     return shaped.select(*key).join(totals, key, "left").select(

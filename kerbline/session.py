@@ -15,6 +15,9 @@ def local_session(cpus: str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # Do not look up the Python line behind every column expression: it takes
+        # most of the time of building a query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # The JVM does not compile methods beyond 8000 bytes; smaller pieces run faster.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )

@@ -465,6 +465,8 @@ recent AS (SELECT *, crash_id AS id FROM crash WHERE occurred_at >= {_NOW} - INT
     out["log_score_routes"] = f"WITH {CRASH}, {ROUTE}, {_TILES}, {_planar_pairs('6e1')}, {_LOG.format(key=_ROUTE_KEY)}"
     out["log_score_bikeways"] = f"WITH {CRASH}, {BIKEWAY_SEG}, {_TILES}, {_planar_pairs('6e1')}, {_LOG.format(key=bike_key)}"
 
+    out["log_score_one_bikeway"] = f"SELECT * FROM ({out['log_score_bikeways']}) WHERE infra_id = '7'"
+
     # loading
     out["load_crash"] = f"""WITH {RAW_CRASH},
 ok AS (SELECT * FROM timed WHERE lon IS NOT NULL AND utc >= {_NOW} - INTERVAL 5 YEAR)

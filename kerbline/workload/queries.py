@@ -350,6 +350,16 @@ def log_score_bikeways(s, d):
     )
 
 
+@query
+def log_score_one_bikeway(s, d):
+    """One bikeway by its key: only crashes in the box around it leave the scan."""
+    crash = t.crash(s, d)
+    one = t.bikeway(s, d).filter(F.col("infra_id") == "7")
+    return risk.log_scores(one, crash, til.crash_tiles(crash), key=["infra_id"], buffer=BUFFER, prune=True).select(
+        "infra_id", "crashes", "score"
+    )
+
+
 # --- loading -------------------------------------------------------------------
 
 
