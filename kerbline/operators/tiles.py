@@ -47,6 +47,47 @@ def busiest_tile(tiles: DataFrame) -> DataFrame:
     return tiles.agg(F.coalesce(F.max("crashes"), F.lit(1).cast("bigint")).alias("max_tile"))
 
 
+def tile_differences(stored: DataFrame, incoming: DataFrame, key: Sequence[str], zoom: int = CRASH_TILE_ZOOM) -> DataFrame:
+    """How a merge of ``incoming`` into ``stored`` changes the counts of tiles: x,
+    y and a signed ``change``, for tiles that change only.
+
+    Rows that are replaced leave their tile, those of the batch enter theirs.
+    Both sides are no larger than the batch, and are counted before they move;
+    of the stored table only rows with a key of the batch are looked at.
+    """
+    replaced = stored.join(incoming.select(*key), list(key), "left_semi")
+    signed = [tile_coords(df, zoom).select("x", "y", F.lit(n).cast("bigint").alias("change")) for df, n in ((replaced, -1), (incoming, 1))]
+    changes = signed[0].unionByName(signed[1]).groupBy("x", "y").agg(F.sum("change").alias("change"))
+    return changes.filter(F.col("change") != 0)
+
+
+def tiles_after(tiles: DataFrame, differences: DataFrame) -> DataFrame:
+    """Tile counts with the differences added; a tile without points goes."""
+    both = tiles.select("x", "y", "crashes").unionByName(differences.select("x", "y", F.col("change").alias("crashes")))
+    return both.groupBy("x", "y").agg(F.sum("crashes").alias("crashes")).filter(F.col("crashes") != 0)
+
+
+#: A block of tiles is 2 to this power wide and high.
+PEAK_LEVELS = 4
+
+
+def _block() -> list[Column]:
+    return [F.shiftright("x", PEAK_LEVELS).alias("bx"), F.shiftright("y", PEAK_LEVELS).alias("by")]
+
+
+def peaks(tiles: DataFrame) -> DataFrame:
+    """The highest count of each block of tiles: bx, by, ``crashes``."""
+    return tiles.groupBy(*_block()).agg(F.max("crashes").alias("crashes"))
+
+
+def peaks_after(before: DataFrame, tiles: DataFrame, differences: DataFrame) -> DataFrame:
+    """Peaks after a merge. A count may have shrunk, so blocks with a changed tile
+    are looked through again, in the new ``tiles``; the others keep their peak."""
+    touched = differences.select(*_block()).distinct()
+    fresh = peaks(tiles.select("x", "y", "crashes", *_block()).join(touched, ["bx", "by"], "left_semi"))
+    return before.join(touched, ["bx", "by"], "left_anti").unionByName(fresh)
+
+
 def with_squares(tiles: DataFrame, zoom: int = CRASH_TILE_ZOOM) -> DataFrame:
     """Add the tile edges in degrees: west, south, east, north."""
     square = tile_square(F.col("x"), F.col("y"), zoom)

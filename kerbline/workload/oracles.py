@@ -343,6 +343,10 @@ def oracles() -> dict[str, str]:
 
     # ranking
     out["rank_routes"] = f"{_RANK} SELECT request_id, mode, {ix}, length_km, crashes, CAST(rank AS INTEGER) AS rank, rank = 1 AS is_winner FROM ranked"
+    out["rank_feature_values"] = f"""{_RANK},
+line AS (SELECT g AS request_id, l AS idx, count(*) AS vertices, round(sum(lon), 6) AS lon_sum, round(sum(lat), 6) AS lat_sum FROM vertex GROUP BY g, l)
+SELECT request_id, 'FeatureCollection' AS document, CAST(rank - 1 AS INTEGER) AS place, {ix}, crashes, length_km, rank = 1 AS is_winner,
+  'LineString' AS shape, CAST(vertices AS INTEGER) AS vertices, lon_sum, lat_sum FROM ranked JOIN line USING (request_id, idx)"""
     out["rank_winners"] = f"""{_RANK}
 SELECT valid.request_id, valid.mode, CAST(r.idx AS INTEGER) AS winner, r.crashes, r.length_km, coalesce(n.routes, 0) AS routes
 FROM valid LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r USING (request_id)
@@ -467,6 +471,8 @@ recent AS (SELECT *, crash_id AS id FROM crash WHERE occurred_at >= {_NOW} - INT
 
     out["log_score_one_bikeway"] = f"SELECT * FROM ({out['log_score_bikeways']}) WHERE infra_id = '7'"
 
+    out["risk_payload_values"] = f"SELECT *, 365 AS lookback_days, CAST(50 AS DOUBLE) AS buffer_m FROM ({out['score_bikeways']})"
+
     # loading
     out["load_crash"] = f"""WITH {RAW_CRASH},
 ok AS (SELECT * FROM timed WHERE lon IS NOT NULL AND utc >= {_NOW} - INTERVAL 5 YEAR)
@@ -511,6 +517,37 @@ stored AS (SELECT CAST(s_suppkey AS VARCHAR) AS infra_id,
   CASE s_nationkey % 3 WHEN 0 THEN 'EXISTING' WHEN 1 THEN 'PROPOSED' ELSE 'UNKNOWN' END AS status FROM supplier)
 SELECT infra_id, coalesce(k.class, s.class) AS class, '' AS on_off, coalesce(k.status, s.status) AS status, coalesce(k.parts, 2) AS parts
 FROM stored s FULL JOIN kept k USING (infra_id)"""
+    moved = f"""WITH {CRASH}, {RAW_CRASH},
+ok AS (SELECT * FROM timed WHERE lon IS NOT NULL AND utc >= {_NOW} - INTERVAL 5 YEAR),
+fresh AS (SELECT id AS crash_id, utc, severity, lon, lat FROM ok QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1),
+old AS (SELECT crash_id, occurred_at, severity, lon, lat FROM crash WHERE occurred_at < TIMESTAMP '2024-01-20 00:00:00'),
+merged AS (
+  SELECT crash_id, coalesce(f.utc, old.occurred_at) AS occurred_at, CAST(coalesce(f.severity, old.severity) AS SMALLINT) AS severity,
+    coalesce(f.lon, old.lon) AS lon, coalesce(f.lat, old.lat) AS lat FROM old FULL JOIN fresh f USING (crash_id))"""
+    out["load_and_merge_crash"] = f"{moved} SELECT crash_id, occurred_at, severity, round(lon, 6) AS lon, round(lat, 6) AS lat FROM merged"
+
+    def tiled(source: str) -> str:
+        return f"""(SELECT CAST(floor(({_mx('lon')} + {_ORIGIN}) / {_TILE12}) AS INTEGER) AS x,
+  CAST(floor(({_ORIGIN} - {_my('lat')}) / {_TILE12}) AS INTEGER) AS y, count(*) AS crashes FROM {source} GROUP BY ALL)"""
+
+    out["tiles_after_merge"] = f"{moved} SELECT x, y, crashes FROM {tiled('merged')}"
+    out["busiest_tile_after_merge"] = f"{moved} SELECT max(crashes) AS max_tile FROM {tiled('merged')}"
+    out["tile_changes"] = f"""{moved} SELECT * FROM (
+  SELECT x, y, coalesce(a.crashes, 0) - coalesce(b.crashes, 0) AS change
+  FROM {tiled('merged')} a FULL JOIN {tiled('old')} b USING (x, y)) WHERE change <> 0"""
+    out["load_and_merge_hazard"] = f"""WITH {HAZARD}, {RAW_HAZARD},
+ok AS (SELECT * FROM parsed WHERE lon IS NOT NULL AND opened_at >= {_NOW} - INTERVAL 365 DAY),
+fresh AS (SELECT id AS hazard_id, category, status, opened_at, lon, lat FROM ok QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1),
+old AS (SELECT * FROM hazard WHERE opened_at < TIMESTAMP '2023-08-01 00:00:00')
+SELECT hazard_id, coalesce(f.category, old.category) AS category, coalesce(f.status, old.status) AS status,
+  coalesce(f.opened_at, old.opened_at) AS opened_at, old.closed_at, round(coalesce(f.lon, old.lon), 6) AS lon, round(coalesce(f.lat, old.lat), 6) AS lat
+FROM old FULL JOIN fresh f USING (hazard_id)"""
+    both = " UNION ALL ".join(f"SELECT g, lon, lat FROM ({_vertex_rows('supplier', 's_suppkey', line, 3)})" for line in ("s_suppkey", "(1000 + s_suppkey)"))
+    out["load_and_merge_bikeway"] = f"""SELECT infra_id, coalesce(f.class, m.class) AS class, m.on_off, coalesce(f.status, m.status) AS status, m.parts,
+  CAST(coalesce(f.vertices, b.vertices) AS INTEGER) AS vertices, coalesce(f.west, b.west) AS west, coalesce(f.south, b.south) AS south
+FROM ({out['merge_bikeway']}) m LEFT JOIN ({out['load_bikeway']}) f USING (infra_id)
+LEFT JOIN (SELECT CAST(g AS VARCHAR) AS infra_id, count(*) AS vertices, round(min(lon), 6) AS west, round(min(lat), 6) AS south FROM ({both}) GROUP BY g) b
+  USING (infra_id)"""
     out["incremental_load"] = f"""WITH {CRASH} SELECT crash_id, occurred_at, CAST(severity + CASE WHEN day(occurred_at) >= 20 THEN 2
   WHEN day(occurred_at) >= 10 THEN 1 ELSE 0 END AS SMALLINT) AS severity FROM crash"""
     watch = ROUTE.replace("orders", "customer").replace("o_custkey", "c_custkey").replace("o_orderkey", "c_custkey")

@@ -80,6 +80,24 @@ def rank_feature_collection(s, d):
     return col.pages(rk.route_features(ranked), ["request_id"], "rank")
 
 
+@query
+def rank_feature_values(s, d):
+    """The ranking's documents read back: a row per feature with its place in the
+    document, its properties, and its line as number and rounded sums of vertices."""
+    kind = (
+        "type string, features array<struct<type: string, geometry: struct<type: string, coordinates: array<array<double>>>,"
+        " properties: struct<index: int, crashes: bigint, length_km: double, is_winner: boolean>>>"
+    )
+    read = rank_feature_collection(s, d).select("request_id", F.from_json("document", kind).alias("d"))
+    features = read.select("request_id", F.col("d.type").alias("document"), F.posexplode("d.features").alias("place", "f"))
+    line = F.col("f.geometry.coordinates")
+    total = lambda k: F.round(F.aggregate(line, F.lit(0.0), lambda a, v: a + v[k]), 6)
+    return features.select(
+        "request_id", "document", "place", "f.properties.*", F.col("f.geometry.type").alias("shape"), F.size(line).alias("vertices"),
+        total(0).alias("lon_sum"), total(1).alias("lat_sum"),
+    )
+
+
 @query
 def request_summary(s, d):
     return rk.request_summary(rk.scored_routes(*_rank_inputs(s, d)))
@@ -305,6 +323,19 @@ def risk_payload(s, d):
     return risk.risk_payload(scored, ["infra_id"])
 
 
+@query
+def risk_payload_values(s, d):
+    """The texts of the payload read back: each number that they hold, rounded."""
+    kind = (
+        "params struct<lookback_days: int, buffer_m: double>, length_km double, counts struct<crashes: bigint, crash_weight: bigint, open_hazards: bigint>,"
+        " densities struct<crash_cnt_per_km: double, crash_weight_per_km: double, hazard_per_km: double>,"
+        " component_pts struct<crash_points: double, hazard_points: double>, score int"
+    )
+    read = risk_payload(s, d).select("infra_id", F.from_json("payload", kind).alias("p"))
+    whole = read.select("infra_id", "p.length_km", "p.score", *[f"p.{c}.*" for c in ("params", "counts", "densities", "component_pts")])
+    return _scored(whole, "infra_id", "lookback_days", "buffer_m")
+
+
 def _near_routes(s, d, points: DataFrame, measure: str) -> DataFrame:
     """The sum within 50 m of every route, 0 where nothing is."""
     lines = _route_lines(s, d).withColumn("radius", F.lit(50.0))
@@ -464,9 +495,7 @@ def merge_crash(s, d):
     return upsert_crash(stored, incoming).select("crash_id", "occurred_at", "severity", *_r6("lon", "lat"))
 
 
-@query
-def merge_hazard(s, d):
-    """Overlapping hazard batches; incoming null times keep the stored ones."""
+def _hazard_batches(s, d):
     hazard = t.hazard(s, d)
     early = F.lit("2023-08-01 00:00:00").cast("timestamp_ntz")
     late = F.lit("2023-05-01 00:00:00").cast("timestamp_ntz")
@@ -478,7 +507,13 @@ def merge_hazard(s, d):
             "closed_at": F.when(F.col("category") == "other", t.now()),
         }
     )
-    return upsert_hazard(stored, incoming).select("hazard_id", "category", "status", "opened_at", "closed_at")
+    return stored, incoming
+
+
+@query
+def merge_hazard(s, d):
+    """Overlapping hazard batches; incoming null times keep the stored ones."""
+    return upsert_hazard(*_hazard_batches(s, d)).select("hazard_id", "category", "status", "opened_at", "closed_at")
 
 
 @query
@@ -490,6 +525,57 @@ def merge_bikeway(s, d):
     return merged.select("infra_id", "class", "on_off", "status", F.size("parts").alias("parts"))
 
 
+@query
+def load_and_merge_crash(s, d):
+    """A raw batch cleaned and laid over the stored crashes."""
+    merged = ingest.load_crash(t.raw_crash(s, d), _crash_batches(s, d)[0], t.now())
+    return merged.select("crash_id", "occurred_at", "severity", *_r6("lon", "lat"))
+
+
+@query
+def load_and_merge_hazard(s, d):
+    """A raw batch of hazards laid over the stored ones; a stored closing time stays."""
+    merged = ingest.load_hazard(t.raw_hazard(s, d), _hazard_batches(s, d)[0], t.now())
+    return merged.select("hazard_id", "category", "status", "opened_at", "closed_at", *_r6("lon", "lat"))
+
+
+@query
+def load_and_merge_bikeway(s, d):
+    """A raw batch of bikeways, reprojected, laid over the stored ones."""
+    merged = ingest.load_bikeway(t.raw_bikeway(s, d), t.bikeway(s, d))
+    box = G.box_of(F.flatten("parts"))
+    return merged.select(
+        "infra_id", "class", "on_off", "status", F.size("parts").alias("parts"), F.size(F.flatten("parts")).alias("vertices"),
+        F.round(box["west"], 6).alias("west"), F.round(box["south"], 6).alias("south"),
+    )
+
+
+def _tile_merge(s, d):
+    """Tiles of the stored crashes, and what a raw batch that moves many of them changes."""
+    stored, incoming = _crash_batches(s, d)[0], ingest.clean_crash(t.raw_crash(s, d), t.now())
+    return til.crash_tiles(stored), til.tile_differences(stored, incoming, ["crash_id"])
+
+
+@query
+def tiles_after_merge(s, d):
+    """Tile counts kept up to date by differences, not counted again."""
+    return til.tiles_after(*_tile_merge(s, d))
+
+
+@query
+def tile_changes(s, d):
+    """The differences themselves."""
+    return _tile_merge(s, d)[1]
+
+
+@query
+def busiest_tile_after_merge(s, d):
+    """The highest count after a merge, from peaks by block of which only touched ones are new."""
+    tiles, differences = _tile_merge(s, d)
+    after = til.peaks_after(til.peaks(tiles), til.tiles_after(tiles, differences), differences)
+    return til.busiest_tile(after)
+
+
 @query
 def incremental_load(s, d):
     """Three overlapping crash deltas over an empty base, newest per key."""
