@@ -3,51 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.parsing import blank_if_missing
+from kerbline.sources.records import read_records
 
 # Order of a row in its source: file, then place in the file.
 POSITION = "_position"
 
 
-def files_with_long_records(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """The files in which some record may run over several lines.
-
-    A record that ends on its own line has an even number of quote characters;
-    if every line of a file has, each line is a record and the file can be split.
-    """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    odd = spark.read.text(path).filter(quotes % 2 == 1)
-    return sorted(r[0] for r in odd.select("_metadata.file_path").distinct().collect())
-
-
 def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """All columns as text, missing cells as the empty text, plus ``_position``.
 
-    Only a file with a record that spans lines is read as an unsplittable whole;
-    ``multi_line`` states what holds for all and saves the look.
+    Files are read in splits, whether or not records run over several lines
+    (:mod:`sources.records`), at the cost of one shuffle; ``multi_line=False``
+    says that none does, and saves it. All files have the same header.
     """
-    if multi_line is None:
-        whole = files_with_long_records(spark, path)
-        files = sorted(spark.read.text(path).inputFiles()) if whole else []
-        rest = [f for f in files if f not in whole]
-        if len(whole) + len(rest) == len(files) and whole and rest:
-            return read_raw_csv(spark, whole, True).unionByName(read_raw_csv(spark, rest, False))
-        multi_line = bool(whole)
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    return df.select(
-        *[blank_if_missing(F.col(f"`{c}`")).alias(c) for c in df.columns],
-        position(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias(POSITION),
+    plain = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(path)
+    if multi_line is False:
+        return plain.select(
+            *[blank_if_missing(F.col(f"`{c}`")).alias(c) for c in plain.columns],
+            position(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias(POSITION),
+        )
+    text = F.regexp_replace("record", "^\ufeff", "")
+    text = F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    kind = ", ".join(f"`{c.replace('`', '``')}` string" for c in plain.columns)
+    cells = F.from_csv(text, kind, {"quote": '"', "escape": '"'})
+    read = read_records(spark, path).select("file", "block", "row", "head", cells.alias("cells"))
+    name = lambda c: F.col("cells").getField(c)
+    # A blank header has got a name, a repeated one a number behind it.
+    same = reduce(lambda a, b: a & b, [F.coalesce(F.lit(c).startswith(name(c)), F.lit(True)) for c in plain.columns])
+    other = F.raise_error(F.concat(F.lit("another header in "), "file")).cast("boolean")
+    return read.where(F.when(~F.col("head"), True).when(same, False).otherwise(other)).select(
+        *[blank_if_missing(name(c)).alias(c) for c in plain.columns], F.struct("file", "block", "row").alias(POSITION)
     )
 
 
