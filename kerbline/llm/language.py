@@ -17,8 +17,10 @@ from kerbline.llm.text import filled, portions
 DIMENSIONS, LETTERS = 512, 3
 #: Prototypes go to the driver and to all tasks; more languages than this raise.
 MOST_LANGUAGES = 1_000
+#: Bytes of text that are worked on together: it takes some hundred times that in memory.
+PORTION = 1 << 20
 #: Texts and n-grams that are multiplied at once.
-_TEXTS, _GRAMS = 1_024, 16_384
+_TEXTS, _GRAMS = 256, 16_384
 UNKNOWN = "und"
 #: Texts of fewer n-grams can't be told from noise by their score. The others
 #: need this share of the least score that a labelled text reaches.
@@ -114,7 +116,7 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
 
     def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in portions(batches, "text"):
+        for batch in portions(batches, "text", PORTION):
             langs = batch.column("lang").dictionary_encode()
             names = langs.dictionary.to_pylist()
             group = np.asarray(langs.indices.fill_null(-1), np.int64)
@@ -147,8 +149,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     names = list(prototypes)
     table = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1.0) for n in names]).reshape(len(names), DIMENSIONS)
 
+    inside = keep.index(text_column) if text_column in keep else None
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, "text"):
+        if inside is not None:  # a text that is kept comes once
+            batches = (b.append_column("text", b.column("row").flatten()[inside]) for b in batches)
+        for batch in portions(batches, "text", PORTION):
             n = batch.num_rows
             grams = Grams(filled(batch.column("text")).to_pylist())
             made = grams.bundled(np.arange(n), n)
@@ -161,7 +167,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
             count = pa.array(np.bincount(grams.text, minlength=n).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score), count], ["row", "lang_pred", "score", "n_grams"])
 
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_column).alias("text"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *([F.col(text_column).alias("text")] if inside is None else []))
     kind = whole.schema["row"].dataType.simpleString()
     return whole.mapInArrow(run, f"row {kind}, lang_pred string, score double, n_grams long").select("row.*", "lang_pred", "score", *(["n_grams"] if counted else []))
 
