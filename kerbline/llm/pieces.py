@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from kerbline.llm.text import filled, portions
 from kerbline.llm.vocabulary import BLANK, Vocabulary, load, merges, units
 
-#: Encodings of so many different stretches are remembered in a Python worker; then it starts afresh.
+#: Bytes of text that are worked on together.
+PORTION = 1 << 20
+#: Encodings of so many different stretches are remembered in a task; then it starts afresh.
 REMEMBERED = 400_000
 
 
@@ -267,17 +269,6 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - ends + lengths, lengths)
 
 
-_of_worker: dict[str, Encoder] = {}
-
-
-def _encoder(path: str, lattice: Lattice) -> Encoder:
-    """The encoder that this worker keeps from task to task."""
-    if path not in _of_worker:
-        _of_worker.clear()
-        _of_worker[path] = Encoder(lattice)
-    return _of_worker[path]
-
-
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``ids`` (array of int), ``n_tokens``
     and ``decoded``, the text that the ids give back.
@@ -292,13 +283,13 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
 
     Null and empty texts give no ids and decode to an empty text. Null ids stay
     null, repeated rows give repeated rows, an empty table gives none; other
-    columns are not read. Nothing is shuffled.
+    columns are not read. Nothing is shuffled, and nothing outlives a task.
     """
     lattice = Lattice(load(model_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_path, lattice)
-        for batch in portions(batches, "text"):
+        encoder = Encoder(lattice)
+        for batch in portions(batches, "text", PORTION):
             ids, n = encoder.encode(filled(batch.column("text")).to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
