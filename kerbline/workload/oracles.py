@@ -410,6 +410,12 @@ FROM pairs JOIN crash USING (crash_id) GROUP BY 1, 2"""
     out["crash_tiles_dirty"] = f"{dirty} SELECT x, y, crashes FROM kept"
     out["busiest_tile_dirty"] = f"{dirty} SELECT max(crashes) AS max_tile FROM kept"
     out["crash_tiles_z15"] = f"{tiles} SELECT x, y, crashes FROM tile".replace("4.096e3", "3.2768e4")
+    out["sql_tile_coords"] = f"{tiles} SELECT crash_id, x, y FROM tiled WHERE CAST(crash_id AS BIGINT) % 50 > 4"
+    out["sql_crash_weights"] = f"""WITH {CRASH}, w AS (SELECT crash_id, CASE severity WHEN 4 THEN 1e0 WHEN 3 THEN 6e-1 WHEN 2 THEN 3e-1 ELSE 1e-1 END AS sev_w, {_AGE} AS age FROM crash)
+SELECT crash_id, sev_w, round(age, 6) AS age_months, round({_weight('age')}, 6) AS rec_w, round(sev_w * {_weight('age')}, 6) AS weight FROM w"""
+    out["sql_tile_scores"] = f"""{tiles}, w AS (SELECT x, y, count(*) AS crashes, sum({_SCORE_WEIGHT}) AS weight FROM tiled JOIN crash USING (crash_id) GROUP BY x, y)
+SELECT x, y, crashes, least(1e2, round(1e2 * (log10(1e0 + crashes) / log10(1e0 + (SELECT max(crashes) FROM w))), 2)) AS score,
+  CAST(ceil(least((1e0 - exp(-(weight / 1e3 / 1.5e0))) * 6e1 + (1e0 - exp(-(crashes / 1e3 / 3e0))) * 4e1, 1e2)) AS INTEGER) AS risk FROM w"""
     out["busiest_tile"] = f"{tiles} SELECT max(crashes) AS max_tile FROM tile"
     out["top_tiles"] = f"{tiles} SELECT x, y, crashes FROM tile ORDER BY crashes DESC, x, y LIMIT 20"
     out["tile_polygon"] = f"""{tiles} SELECT x, y, round({_lon_edge('x')}, 6) AS west, round({_lat_edge('(y + 1)')}, 6) AS south,

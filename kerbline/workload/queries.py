@@ -23,6 +23,7 @@ from kerbline.operators.skew import first_per_key
 from kerbline.plans import ingest, risk
 from kerbline.plans import rank as rk
 from kerbline.sources.routes import explode_routes
+from kerbline.sql import register
 from kerbline.streaming.alerts import hazard_alerts, watch_cells
 from kerbline.streaming.load import current_table
 from kerbline.workload import tables as t
@@ -193,6 +194,41 @@ def tile_coords(s, d):
     return til.tile_coords(t.crash(s, d)).select("crash_id", "x", "y")
 
 
+@query
+def sql_tile_coords(s, d):
+    """Tiles through the table function, in SQL text."""
+    return register(s).sql(
+        "SELECT crash_id, t.x, t.y FROM {crash} AS c, LATERAL tile_coord(12, c.lon, c.lat) AS t", crash=t.dirty_crash(s, d)
+    )
+
+
+@query
+def sql_crash_weights(s, d):
+    """Weights through the scalar functions, in SQL text."""
+    at = f"TIMESTAMP_NTZ '{t.NOW}'"
+    return register(s).sql(
+        "SELECT crash_id, exposure_weight(severity) AS sev_w,"
+        f" round(age_in_months(occurred_at, {at}), 6) AS age_months, round(recency_weight(occurred_at, {at}), 6) AS rec_w,"
+        f" round(crash_weight(severity, occurred_at, {at}), 6) AS weight FROM {{crash}}",
+        crash=t.crash(s, d),
+    )
+
+
+@query
+def sql_tile_scores(s, d):
+    """How each tile ranks among all, with the score functions in SQL text."""
+    tile = register(s).sql(
+        "SELECT t.x, t.y, count(*) AS crashes, sum(score_weight(severity)) AS weight"
+        " FROM {crash} AS c, LATERAL tile_coord(12, c.lon, c.lat) AS t GROUP BY t.x, t.y",
+        crash=t.crash(s, d),
+    )
+    return s.sql(
+        "SELECT x, y, crashes, log_score(crashes, busiest) AS score, risk_score(weight / 1000, crashes / 1000) AS risk"
+        " FROM {tile}, (SELECT max(crashes) AS busiest FROM {tile})",
+        tile=tile,
+    )
+
+
 @query
 def crash_tiles(s, d):
     return til.crash_tiles(t.crash(s, d))
