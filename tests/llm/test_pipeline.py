@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     named = entry.queries()
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(named)
 
 
