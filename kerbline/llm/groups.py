@@ -26,8 +26,10 @@ def blocked(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of complete groups and where in them groups start."""
+    """Tables of complete groups and where in them groups start. A group over
+    many batches is put together once, when the next one begins."""
     held: list[pa.RecordBatch] = []
+    last: list = []
 
     def cut(table: pa.Table) -> np.ndarray:
         change = np.zeros(table.num_rows, bool)
@@ -37,19 +39,25 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
             change[1:] |= x[1:] != x[:-1]
         return np.flatnonzero(change)
 
+    def put_together(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return table, cut(table)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held).combine_chunks()
-        starts = cut(table)
-        if len(starts) > 1:
-            last = int(starts[-1])
-            yield table.slice(0, last), starts[:-1]
-            held = table.slice(last).combine_chunks().to_batches()
+        goes_on = bool(held) and [batch.column(k)[0].as_py() for k in keys] == last
+        last = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
+        begin = int(cut(pa.Table.from_batches([batch]))[-1])  # of the batch's last group
+        if goes_on and begin == 0:
+            held.append(batch)
+            continue
+        ready = [*held, batch.slice(0, begin)] if begin else held
+        held = [batch.slice(begin)]
+        if ready:
+            yield put_together(ready)
     if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        yield table, cut(table)
+        yield put_together(held)
 
 
 def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
