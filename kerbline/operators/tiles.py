@@ -103,10 +103,10 @@ def top_tiles(tiles: DataFrame, n: int) -> DataFrame:
     return tiles.orderBy(F.desc("crashes"), "x", "y").limit(n)
 
 
-def tile_features(tiles: DataFrame, zoom: int = CRASH_TILE_ZOOM) -> DataFrame:
-    """One GeoJSON Feature per tile."""
+def tile_features(tiles: DataFrame, zoom: int = CRASH_TILE_ZOOM, keep: Sequence[str] = ()) -> DataFrame:
+    """One GeoJSON Feature per tile, with the columns ``keep`` beside it."""
     return tiles.select(
-        "x", "y", "crashes",
+        "x", "y", "crashes", *keep,
         feature(
             tile_geometry(F.col("x"), F.col("y"), zoom), x=F.col("x"), y=F.col("y"), crashes=F.col("crashes")
         ).alias("feature"),

@@ -26,6 +26,7 @@ from kerbline.functions.vocabulary import (
     severity_code,
 )
 from kerbline.operators.merge import upsert_bikeway, upsert_crash, upsert_hazard
+from kerbline.operators.quality import RowCounts
 from kerbline.operators.skew import first_per_key
 from kerbline.sources.csv import POSITION, canonical
 
@@ -37,13 +38,24 @@ def _usable_points(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_crash(raw: DataFrame, now: Column, years: int = CRASH_HISTORY_YEARS) -> DataFrame:
-    """Crashes of the last years with a readable place and time, first row per id."""
-    df = _usable_points(canonical(raw, CRASH_HEADERS, CRASH_REQUIRED, "crash"))
+def _passed(df: DataFrame, step: str, counts: RowCounts | None) -> DataFrame:
+    return df if counts is None else counts.passed(df, step)
+
+
+def clean_crash(
+    raw: DataFrame, now: Column, years: int = CRASH_HISTORY_YEARS, counts: RowCounts | None = None
+) -> DataFrame:
+    """Crashes of the last years with a readable place and time, first row per id.
+
+    ``counts`` takes the rows ``read``, those with a ``place``, a ``time`` inside
+    the years, and a ``first id``.
+    """
+    read = _passed(canonical(raw, CRASH_HEADERS, CRASH_REQUIRED, "crash"), "read", counts)
+    df = _passed(_usable_points(read), "place", counts)
     df = df.withColumn("occurred_at", utc_time(F.col("time"))).filter(
         F.col("occurred_at") >= now - F.make_ym_interval(F.lit(years))
     )
-    df = df.select(
+    df = _passed(df, "time", counts).select(
         F.col("id").alias("crash_id"),
         "occurred_at",
         severity_code(lenient_int(F.col("fatalities")), lenient_int(F.col("seriously_injured"))).alias("severity"),
@@ -51,19 +63,25 @@ def clean_crash(raw: DataFrame, now: Column, years: int = CRASH_HISTORY_YEARS) -
         "lat",
         POSITION,
     )
-    return first_per_key(df, ["crash_id"], F.col(POSITION)).drop(POSITION)
+    return _passed(first_per_key(df, ["crash_id"], F.col(POSITION)).drop(POSITION), "first id", counts)
 
 
 def clean_hazard(
-    raw: DataFrame, now: Column, days: int = HAZARD_HISTORY_DAYS, table: DataFrame | None = None
+    raw: DataFrame,
+    now: Column,
+    days: int = HAZARD_HISTORY_DAYS,
+    table: DataFrame | None = None,
+    counts: RowCounts | None = None,
 ) -> DataFrame:
     """Hazards with a readable place, first row per id.
 
     The time window applies only if any row has a time at all; then rows
     without one go too. A stream hands in the ``table`` that it adds to, whose
-    rows count as well. Times are local wall clock, as written.
+    rows count as well. Times are local wall clock, as written. ``counts`` takes
+    the rows ``read``, those with a ``place``, inside the ``window``, with a ``first id``.
     """
-    df = _usable_points(canonical(raw, HAZARD_HEADERS, HAZARD_REQUIRED, "hazard")).select(
+    read = _passed(canonical(raw, HAZARD_HEADERS, HAZARD_REQUIRED, "hazard"), "read", counts)
+    df = _passed(_usable_points(read), "place", counts).select(
         F.col("id").alias("hazard_id"),
         hazard_category(F.col("topic"), F.col("type"), F.col("summary")).alias("category"),
         hazard_status(F.col("status")).alias("status"),
@@ -73,8 +91,8 @@ def clean_hazard(
         "lat",
         POSITION,
     )
-    recent = within_window(df, "opened_at", now, days, table)
-    return first_per_key(recent, ["hazard_id"], F.col(POSITION)).drop(POSITION)
+    recent = _passed(within_window(df, "opened_at", now, days, table), "window", counts)
+    return _passed(first_per_key(recent, ["hazard_id"], F.col(POSITION)).drop(POSITION), "first id", counts)
 
 
 def within_window(df: DataFrame, time: str, now: Column, days: int, table: DataFrame | None = None) -> DataFrame:
@@ -85,9 +103,12 @@ def within_window(df: DataFrame, time: str, now: Column, days: int, table: DataF
     return df.filter(~any_time | (F.col(time) >= now - F.make_dt_interval(F.lit(days))))
 
 
-def clean_bikeway(raw: DataFrame, srid: int = 2232) -> DataFrame:
-    """Bikeway lines in WGS84, last row per id; rows without a readable line go."""
-    df = canonical(raw, BIKEWAY_HEADERS, BIKEWAY_REQUIRED, "bikeway")
+def clean_bikeway(raw: DataFrame, srid: int = 2232, counts: RowCounts | None = None) -> DataFrame:
+    """Bikeway lines in WGS84, last row per id; rows without a readable line go.
+
+    ``counts`` takes the rows ``read``, those with a readable ``line``, and a ``last id``.
+    """
+    df = _passed(canonical(raw, BIKEWAY_HEADERS, BIKEWAY_REQUIRED, "bikeway"), "read", counts)
     text = strip(F.col("wkt"))
     df = df.filter(F.upper(text).contains("LINESTRING")).select(
         F.col("id").alias("infra_id"),
@@ -97,8 +118,8 @@ def clean_bikeway(raw: DataFrame, srid: int = 2232) -> DataFrame:
         to_wgs84(parts_from_wkt(text), srid).alias("parts"),
         POSITION,
     )
-    readable = df.filter(F.col("parts").isNotNull())
-    return first_per_key(readable, ["infra_id"], F.col(POSITION), last=True).drop(POSITION)
+    readable = _passed(df.filter(F.col("parts").isNotNull()), "line", counts)
+    return _passed(first_per_key(readable, ["infra_id"], F.col(POSITION), last=True).drop(POSITION), "last id", counts)
 
 
 def bikeway_key(stored: DataFrame) -> str:

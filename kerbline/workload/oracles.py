@@ -456,6 +456,11 @@ touched AS (SELECT DISTINCT request_id, idx, x, y, crashes FROM gap WHERE inside
     out["tile_feature_collection"] = f"{tiles} {collection} FROM (SELECT *, {ring()} AS f FROM tile WHERE x = 853 AND y = 1554)"
     out["top_tiles_feature_collection"] = f"{tiles} {collection} FROM (SELECT *, {ring()} AS f FROM tile ORDER BY crashes DESC, x, y LIMIT 20)"
 
+    out["tile_document_parts"] = f"""{tiles}, placed AS (SELECT *, row_number() OVER (ORDER BY crashes DESC, x, y) - 1 AS k, {ring()} AS f FROM tile),
+part AS (SELECT k // 10 AS part, string_agg(f, ',' ORDER BY k) AS t FROM placed GROUP BY 1)
+SELECT part, CASE WHEN part = 0 THEN '{{"type":"FeatureCollection","features":[' ELSE ',' END || t AS text FROM part
+UNION ALL SELECT max(part) + 1, ']}}' FROM part HAVING count(*) > 0"""
+
     # scores
     out["score_routes"] = _risk(_SCORE_WEIGHT, _RISK_COLUMNS, _ROUTE_KEY)
     out["score_routes_corrected"] = _risk(
@@ -563,6 +568,9 @@ opened AS (SELECT *, hazard_id AS id FROM hazard WHERE status IN ('open', 're-op
 {_metric_pairs('near_hazard', 'opened', '5e1')}
 SELECT CAST(n.idx AS VARCHAR) AS user_id, 'home' AS route_id, n.id AS hazard_id, h.category, h.opened_at
 FROM near_hazard n JOIN hazard h ON h.hazard_id = n.id"""
+    week = "TIMESTAMP '1970-01-01' + to_days(CAST(7 * floor(epoch(opened_at) / 604800) AS INTEGER))"
+    out["hazard_digest"] = f"""SELECT user_id, route_id, category, {week} AS window_start, {week} + INTERVAL 7 DAY AS window_end,
+  count(*) AS hazards, min(opened_at) AS first_at, max(opened_at) AS last_at FROM ({out['hazard_alert']}) WHERE opened_at IS NOT NULL GROUP BY ALL"""
     out["key_violation"] = f"""WITH {RAW_CRASH},
 g AS (SELECT id, count(*) AS n, count(*) FILTER (lon IS NULL) AS m FROM parsed GROUP BY id)
 SELECT id AS incident_id, 'repeated key' AS problem, n AS rows FROM g WHERE n > 1

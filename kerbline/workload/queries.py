@@ -19,12 +19,12 @@ from kerbline.operators.merge import upsert_bikeway, upsert_crash, upsert_hazard
 from kerbline.operators.proximity import totals_near_lines
 from kerbline.operators.quality import key_violations
 from kerbline.operators.requests import checked_requests, valid_requests
-from kerbline.operators.skew import first_per_key
+from kerbline.operators.skew import first_per_key, rank_in_group
 from kerbline.plans import ingest, risk
 from kerbline.plans import rank as rk
 from kerbline.sources.routes import explode_routes
 from kerbline.sql import register
-from kerbline.streaming.alerts import hazard_alerts, watch_cells
+from kerbline.streaming.alerts import hazard_alerts, hazard_digests, watch_cells
 from kerbline.streaming.load import current_table
 from kerbline.workload import tables as t
 
@@ -283,6 +283,15 @@ def top_tiles_feature_collection(s, d):
     return col.single_document(til.tile_features(top), [-F.col("crashes"), F.col("x"), F.col("y")], 20)
 
 
+@query
+def tile_document_parts(s, d):
+    """All tiles as one document in numbered parts of 10, by the place among the busiest."""
+    tiles = til.crash_tiles(t.crash(s, d)).withColumns({"whole": F.lit(1), "less": -F.col("crashes")})
+    ranked = rank_in_group(tiles, ["whole"], ["less", "x", "y"], "place")
+    features = til.tile_features(ranked, keep=["place"])
+    return col.document_parts(features, [], "place", 10)
+
+
 @query
 def tile_features(s, d):
     """One Feature per tile, as lines; the ring's corners are flattened for checking."""
@@ -634,6 +643,14 @@ def hazard_alert(s, d):
     return hazard_alerts(t.hazard(s, d), watch_cells(t.user_route(s, d), key), key)
 
 
+@query
+def hazard_digest(s, d):
+    """Alerts of each saved line counted by category and week of their time, the batch form."""
+    key = ["user_id", "route_id"]
+    found = hazard_alerts(t.hazard(s, d), watch_cells(t.user_route(s, d), key), key)
+    return hazard_digests(found, key, "7 days")
+
+
 @query
 def key_violation(s, d):
     """Raw ids that repeat, and raw rows without a usable longitude."""

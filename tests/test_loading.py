@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.operators.quality import RowCounts
 from kerbline.plans import ingest, risk
 from kerbline.sources import csv, routes, tables
 from kerbline.streaming import alerts, load
@@ -165,6 +167,44 @@ def test_load_report(spark):
     assert sorted(map(tuple, risk.load_report(a=spark.range(3), b=spark.range(0)).collect())) == [("a", 3), ("b", 0)]
 
 
+def test_a_load_counts_its_rows_as_it_writes_them(spark, tmp_path):
+    raw = csv.read_raw_csv(spark, _write(tmp_path / "c.csv", CRASH_CSV))
+    counts = RowCounts()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        ingest.clean_crash(raw, now(), counts=counts).write.parquet(str(tmp_path / "out"))
+        before = set(jobs.getJobIdsForGroup("counted"))
+        assert counts.rows() == {"read": 8, "place": 6, "time": 4, "first id": 3}
+        assert set(jobs.getJobIdsForGroup("counted")) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts.dropped() == {"place": 2, "time": 2, "first id": 1}
+    assert counts.rows()["first id"] == spark.read.parquet(str(tmp_path / "out")).count()
+    assert ingest.clean_crash(raw, now()).count() == 3
+    with pytest.raises(ValueError):
+        counts.passed(raw, "read")
+
+
+def test_counts_equal_the_load_report(spark, tmp_path):
+    from kerbline.workload import tables as t
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    for name, raw, clean, last in (
+        ("crash", t.raw_crash, lambda r, c: ingest.clean_crash(r, now(), counts=c), "first id"),
+        ("hazard", t.raw_hazard, lambda r, c: ingest.clean_hazard(r, now(), counts=c), "first id"),
+        ("bikeway", t.raw_bikeway, lambda r, c: ingest.clean_bikeway(r, counts=c), "last id"),
+    ):
+        counts, path = RowCounts(), str(tmp_path / name)
+        clean(raw(spark, sf), counts).write.parquet(path)
+        written = spark.read.parquet(path)
+        assert risk.load_report(**{name: written}).first()["rows"] == counts.rows()[last]
+        assert counts.rows()["read"] == raw(spark, sf).count()
+        assert counts.rows()["read"] - sum(counts.dropped().values()) == counts.rows()[last]
+
+
 # --- streams ------------------------------------------------------------------------
 
 
@@ -264,3 +304,41 @@ def test_hazard_alerts_as_a_stream(spark, tmp_path):
         availableNow=True
     ).start().awaitTermination(120)
     assert [tuple(r)[:3] for r in spark.read.parquet(out).collect()] == [("u", "r", "1")]
+
+
+def test_digests_as_a_stream_and_what_came_too_late(spark, tmp_path):
+    schema = "line_id string, hazard_id string, category string, opened_at timestamp_ntz"
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    files = [
+        [("a", "1", "ice", day(1, 3)), ("a", "2", "ice", day(1, 9)), ("a", "3", "pothole", day(2)), ("b", "1", "ice", day(1, 3)), ("b", "9", "ice", None)],
+        [("a", "4", "ice", day(2, 23)), ("a", "5", "ice", day(6))],  # the last ends all windows to day 4
+        [("a", "6", "ice", day(1, 12)), ("a", "7", "ice", day(5, 1)), ("b", "8", "ice", day(9))],  # the first is late
+    ]
+    source, out = str(tmp_path / "in"), str(tmp_path / "digests")
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        digests = alerts.hazard_digests(spark.readStream.schema(schema).parquet(source), ["line_id"], delay="2 days")
+        digests.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+            availableNow=True
+        ).start().awaitTermination(120)
+    told, every = spark.read.parquet(out), spark.read.parquet(source)
+    got = {tuple(r) for r in told.collect()}
+    batch = {tuple(r) for r in alerts.hazard_digests(every.filter("hazard_id <> '6'"), ["line_id"]).collect()}
+    ended = {r for r in batch if r[3] <= day(7)}  # the newest alert is of day 9
+    assert got == ended and len(got) == 6
+    late = {tuple(r) for r in alerts.late_alerts(every, told, ["line_id"]).collect()}
+    assert late == {("a", "ice", day(1), 3, 1), ("b", "ice", day(9), 1, 1)}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Denver"])
+def test_digest_windows_are_wall_clock(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30), dt.datetime(1969, 12, 31, 23, 0, 0, 5)]
+        rows = spark.createDataFrame([("a", "ice", x) for x in times], "k string, category string, opened_at timestamp_ntz")
+        got = {(r.window_start, r.window_end, r.first_at) for r in alerts.hazard_digests(rows, ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    day = dt.timedelta(days=1)
+    assert got == {(dt.datetime(x.year, x.month, x.day), dt.datetime(x.year, x.month, x.day) + day, x) for x in times}

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import os
 import random
 
 import pytest
@@ -211,6 +212,55 @@ def test_a_document_holds_the_first_features(spark):
     assert len(json.loads(whole)["features"]) == 30
 
 
+def _put_together(parts):
+    return "".join(r.text for r in parts.orderBy("part").collect())
+
+
+def test_parts_are_one_document_per_key(spark):
+    rng = random.Random(3)
+    rows = [(k, i + 1) for k, n in (("hot", 2501), ("even", 200), ("one", 1)) for i in range(n)]
+    rng.shuffle(rows)
+    features = spark.createDataFrame([*rows, ("unplaced", None)], "k string, p int").repartition(7).withColumn("feature", F.struct("k", "p", F.lit(None).cast("int").alias("none")))
+    parts = C.document_parts(features, ["k"], "p", 100).cache()
+    assert sorted({r.k for r in parts.collect()}) == ["even", "hot", "one"]
+    assert {(r.k, r.n) for r in parts.groupBy("k").agg(F.count("*").alias("n")).collect()} == {("hot", 27), ("even", 3), ("one", 2)}
+    for k, n in (("hot", 2501), ("even", 200), ("one", 1)):
+        got = json.loads(_put_together(parts.filter(F.col("k") == k)))
+        assert got == {"type": "FeatureCollection", "features": [{"k": k, "p": i + 1, "none": None} for i in range(n)]}
+    assert max(r.text.count('"k"') for r in parts.collect()) == 100
+    assert C.document_parts(features.filter("false"), ["k"], "p").collect() == []
+    with pytest.raises(ValueError):
+        C.document_parts(features, ["k"], "p", 0)
+
+
+def test_files_of_a_document_that_no_row_could_hold(spark, tmp_path):
+    """Far more text than a part holds, in several files that follow each other."""
+    long = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.sha2(F.concat("id", F.lit(" "), k), 256)))
+    features = spark.range(20_000).select((F.col("id") + 1).alias("p"), F.struct("id", long.alias("note")).alias("feature"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "8m")
+    try:
+        C.write_document(C.document_parts(features, [], "p", 50), str(tmp_path / "doc"))
+    finally:
+        spark.conf.set(size, before)
+    files = sorted((tmp_path / "doc").glob("part-*"))
+    assert len(files) > 1 and sum(f.stat().st_size for f in files) > 40_000_000
+    got = json.loads("".join(f.read_text() for f in files))
+    assert [f["id"] for f in got["features"]] == list(range(20_000))
+
+
+def test_tiles_by_parts(spark):
+    from kerbline.workload.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    got = json.loads(_put_together(QUERIES["tile_document_parts"](spark, sf)))["features"]
+    counts = [f["properties"]["crashes"] for f in got]
+    assert counts == sorted(counts, reverse=True) and sum(counts) == 1000
+
+
 def test_points_off_the_map_have_no_tile(spark):
     inf = float("inf")
     crash = spark.createDataFrame([(-105.0, 39.7), (-105.0, 95.0), (-105.0, 95.0), (inf, 39.7), (None, 39.7), (float("nan"), 1.0), (-105.0, 90.0)], "lon double, lat double")
