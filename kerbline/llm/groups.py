@@ -53,9 +53,12 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
             held.append(batch)
             continue
         ready = [*held, batch.slice(0, begin)] if begin else held
-        held = [batch.slice(begin)]
+        # A copy of the last group, so that it doesn't hold on to the whole batch.
+        held = [batch.take(pa.array(np.arange(begin, batch.num_rows)))]
+        batch = None
         if ready:
             yield put_together(ready)
+        ready = None
     if held:
         yield put_together(held)
 
