@@ -13,15 +13,22 @@ from pyspark.sql.window import Window
 
 from kerbline.llm.storage import written
 
-#: Vectors in a block, queries in a block, and scores worked on at once.
-ROWS, QUERIES, TILE = 16_384, 4_096, 1 << 22
+#: Vectors in a block, queries in a group, groups that meet a block together, and scores worked on at once.
+ROWS, QUERIES, TOGETHER, TILE = 16_384, 4_096, 4, 1 << 20
+#: So many rows of a block have one peak; the kth peak is no higher than the kth score.
+PEAK = 64
 #: A round cuts the range in which a query's kth score lies into so many bins.
 BINS = 4_096
 _BLOCK = "block long, ids binary, dims int, vectors binary"
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to ``size`` vectors, each of one task and one dimension."""
+def _narrowest(largest: int) -> str:
+    """The smallest type of whole numbers that holds all components."""
+    return next(t for t in ("int8", "int16", "int32", "int64") if largest <= np.iinfo(t).max or t == "int64")
+
+
+def _packed(rows: DataFrame, size: int, kind: str) -> DataFrame:
+    """Blocks of up to ``size`` vectors, each of one task and one dimension, components of type ``kind``."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -48,7 +55,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             starts = np.cumsum(lengths) - lengths
             for dims in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == dims)
-                waiting.setdefault(dims, []).append((ids[own], flat[starts[own][:, None] + np.arange(dims)]))
+                waiting.setdefault(dims, []).append((ids[own], flat[starts[own][:, None] + np.arange(dims)].astype(kind)))
                 yield from blocks(dims, size)
         for dims in waiting:
             yield from blocks(dims, 1)
@@ -56,9 +63,9 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.select(F.col("id").cast("long"), F.col("vector").cast("array<bigint>")).mapInArrow(pack, _BLOCK)
 
 
-def _block(ids: bytes, dims: int, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _block(ids: bytes, dims: int, vectors: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(vectors, np.int64).reshape(len(ids), dims)
+    return ids, np.frombuffer(vectors, kind).astype(np.int64).reshape(len(ids), dims)
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -105,11 +112,14 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     usable = vectors.select("id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks")).where(
         F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(~F.exists("vector", lambda x: x.isNull()), F.lit(False))
     )
-    blocks = written(_packed(usable, ROWS), "rows")
-    asked = written(_packed(usable.where("asks"), QUERIES).withColumn("group", F.col("block")), "queries")
-    largest = usable.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("long")))))).first()[0] or 0
-    # One number per 4,096 queries.
-    group_ids = [r[0] for r in asked.select("group").distinct().collect()]
+    ends = usable.agg(F.max(F.array_max("vector")).cast("long"), F.min(F.array_min("vector")).cast("long")).first()
+    largest = max(0, ends[0] or 0, -(ends[1] or 0))
+    kind = _narrowest(largest)
+    blocks = written(_packed(usable, ROWS, kind), "rows")
+    asked = written(_packed(usable.where("asks"), QUERIES, kind).withColumn("group", F.col("block")), "queries")
+    # One number per 4,096 queries, and one per 16,384 rows.
+    group_ids = sorted(r[0] for r in asked.select("group").distinct().collect())
+    block_ids = sorted(r[0] for r in blocks.select("block").collect())
     if not group_ids:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
 
@@ -118,7 +128,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         for frame in batches:
             made = []
             for r in frame.itertuples():
-                _, q = _block(r.ids, r.dims, r.vectors)
+                _, q = _block(r.ids, r.dims, r.vectors, kind)
                 reach = np.abs(q).sum(1) * largest + 1
                 made.append((r.group, (-reach).tobytes(), reach.tobytes(), np.full(len(q), k, np.int64).tobytes(), np.ones(len(q), bool).tobytes()))
             yield pd.DataFrame(made, columns=["group", "low", "high", "wanted", "open"])
@@ -126,32 +136,47 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     state_type = "group long, low binary, high binary, wanted binary, open binary"
     state = written(asked.mapInPandas(ranges, state_type), "range")
 
-    def met(state: DataFrame) -> DataFrame:
-        """Every block of rows with every group of queries: a row goes to each group."""
-        keyed = blocks.withColumn("group", F.explode(F.array(*map(F.lit, group_ids))))
+    def met(state: DataFrame, use, result: str) -> DataFrame:
+        """Every block of rows with every group of queries. A task holds one block and
+        a few groups at a time; a row moves once for all groups that meet it together."""
         q = asked.select("group", F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("vectors").alias("q_vectors")).join(state, "group")
-        return keyed.join(q, "group")
-
-    def histogram(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for r in frame.itertuples():
-                r_ids, rows = _block(r.ids, r.dims, r.vectors)
-                q_ids, queries = _block(r.q_ids, r.q_dims, r.q_vectors)
-                low, high, open_ = np.frombuffer(r.low, np.int64), np.frombuffer(r.high, np.int64), np.frombuffer(r.open, bool)
-                for a, scores, own in _tiles(q_ids, queries, r_ids, rows):
-                    n = len(scores)
-                    lo, hi = low[a : a + n, None], high[a : a + n, None]
-                    counted = (scores >= lo) & (scores < hi) & ~own & open_[a : a + n, None]
-                    q, at = np.nonzero(counted)
-                    width = -((lo - hi) // BINS)
-                    bins = (scores[q, at] - lo[q, 0]) // width[q, 0]
-                    keys, count = np.unique(q * BINS + bins, return_counts=True)
-                    q, bins = keys // BINS, keys % BINS
-                    ends = np.searchsorted(q, np.arange(n), "right")
-                    total = np.concatenate([[0], np.cumsum(count)])
-                    above = total[ends[q]] - total[np.arange(len(q)) + 1]  # in higher bins here
-                    keep = above < k
-                    yield pd.DataFrame({"group": r.group, "query": a + q[keep], "bin": bins[keep], "n": count[keep]})
+        place = F.array_position(F.lit(group_ids), F.col("group")) - 1
+        q = q.withColumns({"meeting": F.floor(place / TOGETHER).cast("int"), "block": F.explode(F.lit(block_ids))})
+        keyed = blocks.withColumn("meeting", F.explode(F.lit([*range(-(-len(group_ids) // TOGETHER))]).cast("array<int>")))
+
+        def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            made = [made for b in left.itertuples() for r in right.itertuples() for made in use(b, r)]
+            return pd.concat(made, ignore_index=True) if made else pd.DataFrame(columns=[c.split()[0] for c in result.split(", ")])
+
+        return keyed.groupBy("block", "meeting").cogroup(q.groupBy("block", "meeting")).applyInPandas(pairs, result)
+
+    lowest = np.iinfo(np.int64).min
+
+    def histogram(b, r) -> Iterator[pd.DataFrame]:
+        r_ids, rows = _block(b.ids, b.dims, b.vectors, kind)
+        q_ids, queries = _block(r.q_ids, r.q_dims, r.q_vectors, kind)
+        low, high, open_ = np.frombuffer(r.low, np.int64), np.frombuffer(r.high, np.int64), np.frombuffer(r.open, bool)
+        for a, scores, own in _tiles(q_ids, queries, r_ids, rows):
+            n = len(scores)
+            lo, hi = low[a : a + n, None], high[a : a + n, None]
+            scores[own] = lowest
+            peaks = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], PEAK), axis=1)
+            least = lo
+            if peaks.shape[1] >= k:  # below this block's kth score nothing counts, unless scores lie above the range
+                kth = np.partition(peaks, -k, axis=1)[:, [-k]]
+                least = np.where(peaks.max(1, keepdims=True) < hi, np.maximum(lo, kth), lo)
+            q, at = np.nonzero((scores >= least) & open_[a : a + n, None])
+            inside = scores[q, at] < hi[q, 0]
+            q, at = q[inside], at[inside]
+            width = -((lo - hi) // BINS)
+            bins = (scores[q, at] - lo[q, 0]) // width[q, 0]
+            keys, count = np.unique(q * BINS + bins, return_counts=True)
+            q, bins = keys // BINS, keys % BINS
+            ends = np.searchsorted(q, np.arange(n), "right")
+            total = np.concatenate([[0], np.cumsum(count)])
+            above = total[ends[q]] - total[np.arange(len(q)) + 1]  # in higher bins here
+            keep = above < k
+            yield pd.DataFrame({"group": r.group, "query": a + q[keep], "bin": bins[keep], "n": count[keep]})
 
     def narrowed(key: tuple, counts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         if not len(before):
@@ -172,24 +197,22 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return pd.DataFrame([(r["group"], low.tobytes(), high.tobytes(), wanted.tobytes(), open_.tobytes())], columns=["group", "low", "high", "wanted", "open"])
 
     while state.where(F.instr(F.hex("open"), "01") > 0).limit(1).count():
-        counts = met(state).mapInPandas(histogram, "group long, query long, bin long, n long").groupBy("group", "query", "bin").agg(F.sum("n").alias("n"))
+        counts = met(state, histogram, "group long, query long, bin long, n long").groupBy("group", "query", "bin").agg(F.sum("n").alias("n"))
         state = written(counts.groupBy("group").cogroup(state.groupBy("group")).applyInPandas(narrowed, state_type), "range")
 
-    def kept(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for r in frame.itertuples():
-                r_ids, rows = _block(r.ids, r.dims, r.vectors)
-                q_ids, queries = _block(r.q_ids, r.q_dims, r.q_vectors)
-                low = np.frombuffer(r.low, np.int64)
-                for a, scores, own in _tiles(q_ids, queries, r_ids, rows):
-                    q, at = np.nonzero((scores >= low[a : a + len(scores), None]) & ~own)
-                    score, ids = scores[q, at], r_ids[at]
-                    order = np.lexsort([ids, -score, q])
-                    q, score, ids = q[order], score[order], ids[order]
-                    place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-                    best = place < k
-                    yield pd.DataFrame({"group": r.group, "query": a + q[best], "query_id": q_ids[a + q[best]], "id": ids[best], "score": score[best]})
-
-    found = met(state).mapInPandas(kept, "group long, query long, query_id long, id long, score long")
+    def kept(b, r) -> Iterator[pd.DataFrame]:
+        r_ids, rows = _block(b.ids, b.dims, b.vectors, kind)
+        q_ids, queries = _block(r.q_ids, r.q_dims, r.q_vectors, kind)
+        low = np.frombuffer(r.low, np.int64)
+        for a, scores, own in _tiles(q_ids, queries, r_ids, rows):
+            q, at = np.nonzero((scores >= low[a : a + len(scores), None]) & ~own)
+            score, ids = scores[q, at], r_ids[at]
+            order = np.lexsort([ids, -score, q])
+            q, score, ids = q[order], score[order], ids[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+            best = place < k
+            yield pd.DataFrame({"group": r.group, "query": a + q[best], "query_id": q_ids[a + q[best]], "id": ids[best], "score": score[best]})
+
+    found = met(state, kept, "group long, query long, query_id long, id long, score long")
     order = Window.partitionBy("group", "query").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -61,3 +61,18 @@ def test_few_candidates_nulls_and_empty_tables(spark):
 def test_repeated_rows(spark):
     rows = [(0, [1, 0]), (1, [5, 0]), (1, [5, 0]), (2, [4, 0])]
     assert [r[2] for r in got(spark, rows, 3)] == [1, 1, 2]
+
+
+def test_blocks_meet_groups_one_by_one(spark, monkeypatch):
+    """A task holds one block and a few groups: no batch of many joined blocks, and narrow components."""
+    monkeypatch.setattr(topk, "ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "TOGETHER", 3)
+    monkeypatch.setattr(topk, "PEAK", 2)
+    rows = numbers(120, -40, 40) + [(200 + k, [40] * 8) for k in range(20)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<long>").repartition(4)
+    found = topk.exact_top_k(vectors, F.col("id") % 10 == 0, 3)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 3, 10)
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan.replace("FlatMapCoGroupsInPandas", "")
+    assert [topk._narrowest(x) for x in (0, 127, 128, 40_000, 2**40)] == ["int8", "int8", "int16", "int32", "int64"]
