@@ -306,6 +306,19 @@ def test_hazard_alerts_as_a_stream(spark, tmp_path):
     assert [tuple(r)[:3] for r in spark.read.parquet(out).collect()] == [("u", "r", "1")]
 
 
+def test_cells_of_saved_lines_are_never_broadcast(spark):
+    """The engine takes cells for as small as the lines that they come from."""
+    line = "array<array<struct<lon:double,lat:double>>>"
+    shape = [[{"lon": -105.0, "lat": 39.7}, {"lon": -104.9, "lat": 39.7}]]
+    lines = spark.createDataFrame([("u", "r", shape), ("v", "r", shape)], f"user_id string, route_id string, parts {line}")
+    schema = "hazard_id string, category string, status string, opened_at timestamp_ntz, lon double, lat double"
+    hazards = spark.createDataFrame([("1", "ice", "open", None, -104.995, 39.7003), ("2", "ice", "open", None, -104.995, 39.71)], schema)
+    key = ["user_id", "route_id"]
+    found = alerts.hazard_alerts(hazards, alerts.watch_cells(lines, key), key)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[:3] for r in found.collect()) == [("u", "r", "1"), ("v", "r", "1")]
+
+
 def test_digests_as_a_stream_and_what_came_too_late(spark, tmp_path):
     schema = "line_id string, hazard_id string, category string, opened_at timestamp_ntz"
     day = lambda d, h=0: dt.datetime(2024, 1, d, h)
