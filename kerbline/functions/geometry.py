@@ -21,7 +21,7 @@ from kerbline.fixed_values import (
     WGS84_A,
     WGS84_F,
 )
-from kerbline.functions.parsing import strip
+from kerbline.functions.parsing import let, strip
 
 LINE_TYPE = "array<array<struct<lon:double,lat:double>>>"
 VERTICES_TYPE = "array<struct<lon:double,lat:double>>"
@@ -137,11 +137,6 @@ def clean_line(parts: Column) -> Column:
     return F.filter(F.transform(parts, distinct_run), lambda p: F.size(p) >= 2)
 
 
-def let(value: Column, use) -> Column:
-    """Bind an array-element expression once inside a higher-order function."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def unit_vector(lon: Column, lat: Column) -> Column:
     p, m = F.radians(lat), F.radians(lon)
     return F.struct(

@@ -33,11 +33,20 @@ from kerbline.sources.csv import POSITION, canonical
 
 def _usable_points(df: DataFrame) -> DataFrame:
     """Numeric lon and lat; rows lacking either, or holding NaN, go."""
-    return df.withColumns({"lon": lenient_double(F.col("lon")), "lat": lenient_double(F.col("lat"))}).filter(
+    return _read_once(df, lon=lenient_double(F.col("lon")), lat=lenient_double(F.col("lat"))).filter(
         F.col("lon").isNotNull() & F.col("lat").isNotNull()
     )
 
 
+def _read_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns read from text cells, to be filtered by. Generated, not selected:
+    a filter that moves below a selection reads the text a second time."""
+    read = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_read")
+    return df.select(*[c for c in df.columns if c not in columns], read).select(
+        *[c for c in df.columns if c not in columns], "_read.*"
+    )
+
+
 def _passed(df: DataFrame, step: str, counts: RowCounts | None) -> DataFrame:
     return df if counts is None else counts.passed(df, step)
 
@@ -52,7 +61,7 @@ def clean_crash(
     """
     read = _passed(canonical(raw, CRASH_HEADERS, CRASH_REQUIRED, "crash"), "read", counts)
     df = _passed(_usable_points(read), "place", counts)
-    df = df.withColumn("occurred_at", utc_time(F.col("time"))).filter(
+    df = _read_once(df, occurred_at=utc_time(F.col("time"))).filter(
         F.col("occurred_at") >= now - F.make_ym_interval(F.lit(years))
     )
     df = _passed(df, "time", counts).select(

@@ -355,3 +355,15 @@ def test_digest_windows_are_wall_clock(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
     day = dt.timedelta(days=1)
     assert got == {(dt.datetime(x.year, x.month, x.day), dt.datetime(x.year, x.month, x.day) + day, x) for x in times}
+
+
+def test_a_cell_is_read_once(spark):
+    raw = spark.createDataFrame(
+        [("1", "-104.9", "39.7", "2024-01-02 03:04:05", "1", "0", 0)],
+        "incident_id string, geo_lon string, geo_lat string, first_occurrence_date string, FATALITIES string, SERIOUSLY_INJURED string, _position long",
+    )
+    clean = ingest.clean_crash(raw, F.lit("2024-02-01").cast("timestamp_ntz"))
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    # A text is trimmed where it is read: the five cells once each, whatever filters by the results.
+    assert plan.count("trim(") == 5
+    assert [r.crash_id for r in clean.collect()] == ["1"]
