@@ -199,6 +199,13 @@ def test_geodesic_length_of_a_degree(spark):
     assert abs(east - 55799.5) < 60
 
 
+def test_densify_works_out_an_arc_once(spark):
+    """Not once for each weight and coordinate of each new vertex: nothing in a lambda is shared by the engine."""
+    df = _line(spark, (0, 0), (1, 0)).select(G.densify(F.array("v"), 40_000.0).alias("d"))
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("asin(") == 1
+    assert [round(v["lon"], 9) for v in df.first()[0][0]] == [0, round(1 / 3, 9), round(2 / 3, 9), 1]
+
+
 def test_densify_keeps_short_segments(spark):
     df = _line(spark, (-105.0, 39.7), (-105.001, 39.7), (-105.001, 39.73))
     got = [tuple(v) for v in df.select(G.densify(F.array("v"))).first()[0][0]]
