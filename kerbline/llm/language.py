@@ -23,8 +23,10 @@ PORTION = 1 << 20
 _TEXTS, _GRAMS = 256, 16_384
 UNKNOWN = "und"
 #: Texts of fewer n-grams can't be told from noise by their score. The others
-#: need this share of the least score that a labelled text reaches.
-JUDGED, SHARE = 32, 0.5
+#: need this share of the median score of the labelled texts.
+JUDGED, SHARE = 32, 0.2
+#: Steps of a score that are counted to find the median.
+_STEPS = 1_000
 
 _alphabetic: np.ndarray | None = None
 _letter_vectors: dict[int, np.ndarray] = {}
@@ -193,14 +195,26 @@ def told(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of the documents in which a learned language is told.
 
     What has no letter goes. Texts of ``JUDGED`` n-grams or more go if their
-    score is below ``SHARE`` times the least score that such a text reaches among
-    those that teach; shorter ones stay. All stay if no language was learned.
+    score is below ``SHARE`` times the median score of such texts among those that
+    teach, so that junk with a label does not set the bound for all junk; shorter
+    ones stay. All stay if no language was learned.
     """
     taught = docs.where(~held_out() & F.col("lang").isNotNull())
     prototypes = learn(taught)
     if not prototypes:
         return docs.select(keep)
     judged = F.col("n_grams") >= JUDGED
-    least = predict(taught, prototypes, ["lang"], counted=True).where(judged).agg(F.min("score")).first()[0] or 0.0
+    step = F.floor(F.col("score") * _STEPS)
+    steps = predict(taught, prototypes, ["lang"], counted=True).where(judged).groupBy(step.alias("step")).count().collect()
     found = predict(docs, prototypes, keep, counted=True)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (~judged | (F.col("score") >= SHARE * least))).select(keep)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (~judged | (F.col("score") >= SHARE * _median(steps)))).select(keep)
+
+
+def _median(steps: list) -> float:
+    """The score at which half of the texts are counted, 0 without any."""
+    half, seen = sum(r["count"] for r in steps) / 2, 0
+    for r in sorted(steps, key=lambda r: r["step"]):
+        seen += r["count"]
+        if seen >= half:
+            return r["step"] / _STEPS
+    return 0.0

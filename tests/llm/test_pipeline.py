@@ -58,6 +58,14 @@ def test_the_language_stage_rejects_by_score(frame, prose, spark):
     assert left == {*range(60), 100}
 
 
+def test_labelled_noise_does_not_set_the_bound(frame, prose, spark):
+    rng = random.Random(5)
+    noise = ["".join(rng.choices("bcdfgjklmpqvxyz  ", k=600)) for _ in range(8)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(prose(80))] + [(200 + k, t, "en" if k % 2 else None, "s") for k, t in enumerate(noise)]
+    left = {r["doc_id"] for r in corpus_pipeline.identified(spark, _documents(frame, rows), SF).collect()}
+    assert left == {*range(80)}
+
+
 def test_the_language_stage_keeps_all_if_nothing_was_learned(frame, prose, spark):
     clean = prose(5)
     rows = [(k, t, None, "s") for k, t in enumerate(clean)] + [(9, None, None, None)]
