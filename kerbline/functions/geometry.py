@@ -272,7 +272,8 @@ def parts_from_wkt(wkt: Column) -> Column:
     many = F.split(F.regexp_extract(wkt, _MULTILINE, 1), r"\)\s*,\s*\(")
     one = F.array(F.regexp_extract(wkt, _LINE, 1))
     bodies = F.when(wkt.rlike(_MULTILINE), many).when(wkt.rlike(_LINE), one)
-    parts = F.transform(bodies, lambda b: _pairs(b, r"\s+"))
+    # A text is split by one character, and empty ones are dropped: a pattern would be compiled anew for each vertex.
+    parts = F.transform(bodies, lambda b: _pairs(F.translate(b, "\t\n\x0b\f\r", " " * 5), " "))
 
     def unless_broken(found: Column) -> Column:
         return F.when(~F.exists(found, lambda p: F.exists(p, lambda v: v.isNull())), found)

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from kerbline.fixed_values import TILE_ORIGIN, TILE_WORLD
 from kerbline.functions.geometry import (
@@ -37,6 +37,7 @@ from kerbline.functions.geometry import (
     unit_vector,
     vertex_of_vector,
 )
+from kerbline.operators.blocks import line_rows
 from kerbline.operators.strips import near_totals
 from kerbline.session import shipped
 
@@ -48,9 +49,9 @@ CELL_SHARE = 3.0
 # More would grow the generated join method past what the JVM compiles.
 INLINE_SEGMENTS = 2
 # Blocks of points are this many zooms coarser than the finest cells.
-BLOCK_STEPS = 4
+BLOCK_STEPS = 3
 # The lines of a block go to this many tasks.
-LINE_SHARES = 4
+LINE_SHARES = 2
 # Room for rounding in the cell bounds, in Mercator units.
 _SLACK = 1e-3
 
@@ -292,8 +293,9 @@ def totals_near_lines(
     ``combine`` says whether points at one place are summed before they move,
     which is a shuffle of its own; a caller who has few points left does without.
 
-    One plan for all sizes, with one shuffle: segments go to the few blocks that
-    their buffer touches, and points to the block they lie in. Cells are never
+    One plan for all sizes, with one shuffle: lines go to the few blocks that
+    their buffer touches, one row in each (:mod:`operators.blocks`), and points to
+    the block they lie in. Cells are never
     written out, and few pairs are looked at (:mod:`operators.strips`). The lines of
     a block are dealt into shares, each of which gets the points of the block.
     """
@@ -307,32 +309,31 @@ def totals_near_lines(
     else:
         zooms = F.array(*[F.lit(z) for z in sorted({zoom_of(r, finest) for r in radii})])
     placed = _point_cells(points, measures, metric, zooms, combine)
-    segments = line_cells(lines.select(*key, parts, radius).withColumn("_zoom", fitted), key, parts, radius, metric, "_zoom")
+    shaped = lines.select(
+        *key, parts, F.col(radius).cast("double").alias("radius"), fitted.alias("_zoom"), F.pmod(F.xxhash64(*key), F.lit(LINE_SHARES)).alias("_share")
+    )
     kinds = dict(placed.dtypes)
     kinds = {m: "double" if kinds[m] in ("float", "double") else "bigint" for m in measures}
-    types = {f.name: f.dataType for f in segments.select(*key).schema}
+    types = {f.name: f.dataType for f in shaped.select(*key).schema}
+    laid = StructType(
+        [StructField("_block", LongType()), StructField("radius", DoubleType()), *[StructField(c, types[c]) for c in key], StructField("_line", BinaryType())]
+    )
+    segments = shaped.mapInArrow(line_rows(key, parts, metric == "mercator", to_arrow_schema(laid)), laid)
 
     def none(name: str, kind) -> Column:
         return F.lit(None).cast(kind).alias(name)
 
-    def block(share: Column) -> Column:
-        return F.col("cell").bitwiseOR(F.shiftleft(share.cast("bigint"), 26)).alias("_block")
-
-    scales = [F.col(c).alias(d) for c, d in (("kx", "_c"), ("ky", "_d"))] if metric == "geodesic" else [none(c, "double") for c in ("_c", "_d")]
+    block = F.col("cell").bitwiseOR(F.shiftleft(F.col("_share").cast("bigint"), 26)).alias("_block")
+    scales = [F.col(c).alias(d) for c, d in (("kx", "_c"), ("ky", "_d"))] if metric == "geodesic" else []
     rows = (
         placed.filter((F.abs("px") < math.inf) & (F.abs("py") < math.inf) & F.col("cell").isNotNull())
         .select("*", F.explode(F.array(*[F.lit(i) for i in range(LINE_SHARES)])).alias("_share"))
         .select(
-            block(F.col("_share")), none("radius", "double"), *[none(c, types[c]) for c in key],
+            block, none("radius", "double"), *[none(c, types[c]) for c in key], none("_line", "binary"),
             F.col("px").alias("_a"), F.col("py").alias("_b"), *scales, *[F.col(m).cast(kinds[m]).alias(m) for m in measures],
         )
-        .unionByName(
-            segments.select(
-                block(F.pmod(F.xxhash64(*key), F.lit(LINE_SHARES))), F.col("radius").cast("double").alias("radius"), *key,
-                *[F.col("seg")[c].alias(f"_{c}") for c in "abcd"], *[none(m, kinds[m]) for m in measures],
-            )
-        )
     )
+    rows = rows.unionByName(segments, allowMissingColumns=True)
     schema = StructType([StructField(c, types[c]) for c in key] + [StructField(m, DoubleType() if k == "double" else LongType()) for m, k in kinds.items()])
     near = rows.repartition("_block").sortWithinPartitions("_block", "radius", *key).mapInArrow(
         near_totals(key, measures, metric == "mercator", to_arrow_schema(schema)), schema

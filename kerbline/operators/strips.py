@@ -17,13 +17,18 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Height of a strip in mean distances between points, and strips of a block at most.
-HEIGHT, MOST_STRIPS = 3.0, 4096
+HEIGHT, MOST_STRIPS = 1.5, 4096
+# Width of a column in mean distances between points, and columns per point at most.
+COLUMN, COLUMNS = 0.5, 4.0
 # Rows of lines, segments in strips, and single tests that are worked on at a time;
 # small arrays are reused by the allocator, large ones cost a page fault each 4 KB.
-LINE_ROWS, INTERVALS, TESTS = 20_000, 12_000, 12_000
+LINE_ROWS, INTERVALS, TESTS = 10_000, 24_000, 24_000
 _TINY = 1e-9
+# This near to the end or the edge of a segment's buffer, as a share of it, the exact test decides.
+EDGE = 1e-4
 
 
 def _reach(v: np.ndarray, c: np.ndarray, d: np.ndarray, r: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,42 +64,61 @@ def _portions(size: np.ndarray, most: int, starts: np.ndarray | None = None) ->
 
 
 class Strips:
-    """The points of a block in strips."""
+    """The points of a block in strips, each cut into columns."""
 
     def __init__(self, x, y, kx, ky, values: Sequence[np.ndarray], planar: bool):
         self.planar, n = planar, len(x)
-        west, south = x.min(), y.min()
-        width, height = x.max() - west, y.max() - south
+        self.west, self.south = x.min(), y.min()
+        width, height = x.max() - self.west, y.max() - self.south
         # The smallest scale is that of the whole block.
-        self.least_ky = 1.0 if planar else float(ky.min())
+        self.least_kx, self.least_ky = (1.0, 1.0) if planar else (float(kx.min()), float(ky.min()))
         across = 1.0 if planar else float(kx.max())
         self.slack = 1e-5 + 1e-11 * (width * across + height * self.least_ky)
-        thick = max(HEIGHT * np.sqrt(width * across * height * self.least_ky / n) / self.least_ky, height / MOST_STRIPS)
-        strip = np.floor((y - south) / thick).astype(np.int64) if thick > 0 else np.zeros(n, np.int64)
-        order = np.lexsort((x, strip))
+        apart = np.sqrt(width * across * height * self.least_ky / n)
+        thick = max(HEIGHT * apart / self.least_ky, height / MOST_STRIPS)
+        strip = np.floor((y - self.south) / thick).astype(np.int64) if thick > 0 else np.zeros(n, np.int64)
+        there = np.bincount(strip) > 0
+        strip = (np.cumsum(there) - 1)[strip]
+        self.width, strips = width, int(there.sum())
+        self.columns = int(max(1, min(width * across / (COLUMN * apart) if apart > 0 else 1, COLUMNS * n / strips)))
+        self.per_x = self.columns / width if width > 0 else 0.0
+        cell = strip * self.columns + self._column(x)
+        order = np.argsort(cell, kind="stable")
+        #: The first point of each column of each strip; a strip's end is the next one's start.
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=strips * self.columns))]).astype(np.int32 if n < 1 << 31 else np.int64)
         strip, self.x, self.y = strip[order], x[order], y[order]
+        self.east, self.north = self.x - self.west, self.y - self.south
         begin = np.flatnonzero(np.concatenate([[True], strip[1:] != strip[:-1]]))
         self.low, self.high = np.minimum.reduceat(self.y, begin), np.maximum.reduceat(self.y, begin)
+        self.uneven = 0.0  # how much scales differ within a strip
         if planar:
             self.kx = self.ky = None
         else:
             self.kx, self.ky = kx[order], ky[order]
             self.scales = [f.reduceat(k, begin) for f in (np.minimum, np.maximum) for k in (self.kx, self.ky)]
-        self.west, self.width = west, (width * 1.001) or 1.0
-        number = np.repeat(np.arange(len(begin)), np.diff([*begin, n]))
-        self.place = number + (self.x - west) / self.width
-        self.values = [v[order] for v in values]
-        self.sums = [
-            np.concatenate([[0], np.cumsum(v, dtype=np.longdouble if v.dtype.kind == "f" else np.int64)]) for v in self.values
-        ]
+            self.uneven = float(max((self.scales[2] / self.scales[0]).max(), (self.scales[3] / self.scales[1]).max()) - 1)
+        self.edge = max(EDGE, 64 * self.uneven)
+        # A value that all points share is not summed, but counted.
+        self.same = [v[0] if np.isfinite(v[0]) and (v == v[0]).all() else None for v in values]
+        self.kinds = [np.longdouble if v.dtype.kind == "f" else np.int64 for v in values]
+        self.values = [v[order] if c is None else None for v, c in zip(values, self.same, strict=True)]
+        self.sums = [None if v is None else np.concatenate([[0], np.cumsum(v, dtype=k)]) for v, k in zip(self.values, self.kinds, strict=True)]
         # Sums that are not finite can't be told by differences; then all is tested.
-        self.summable = all(np.isfinite(s[-1]) for s in self.sums)
+        self.summable = all(s is None or np.isfinite(s[-1]) for s in self.sums)
         if not self.summable:
-            self.sums = [np.zeros_like(s) for s in self.sums]
+            self.sums = [None if s is None else np.zeros_like(s) for s in self.sums]
+
+    def _column(self, x: np.ndarray) -> np.ndarray:
+        """Columns grow with x and go from -1, west of all, to one past the last."""
+        share = np.minimum(np.maximum((x - self.west) * self.per_x, -1.0), float(self.columns))
+        inside = (x >= self.west) & (x <= self.west + self.width)
+        column = np.floor(share).astype(np.int64)
+        return np.where(inside, np.minimum(column, self.columns - 1), np.where(x < self.west, -1, self.columns))
 
-    def _find(self, strip: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
-        share = np.minimum(np.maximum((x - self.west) / self.width, -0.0005), 0.9995)
-        return np.searchsorted(self.place, strip + share, side)
+    def _first(self, strip: np.ndarray, x: np.ndarray, past: int) -> np.ndarray:
+        """The first point of the column that ``x`` lies in, or of the one after it."""
+        column = np.minimum(np.maximum(self._column(x) + past, 0), self.columns)
+        return self.starts[strip * self.columns + column].astype(np.int64)
 
     def _intervals(self, strip, a, b, c, d, r):
         """First and last point of each strip that may lie near, and that surely do."""
@@ -112,8 +136,8 @@ class Strips:
         west = np.minimum(np.maximum(np.where(sc > 0, 0.0, sd), bottom), top)
         right, there = _reach(east, sc, sd, wide, 1)
         left, _ = _reach(west, sc, sd, wide, -1)
-        p0 = self._find(strip, a + left / kx, "left")
-        p1 = np.where(there, self._find(strip, a + right / kx, "right"), p0)
+        p0 = self._first(strip, a + left / kx, 0)
+        p1 = np.where(there, self._first(strip, a + right / kx, 1), p0)
         p1 = np.maximum(p1, p0)
         kx, ky, sc, sd = scaled(1)
         narrow = r * (1 - 1e-6) - self.slack
@@ -123,8 +147,8 @@ class Strips:
         left_too, _ = _reach(high * ky, sc, sd, narrow, -1)
         left, right = np.maximum(left, left_too), np.minimum(right, right_too)
         sure = there & there_too & (left < right) & self.summable
-        d0 = np.minimum(np.maximum(self._find(strip, a + left / kx, "left"), p0), p1)
-        d1 = np.minimum(np.maximum(self._find(strip, a + right / kx, "right"), d0), p1)
+        d0 = np.minimum(np.maximum(self._first(strip, a + left / kx, 1), p0), p1)
+        d1 = np.minimum(np.maximum(self._first(strip, a + right / kx, 0), d0), p1)
         return p0, p1, np.where(sure, d0, p0), np.where(sure, d1, p0)
 
     def _hits(self, point, a, b, c, d, r) -> np.ndarray:
@@ -145,78 +169,136 @@ class Strips:
         hit[end] = x * x + y * y <= reach[end]
         return hit
 
+    def _ruler(self, strip, a, b, c, d, r) -> np.ndarray:
+        """Where a place stands beside a segment (-1 to 1 in reach of its line) and
+        along it (0 to 1), as two linear forms of its ``east`` and ``north``. Not
+        a number where the scales of a strip don't tell it well enough."""
+        kx, ky = (1.0, 1.0) if self.planar else (self.scales[0][strip], self.scales[1][strip])
+        a, b, c, d = (a - self.west) * kx, (b - self.south) * ky, c * kx, d * ky
+        squared = c * c + d * d
+        length = np.sqrt(squared)
+        ruler = np.stack([d * kx, c * ky, a * d - b * c, c * kx, d * ky, a * c + b * d])
+        ruler[:3] /= length * r
+        ruler[3:] /= squared
+        ruler[:, ~((np.minimum(length, r) > 1e3 * self.slack) & (8 * self.uneven * (length + r) < self.edge * length))] = np.nan
+        return ruler
+
+    def _near(self, point, at, piece, ruler, segments, segment) -> np.ndarray:
+        """Whether each point is near the segment of its piece (number ``at`` of
+        ``piece``). Beside a segment's middle its line decides; only at its ends, and
+        where rounding might, does the test itself."""
+        east, north = self.east[point], self.north[point]
+        p, q, o, s, t, u = ruler.take(piece[at], axis=1)
+        beside = np.abs(east * p - north * q - o)
+        along = east * s + north * t - u
+        hit = (beside < 1 - self.edge) & (along > self.edge) & (along < 1 - self.edge)
+        # Also what is not a number.
+        open_ = np.flatnonzero(~((beside > 1 + self.edge) | hit))
+        hit[open_] = self._hits(point[open_], *segments.take(segment[piece[at[open_]]], axis=1))
+        return hit
+
     def totals(self, line: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Number of points and sum of each value near each line; ``line`` counts up
         from 0, ``segments`` holds rows a, b, c, d, radius. A point near several
         segments of a line counts once."""
         lines = int(line[-1]) + 1
-        count, sums = np.zeros(lines, np.int64), [np.zeros(lines, s.dtype) for s in self.sums]
+        count, sums = np.zeros(lines, np.int64), [np.zeros(lines, k) for k in self.kinds]
         a, b, c, d, r = segments
+        # The stretch of the segment that can reach the block from west or east.
+        room = (r * (1 + 1e-6) + self.slack) / self.least_kx
+        level = np.where(np.abs(c) < 1e-300, 1e-300, c)
+        enter, leave = (self.west - room - a) / level, (self.west + self.width + room - a) / level
+        enter, leave = np.minimum(np.maximum(np.stack([np.minimum(enter, leave), np.maximum(enter, leave)]), 0.0), 1.0)
         room = (r * (1 + 1e-6) + self.slack) / self.least_ky
-        first = np.searchsorted(self.high, np.minimum(b, b + d) - room, "left")
-        last = np.searchsorted(self.low, np.maximum(b, b + d) + room, "right")
+        first = np.searchsorted(self.high, b + np.minimum(enter * d, leave * d) - room, "left")
+        last = np.searchsorted(self.low, b + np.maximum(enter * d, leave * d) + room, "right")
         starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        for i, j in _portions(np.maximum(last - first, 0), INTERVALS, starts):
-            strip, segment = _spread(first[i:j], last[i:j])
-            if len(strip):
-                self._add(count, sums, line, segments, strip, segment + i)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i, j in _portions(np.maximum(last - first, 0), INTERVALS, starts):
+                strip, segment = _spread(first[i:j], last[i:j])
+                if len(strip):
+                    self._add(count, sums, line, segments, strip, segment + i)
+        for total, same in zip(sums, self.same, strict=True):
+            if same is not None:
+                total += count * same
         return count, sums
 
     def _add(self, count, sums, line, segments, strip, segment) -> None:
         p0, p1, d0, d1 = self._intervals(strip, *segments.take(segment, axis=1))
-        kept = p1 > p0
-        p0, p1, d0, d1, segment = p0[kept], p1[kept], d0[kept], d1[kept], segment[kept]
+        kept = np.flatnonzero(p1 > p0)
+        p0, p1, d0, d1, segment, strip = (z[kept] for z in (p0, p1, d0, d1, segment, strip))
+        ruler = self._ruler(strip, *segments.take(segment, axis=1))
         # Numbers of (line, point) pairs.
-        base = line[segment] * (len(self.x) + 1)
-        order = np.argsort(base + p0, kind="stable")
-        p0, p1, d0, d1, segment, base = (z[order] for z in (p0, p1, d0, d1, segment, base))
-        over = np.zeros(len(p0), bool)
-        over[1:] = (base + p0)[1:] < np.maximum.accumulate(base + p1)[:-1]
-        over[:-1] |= (base + p0)[1:] < (base + p1)[:-1]
         own = line[segment]
-
-        def add(of: np.ndarray, number, parts: list[np.ndarray]) -> None:
-            np.add.at(count, of, number)
-            for total, part in zip(sums, parts, strict=True):
-                np.add.at(total, of, part)
-
-        single = ~over
+        base = own * (len(self.x) + 1)
+        order = np.argsort(base + p0, kind="stable")
+        first, last = (base + p0)[order], (base + p1)[order]
+        apart = np.zeros(len(order), bool)
+        apart[1:] = first[1:] < np.maximum.accumulate(last)[:-1]
+        apart[:-1] |= first[1:] < last[:-1]
+        over = np.empty(len(order), bool)
+        over[order] = apart
+        summed = [k for k, v in enumerate(self.values) if v is not None]
+
+        single = np.flatnonzero(~over)
         s, e = d0[single], d1[single]
-        add(own[single], e - s, [z[e] - z[s] for z in self.sums])
+        np.add.at(count, own[single], e - s)
+        for k in summed:
+            np.add.at(sums[k], own[single], self.sums[k][e] - self.sums[k][s])
+        for point, at, begin, piece in self._edges(p0, p1, d0, d1, single):
+            hit = self._near(point, at, piece, ruler, segments, segment)
+            of = own[piece[at[begin]]]
+            np.add.at(count, of, np.add.reduceat(hit, begin, dtype=np.int64))
+            for k in summed:
+                np.add.at(sums[k], of, np.add.reduceat(np.where(hit, self.values[k][point], 0), begin))
         # Intervals of one line that overlap count as their union.
-        several = np.flatnonzero(over & (d1 > d0))
+        over = np.flatnonzero(over)
+        if not len(over):
+            return
+        several = over[d1[over] > d0[over]]
         several = several[np.argsort((base + d0)[several], kind="stable")]
         s, e = (base + d0)[several], (base + d1)[several]
         s[1:] = np.maximum(s[1:], np.maximum.accumulate(e)[:-1])
         new = e > s
         s, e, off, of = s[new], e[new], base[several][new], own[several][new]
-        add(of, e - s, [z[e - off] - z[s - off] for z in self.sums])
-
-        lo, hi, at = np.concatenate([p0, d1]), np.concatenate([d0, p1]), np.tile(np.arange(len(p0)), 2)
-        twice = []
-        for i, j in _portions(hi - lo, TESTS):
-            point, piece = _spread(lo[i:j], hi[i:j])
-            piece = at[piece + i]
-            hit = self._hits(point, *segments.take(segment[piece], axis=1))
-            point, piece = point[hit], piece[hit]
-            lone = single[piece]
-            add(own[piece[lone]], 1, [v[point[lone]] for v in self.values])
-            twice.append((base[piece] + point)[~lone])
-        pairs = np.unique(np.concatenate(twice)) if twice else np.zeros(0, np.int64)
+        np.add.at(count, of, e - s)
+        for k in summed:
+            np.add.at(sums[k], of, self.sums[k][e - off] - self.sums[k][s - off])
+        pairs = [np.zeros(0, np.int64)]
+        for point, at, _, piece in self._edges(p0, p1, d0, d1, over):
+            hit = np.flatnonzero(self._near(point, at, piece, ruler, segments, segment))
+            pairs.append(base[piece[at[hit]]] + point[hit])
+        pairs = np.sort(np.concatenate(pairs))
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
         if len(s):
             before = np.searchsorted(s, pairs, "right") - 1
             pairs = pairs[(before < 0) | (pairs >= e[before])]
         of, point = np.divmod(pairs, len(self.x) + 1)
-        add(of, 1, [v[point] for v in self.values])
+        np.add.at(count, of, 1)
+        for k in summed:
+            np.add.at(sums[k], of, self.values[k][point])
+
+    @staticmethod
+    def _edges(p0, p1, d0, d1, which: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The points of some intervals that may or may not be near, a portion at a
+        time: points, the number of each one's piece, where pieces begin, and the
+        interval of each piece."""
+        lo, hi = np.concatenate([p0[which], d1[which]]), np.concatenate([d0[which], p1[which]])
+        some = np.flatnonzero(hi > lo)
+        lo, hi, piece = lo[some], hi[some], np.concatenate([which, which])[some]
+        for i, j in _portions(hi - lo, TESTS):
+            point, at = _spread(lo[i:j], hi[i:j])
+            yield point, at + i, np.concatenate([[0], np.cumsum(hi[i:j] - lo[i:j])[:-1]]), piece
 
 
 def near_totals(key: Sequence[str], measures: Sequence[str], planar: bool, schema: pa.Schema) -> Callable:
     """For ``mapInArrow``: one row per block and line with points near it.
 
     Rows are sorted by ``_block``, ``radius`` and key. Points come first, without a
-    radius: place in ``_a``, ``_b``, scales in ``_c``, ``_d``, and the measures. Rows of lines are
-    segments, start in ``_a``, ``_b`` and vector in ``_c``, ``_d``.
+    radius: place in ``_a``, ``_b``, scales in ``_c``, ``_d`` (not in the plane), and the measures. Rows
+    of lines have their vertices in ``_line`` (:mod:`operators.blocks`).
     """
+    from kerbline.operators.blocks import segments_of
 
     def numbers(rows: pa.Table, name: str) -> np.ndarray:
         return rows.column(name).combine_chunks().to_numpy(zero_copy_only=False)
@@ -236,13 +318,20 @@ def near_totals(key: Sequence[str], measures: Sequence[str], planar: bool, schem
         change = np.zeros(rows.num_rows, bool)
         change[0] = True
         for c in ["radius", *key]:
-            codes = rows.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
-            change[1:] |= codes[1:] != codes[:-1]
+            column = rows.column(c).combine_chunks()
+            if pa.types.is_floating(column.type) and c != "radius":
+                column = column.dictionary_encode("encode").indices
+            before, after = column.slice(0, rows.num_rows - 1), column.slice(1)
+            other = pc.not_equal(before, after).fill_null(False)
+            if column.null_count:
+                other = pc.or_(other, pc.xor(before.is_null(), after.is_null()))
+            change[1:] |= other.to_numpy(zero_copy_only=False)
         return rows, np.flatnonzero(change)
 
     def near(points: Strips, rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         line = np.repeat(np.arange(len(starts)), np.diff([*starts, rows.num_rows]))
-        count, sums = points.totals(line, np.stack([numbers(rows, c) for c in ("_a", "_b", "_c", "_d", "radius")]))
+        row, segments = segments_of(rows.column("_line").combine_chunks(), planar)
+        count, sums = points.totals(line[row], np.concatenate([segments, numbers(rows, "radius")[None, row]]))
         found = np.flatnonzero(count)
         keys = [rows.column(k).combine_chunks().take(pa.array(starts[found])) for k in key]
         totals = [

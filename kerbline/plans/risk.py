@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.fixed_values import SCORE_BUFFER_M, SCORE_LOOKBACK_DAYS
-from kerbline.functions.geometry import clean_line, densify, geodesic_length, parts_from_wkt
+from kerbline.functions.geometry import clean_line, parts_from_wkt
 from kerbline.functions.scoring import (
     age_months,
     crash_points,
@@ -22,6 +22,7 @@ from kerbline.functions.scoring import (
 )
 from kerbline.functions.vocabulary import is_open_hazard
 from kerbline.operators.bounds import near_box
+from kerbline.operators.lengths import with_metres
 from kerbline.operators.proximity import totals_near_lines
 from kerbline.operators.tiles import busiest_tile
 
@@ -95,9 +96,9 @@ def score_lines(
         shaped, crashes.unionByName(hazards), key=key, radius="radius", metric="geodesic", measures=measures,
         radii=[buffer_m], combine=not prune,
     )
-    km = length_km(geodesic_length(densify(F.col("parts"))))
+    measured = with_metres(shaped.select(*key, "parts"))
     return _with_scores(
-        shaped.select(*key, km.alias("length_km"))
+        measured.select(*key, length_km(F.col("metres")).alias("length_km"))
         .join(totals, key, "left")
         .withColumns({m: F.coalesce(m, zero) for m in measures})
     ).withColumns({"lookback_days": F.lit(lookback_days), "buffer_m": F.lit(float(buffer_m))})

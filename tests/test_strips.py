@@ -1,9 +1,13 @@
 """Points in strips: few are tested one by one, and all are counted once."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.functions.geometry import LINE_TYPE, densify, geodesic_length
+from kerbline.operators import lengths
+from kerbline.operators.lengths import with_metres
 from kerbline.operators.strips import Strips
 from kerbline.plans.risk import score_wkt
 
@@ -62,3 +66,26 @@ def test_a_text_is_parsed_once_for_its_points_and_once_for_its_length(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MULTILINESTRING") == 4  # tested for and taken apart, twice
     assert [r.k for r in scored.collect()] == [1]
+
+
+def test_lengths_of_a_batch_equal_the_column(spark):
+    far = [[(10.0, 45.0), (13.0, 45.5), (13.0, 45.5001)], [(170.0, -80.0), (-170.0, -79.0)]]
+    rows = [
+        (1, far), (2, [[(-105.0, 39.7), (-105.001, 39.701), (-105.02, 39.71)]]), (3, []), (4, None), (5, [[(1.0, 2.0)]]),
+        (6, [[(1.0, 2.0), None]]), (7, [[(1.0, None), (1.0, 2.0)]]), (8, [None, [(0.0, 0.0), (0.0, 1.0)]]), (9, [[(0.0, 0.0), (float("nan"), 0.0)]]),
+        (10, [[(0.0, 0.0), (0.0, 0.0)]]), (None, [[(0.0, 0.0), (0.001, 0.0)]]),
+    ]
+    lines = spark.createDataFrame(rows, f"k int, parts {LINE_TYPE}")
+    want = {r.k: r.m for r in lines.select("k", geodesic_length(densify(F.col("parts"))).alias("m")).collect()}
+    got = {r.k: r.metres for r in with_metres(lines).collect()}
+    assert set(got) == set(want) and got[1] > 300_000
+    for k, m in want.items():
+        assert (got[k] is None) == (m is None), k
+        assert m is None or got[k] == pytest.approx(m, rel=1e-9, nan_ok=True), k
+
+
+def test_long_segments_are_measured_in_portions(monkeypatch):
+    parts = pa.array([[[{"lon": float(k), "lat": 50.0}, {"lon": k + 0.5, "lat": 50.2}]] for k in range(9)])
+    whole = lengths.line_metres(parts).to_pylist()
+    monkeypatch.setattr(lengths, "PIECES", 50)
+    assert lengths.line_metres(parts).to_pylist() == whole and lengths.line_metres(parts.slice(4, 2)).to_pylist() == whole[4:6]
